@@ -87,10 +87,10 @@ def split(quotas: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
     return out
 
 
-def plan(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(sources, draws): sources has key, source_size, target; draws has, for each (key, block),
-    an array of (pass, draw, shard, cut, cut_words). cut is the order value at which a block that
-    is not taken whole ends, cut_words the words taken of the document there."""
+def plan(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """For each (key, block): source_size, target and draws, an array of (pass, draw, shard, cut,
+    cut_words). cut is the order value at which a block that is not taken whole ends, cut_words
+    the words taken of the document there."""
     spark = docs.sparkSession
     key = _key(F.col("source"))
     sized = saved(
@@ -127,18 +127,18 @@ def plan(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> tuple[DataF
     cut = inside.where("before < limit and before + size >= limit").select("key", "block", "pass", F.col("at").alias("cut"), F.floor((F.col("limit") - F.col("before")) / F.col("n")).alias("cut_words"))
     draws = draws.join(cut, ["key", "block", "pass"], "left")
     draws = draws.groupBy("key", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "draw", "shard", "cut", "cut_words"))).alias("draws"))
-    return goal.select("key", "source_size", "target"), saved(draws, "mix-plan")
+    out = blocks.select("key", "block").join(goal.select("key", "source_size", "target"), "key").join(draws, ["key", "block"], "left")
+    return saved(out, "mix-plan")
 
 
 def with_draws(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """docs + source_size, target and draws, an array of (pass, shard, words) with one entry for
     each time that the mix takes the document, wholly or cut."""
-    sources, draws = plan(docs, shards, seed)
+    found = plan(docs, shards, seed).withColumnsRenamed({"key": "_key", "block": "_block"})
     out = docs.drop("source_size", "target", "draws", "taken").withColumn("_key", _key(F.col("source")))
     out = out.withColumn("_block", _block(F.col("doc_id"), F.col("_key"))).withColumn("_at", _order(F.col("doc_id"))).withColumn("_size", n_words(F.col("text")))
     # a few numbers for each source and block; the planner broadcasts them while they are small,
     # else rows are dealt by (source, block), which no hot source can skew
-    found = draws.join(sources, "key").withColumnsRenamed({"key": "_key", "block": "_block"})
     out = out.join(found, ["_key", "_block"], "left")
     taken = "transform(coalesce(draws, array()), d -> struct(d.pass as pass, d.shard as shard, case when d.cut is null or _at < d.cut then _size when _at = d.cut then d.cut_words else 0L end as words))"
     return out.withColumn("draws", F.filter(F.expr(taken), lambda d: d["words"] > 0)).drop("_key", "_block", "_at")
