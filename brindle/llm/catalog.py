@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from brindle.llm import quality_rules
+from brindle.llm import mixing, quality_rules, token_store
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.query,
+        "op2_mixing": mixing.query,
+        "op3_token_store": token_store.query,
     }
 
 
