@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.llm import mixing, quality_rules, token_store
+from brindle.llm import mixing, packing, quality_rules, token_store
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_quality_rules": quality_rules.query,
         "op2_mixing": mixing.query,
         "op3_token_store": token_store.query,
+        "op10_packing": packing.query,
     }
 
 
