@@ -100,7 +100,7 @@ def plan(counts: dict[int, int], room: int) -> list[tuple[int, np.ndarray]]:
     # equal ratios would let the simplex steps go round in circles
     aim = demand + np.random.default_rng(m).uniform(0.001, 0.01, m)
     x, bound = inverse @ aim, 0.0
-    for k in range(MOST_ROUNDS):
+    for _ in range(MOST_ROUNDS):
         duals = inverse.sum(axis=0)
         worth = np.zeros(room + 1)
         worth[where] = np.maximum(duals, 0)
@@ -120,9 +120,6 @@ def plan(counts: dict[int, int], room: int) -> list[tuple[int, np.ndarray]]:
         inverse[out] /= step[out]
         other = np.arange(m) != out
         inverse[other] -= np.outer(step[other], inverse[out])
-        if k % 200 == 199:
-            inverse = np.linalg.inv(columns)
-            x = np.maximum(inverse @ aim, 0)
     left, out_plan = demand.astype(np.int64), []
     for i in np.argsort(-x):
         pattern = np.zeros(room + 1, dtype=np.int64)
