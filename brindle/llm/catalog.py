@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.llm import mixing, packing, quality_rules, token_store
+from brindle.llm import language_id, line_dedup, media, mixing, packing, quality_rules, token_store
 
 
 def queries() -> dict:
@@ -10,6 +10,9 @@ def queries() -> dict:
         "op1_quality_rules": quality_rules.query,
         "op2_mixing": mixing.query,
         "op3_token_store": token_store.query,
+        "op5_line_dedup": line_dedup.query,
+        "op7_language_id": language_id.query,
+        "op9_media": media.query,
         "op10_packing": packing.query,
     }
 
@@ -17,4 +20,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_rules.oracle(),
+        "op5_line_dedup": line_dedup.oracle(),
     }
