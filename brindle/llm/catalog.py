@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.llm import language_id, line_dedup, media, mixing, packing, quality_rules, token_store
+from brindle.llm import language_id, line_dedup, media, mixing, packing, quality_classifier, quality_rules, token_store
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_mixing": mixing.query,
         "op3_token_store": token_store.query,
         "op5_line_dedup": line_dedup.query,
+        "op6_quality_classifier": quality_classifier.query,
         "op7_language_id": language_id.query,
         "op9_media": media.query,
         "op10_packing": packing.query,
