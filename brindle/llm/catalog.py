@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.llm import language_id, line_dedup, media, mixing, packing, quality_classifier, quality_rules, token_store
+from brindle.llm import language_id, line_dedup, media, mixing, packing, quality_classifier, quality_rules, simhash, token_store
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_line_dedup": line_dedup.query,
         "op6_quality_classifier": quality_classifier.query,
         "op7_language_id": language_id.query,
+        "op8_simhash": simhash.query,
         "op9_media": media.query,
         "op10_packing": packing.query,
     }
