@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.llm import language_id, line_dedup, media, mixing, packing, quality_classifier, quality_rules, simhash, token_store
+from brindle.llm import html_extract, language_id, line_dedup, media, mixing, packing, quality_classifier, quality_rules, simhash, token_store
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_quality_rules": quality_rules.query,
         "op2_mixing": mixing.query,
         "op3_token_store": token_store.query,
+        "op4_html_extract": html_extract.query,
         "op5_line_dedup": line_dedup.query,
         "op6_quality_classifier": quality_classifier.query,
         "op7_language_id": language_id.query,

@@ -18,9 +18,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.functions.shipping import ship
 from brindle.llm.common import held_out, table
@@ -57,14 +58,14 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, size: int = DICTIONARY_
     return out
 
 
-def predict(docs: DataFrame, model: dict[str, bytes], carry: tuple[str, ...] = ("doc_id",), margin: float = MARGIN) -> DataFrame:
-    """carry + lang_pred, score and rejected."""
+def predict(docs: DataFrame, model: dict[str, bytes], carry: tuple[str, ...] = ("doc_id",), margin: float = MARGIN, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """carry + lang_pred, score and rejected, under the names given."""
     ship(docs.sparkSession)
     langs = list(model)
-    fields = {f.name: f for f in docs.select(*carry).schema.fields}
-    schema = ", ".join(f"`{c}` {fields[c].dataType.simpleString()}" for c in carry) + ", lang_pred string, score double, rejected boolean"
+    text = F.col("text").alias("_text")
+    schema = T.StructType(docs.select(*carry).schema.fields + [T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)])
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         def coder(dictionary: bytes, **how):
@@ -78,10 +79,10 @@ def predict(docs: DataFrame, model: dict[str, bytes], carry: tuple[str, ...] = (
         short = [coder(model[x], **hard) for x in langs]
         empty = len(long_[0](b"")) if langs else 0
         for b in batches:
-            names, scores, rejected = [], [], []
-            for t in b.pop("_text").tolist():
+            names_, scores, rejected = [], [], []
+            for t in b.column(b.num_columns - 1).to_pylist():
                 if t is None or not langs or not any(map(str.isalpha, t)):
-                    names.append("und")
+                    names_.append("und")
                     scores.append(0.0)
                     rejected.append(True)
                     continue
@@ -92,12 +93,20 @@ def predict(docs: DataFrame, model: dict[str, bytes], carry: tuple[str, ...] = (
                 first = int(sizes.argmin())
                 rest = np.delete(sizes, first)
                 gap = float((rest.min() - sizes[first]) / max(rest.min(), 1)) if len(rest) else 1.0
-                names.append(langs[first])
+                names_.append(langs[first])
                 scores.append(gap / (gap + HALF))
                 rejected.append(bool(gap < margin))
-            yield b.assign(lang_pred=names, score=scores, rejected=rejected)
+            new = [pa.array(names_, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], names=[*carry, *names])
 
-    return docs.select(*carry, F.col("text").alias("_text")).mapInPandas(score, schema)
+    return docs.select(*carry, text).mapInArrow(score, schema)
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose language is told with a margin, as the model fitted on them says."""
+    flags = ("_lang_pred", "_lang_score", "_lang_rejected")
+    out = predict(docs, fit(docs), tuple(docs.columns), names=flags)
+    return out.where(~F.col(flags[2])).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

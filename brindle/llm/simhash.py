@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.shipping import ship
@@ -206,6 +206,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return fps.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one document of each component, that of the least doc_id. Rows that share a
+    doc_id are one document, of which one stays; rows without a doc_id stay."""
+    chosen = near_duplicates(docs).select(F.col("component_id").alias("doc_id")).distinct()
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    kept = docs.join(chosen, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
+    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
