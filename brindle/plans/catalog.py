@@ -32,3 +32,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+# the modules below register their queries as they are imported
+from brindle.plans import graph_queries, heat_queries, matrix_queries  # noqa: E402, F401
