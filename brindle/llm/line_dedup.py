@@ -34,28 +34,28 @@ def _host(host: str) -> Column:
 
 
 def boilerplate(df: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
-    """(_host, _lines): hashes of each host's boilerplate lines."""
+    """(_site_host, _site_lines): hashes of each host's boilerplate lines."""
     lines = F.array_distinct(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: x.rlike(WORD)))
     # an entry without a line counts the page itself
     entries = F.concat(F.array(F.lit(None).cast("struct<h:bigint,g:int>")), F.transform(lines, _hash))
-    counts = df.select(_host(host).alias("_host"), F.explode(entries).alias("_line")).groupBy("_host", "_line").agg(F.count("*").alias("_n"))
-    counts = saved(counts.where((F.col("_n") >= least) | F.col("_line").isNull()), "line-counts")
-    pages = counts.where("_line is null").select("_host", F.col("_n").alias("_pages"))
-    found = counts.where("_line is not null").join(pages, "_host").where(F.col("_n") > ratio * F.col("_pages"))
-    return found.groupBy("_host").agg(F.collect_set("_line").alias("_lines"))
+    counts = df.select(_host(host).alias("_site_host"), F.explode(entries).alias("_site_line")).groupBy("_site_host", "_site_line").agg(F.count("*").alias("_site_n"))
+    counts = saved(counts.where((F.col("_site_n") >= least) | F.col("_site_line").isNull()), "line-counts")
+    pages = counts.where("_site_line is null").select("_site_host", F.col("_site_n").alias("_site_pages"))
+    found = counts.where("_site_line is not null").join(pages, "_site_host").where(F.col("_site_n") > ratio * F.col("_site_pages"))
+    return found.groupBy("_site_host").agg(F.collect_set("_site_line").alias("_site_lines"))
 
 
 def drop_lines(df: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """df with boilerplate lines dropped from text, + n_lines and n_dropped."""
     bad = saved(boilerplate(df, text, host, ratio, least), "line-boilerplate")
-    out = df.drop("n_lines", "n_dropped").withColumn("_host", _host(host)).join(bad, "_host", "left")
-    out = out.withColumn("_split", F.split(text, "\n", -1))
-    kept = F.when(F.col("_lines").isNull(), F.col("_split")).otherwise(F.filter("_split", lambda x: ~(x.rlike(WORD) & F.array_contains("_lines", _hash(x)))))
-    out = out.withColumn("_kept", kept)
-    out = out.withColumn("n_lines", F.coalesce(F.size("_split"), F.lit(0)).cast("long"))
-    out = out.withColumn("n_dropped", F.coalesce(F.size("_split") - F.size("_kept"), F.lit(0)).cast("long"))
+    out = df.drop("n_lines", "n_dropped").withColumn("_site_host", _host(host)).join(bad, "_site_host", "left")
+    out = out.withColumn("_site_split", F.split(text, "\n", -1))
+    kept = F.when(F.col("_site_lines").isNull(), F.col("_site_split")).otherwise(F.filter("_site_split", lambda x: ~(x.rlike(WORD) & F.array_contains("_site_lines", _hash(x)))))
+    out = out.withColumn("_site_kept", kept)
+    out = out.withColumn("n_lines", F.coalesce(F.size("_site_split"), F.lit(0)).cast("long"))
+    out = out.withColumn("n_dropped", F.coalesce(F.size("_site_split") - F.size("_site_kept"), F.lit(0)).cast("long"))
     same = F.col("n_dropped") == 0
-    return out.withColumn(text, F.when(same, F.col(text)).otherwise(F.array_join("_kept", "\n"))).select(*[c for c in df.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    return out.withColumn(text, F.when(same, F.col(text)).otherwise(F.array_join("_site_kept", "\n"))).select(*[c for c in df.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,32 +132,32 @@ def plan(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
 
 
 def with_draws(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """docs + source_size, target and draws, an array of (pass, shard, words) with one entry for
-    each time that the mix takes the document, wholly or cut."""
-    found = plan(docs, shards, seed).withColumnsRenamed({"key": "_key", "block": "_block"})
-    out = docs.drop("source_size", "target", "draws", "taken").withColumn("_key", _key(F.col("source")))
-    out = out.withColumn("_block", _block(F.col("doc_id"), F.col("_key"))).withColumn("_at", _order(F.col("doc_id"))).withColumn("_size", n_words(F.col("text")))
+    """docs + _mix_size, _mix_source_size, _mix_target and _mix_draws, an array of (pass, shard,
+    words) with one entry for each time that the mix takes the document, wholly or cut."""
+    found = plan(docs, shards, seed).select(*[F.col(c).alias(f"_mix_{c}") for c in ("key", "block", "source_size", "target", "draws")])
+    out = docs.withColumn("_mix_key", _key(F.col("source")))
+    out = out.withColumn("_mix_block", _block(F.col("doc_id"), F.col("_mix_key"))).withColumn("_mix_at", _order(F.col("doc_id"))).withColumn("_mix_size", n_words(F.col("text")))
     # a few numbers for each source and block; the planner broadcasts them while they are small,
     # else rows are dealt by (source, block), which no hot source can skew
-    out = out.join(found, ["_key", "_block"], "left")
-    taken = "transform(coalesce(draws, array()), d -> struct(d.pass as pass, d.shard as shard, case when d.cut is null or _at < d.cut then _size when _at = d.cut then d.cut_words else 0L end as words))"
-    return out.withColumn("draws", F.filter(F.expr(taken), lambda d: d["words"] > 0)).drop("_key", "_block", "_at")
+    out = out.join(found, ["_mix_key", "_mix_block"], "left")
+    taken = "transform(coalesce(_mix_draws, array()), d -> struct(d.pass as pass, d.shard as shard, case when d.cut is null or _mix_at < d.cut then _mix_size when _mix_at = d.cut then d.cut_words else 0L end as words))"
+    return out.withColumn("_mix_draws", F.filter(F.expr(taken), lambda d: d["words"] > 0)).drop("_mix_key", "_mix_block", "_mix_at")
 
 
 def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The mixed corpus: the columns of docs, once for each time taken (a cut document keeps its
-    first words), with pass and shard, shuffled inside each shard."""
-    rows = with_draws(docs, shards, seed).withColumn("_draw", F.explode("draws"))
+    first words), with _mix_pass and _mix_shard, shuffled inside each shard."""
+    rows = with_draws(docs, shards, seed).withColumn("_mix_draw", F.explode("_mix_draws"))
     pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    first = F.array_join(F.slice(pieces, 1, F.col("_draw.words").cast("int")), "")
-    rows = rows.withColumn("text", F.when(F.col("_draw.words") < F.col("_size"), first).otherwise(F.col("text")))
-    rows = rows.select(*docs.columns, F.col("_draw.pass").alias("_pass"), F.col("_draw.shard").alias("_shard"))
-    return rows.repartition(shards, "_shard").sortWithinPartitions("_shard", F.xxhash64("doc_id", "_pass", F.lit(seed + 2)))
+    first = F.array_join(F.slice(pieces, 1, F.col("_mix_draw.words").cast("int")), "")
+    rows = rows.withColumn("text", F.when(F.col("_mix_draw.words") < F.col("_mix_size"), first).otherwise(F.col("text")))
+    rows = rows.select(*docs.columns, F.col("_mix_draw.pass").alias("_mix_pass"), F.col("_mix_draw.shard").alias("_mix_shard"))
+    return rows.repartition(shards, "_mix_shard").sortWithinPartitions("_mix_shard", F.xxhash64("doc_id", "_mix_pass", F.lit(seed + 2)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
+    taken = F.aggregate("_mix_draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
     return with_draws(docs).select(
-        "doc_id", F.col("_size").alias("size"), "source_size", "target", taken.alias("taken"), F.transform("draws", lambda d: d["shard"]).alias("shards")
+        "doc_id", F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), taken.alias("taken"), F.transform("_mix_draws", lambda d: d["shard"]).alias("shards")
     )

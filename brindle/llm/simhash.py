@@ -211,7 +211,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     doc_id are one document, of which one stays; rows without a doc_id stay."""
     chosen = near_duplicates(docs).select(F.col("component_id").alias("doc_id")).distinct()
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = docs.join(chosen, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
+    kept = docs.join(chosen, "doc_id", "left_semi").withColumn("_simhash_nth", F.row_number().over(first)).where("_simhash_nth = 1")
     return kept.select(*docs.columns).union(docs.where("doc_id is null"))
 
 

@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from brindle.llm import language_id, line_dedup, mixing, packing, simhash
 from brindle.llm.common import saved
 from brindle.llm.token_store import tokenizer_path
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """docs with n_chars, where there is such a column, brought up to date."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language compression tells with a margin; the others go."""
     return language_id.keep_identified(docs)
@@ -16,7 +22,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that stand on too many pages of their source."""
-    return line_dedup.drop_lines(docs).select(*docs.columns)
+    return _counted(line_dedup.drop_lines(docs).select(*docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them, cut where a source's words run out."""
-    return mixing.mix(docs).select(*docs.columns)
+    return _counted(mixing.mix(docs).select(*docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
