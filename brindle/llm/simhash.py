@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from brindle.functions.shipping import ship
 from brindle.llm.common import WORD_RE, saved, table
 from brindle.llm.components import components
+from brindle.llm.near_copies import near_copies
 
 RADIUS = 3
 SHINGLE = 3
@@ -207,9 +208,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, that of the least doc_id. Rows that share a
-    doc_id are one document, of which one stays; rows without a doc_id stay."""
-    chosen = near_duplicates(docs).select(F.col("component_id").alias("doc_id")).distinct()
+    """docs with one document of each component of near copies, that of the least doc_id. Rows that
+    share a doc_id are one document, of which one stays; rows without a doc_id stay."""
+    chosen = near_copies(docs).select(F.col("component_id").alias("doc_id")).distinct()
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     kept = docs.join(chosen, "doc_id", "left_semi").withColumn("_simhash_nth", F.row_number().over(first)).where("_simhash_nth = 1")
     return kept.select(*docs.columns).union(docs.where("doc_id is null"))

@@ -26,7 +26,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-equal fingerprints."""
+    """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more)."""
     return simhash.keep_one(docs)
 
 
