@@ -5,7 +5,9 @@ hash); of a set of n, the first n - ceil(SIMILAR n) + 1 are its prefix, and two
 share a shingle of their prefixes. The order comes from a bounded sample of texts, but any order
 finds every pair: the sample only keeps common passages out of the prefixes.
 
-Candidates are checked on the texts' whole sets. So that a large group of near copies costs rows by
+Candidates are checked twice: a bitmap of BITS bits holds the parity of the shingles that fall on
+each bit, so two bitmaps differ in no more bits than the sets do in shingles, which rules out most
+pairs and never a similar one; the rest are checked on the texts' whole sets. So that a large group of near copies costs rows by
 its size, ROUNDS rounds compare each text only with one centre per shared shingle; what that links
 is one component, and only texts of different components that share a prefix shingle are then
 compared pair by pair. A shingle that many dissimilar texts share and that the sample missed costs
@@ -35,6 +37,7 @@ SIMILAR = 80
 #: common shingles are held at most.
 SAMPLE, COMMON, HELD = 4096, 4, 65_536
 ROUNDS = 2
+BITS = 1024
 _LOWER = str.maketrans({c: c + 32 for c in range(ord("A"), ord("Z") + 1)})
 
 
@@ -57,6 +60,19 @@ def prefix_size(n: int) -> int:
     return n - -(-SIMILAR * n // 100) + 1 if n else 0
 
 
+def parities(s: np.ndarray) -> bytes:
+    """BITS bits: whether an odd number of the shingles fall on each."""
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def may_be_similar(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """False where bitmaps (rows of a and b) of sets of n and m shingles differ too much: similar
+    sets differ in (100 - SIMILAR) / (100 + SIMILAR) of n + m shingles at most."""
+    differ = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return (100 + SIMILAR) * differ <= (100 - SIMILAR) * (n + m)
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= SIMILAR * (len(a) + len(b) - both)
@@ -80,7 +96,8 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, node (a hash of the set of shingles), n (its size) and prefix."""
+    """doc_id, text_hash, node (a hash of the set of shingles), n (its size), bits (its
+    parities) and prefix."""
     spark = docs.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast(_common(docs))
@@ -90,25 +107,31 @@ def prefixes(docs: DataFrame) -> DataFrame:
 
         common, counts = held.value
         for b in batches:
-            nodes, sizes, firsts = [], [], []
+            nodes, sizes, bits, firsts = [], [], [], []
             for t in b["text"].tolist():
                 s = shingles(t)
                 nodes.append(xxh64_intdigest(s.tobytes()))
                 sizes.append(len(s))
+                bits.append(parities(s))
                 often = np.zeros(len(s), np.int64)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                     often = np.where(common[at] == s, counts[at], 0)
                 firsts.append(s[np.argsort(often, kind="stable")][: prefix_size(len(s))].view(np.int64))
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text_hash": b["text_hash"], "node": np.array(nodes, np.uint64).view(np.int64), "n": np.array(sizes, np.int64), "prefix": firsts})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text_hash": b["text_hash"], "node": np.array(nodes, np.uint64).view(np.int64), "n": np.array(sizes, np.int64), "bits": bits, "prefix": firsts})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInPandas(each, "doc_id long, text_hash long, node long, n long, prefix array<long>")
+    return rows.mapInPandas(each, "doc_id long, text_hash long, node long, n long, bits binary, prefix array<long>")
 
 
 def _checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Those of pairs (u, v) of nodes whose sets of shingles are similar."""
 
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b[c]), np.uint8).reshape(len(b), BITS // 8) for c in ("x", "y"))
+            yield b.loc[may_be_similar(b["n"].to_numpy(), b["m"].to_numpy(), x, y), ["u", "v"]]
+
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"node": b["node"], "shingles": [shingles(t).tobytes() for t in b["text"].tolist()]})
@@ -118,6 +141,9 @@ def _checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
             ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b["x"], b["y"], strict=True)]
             yield b.loc[np.array(ok, dtype=bool), ["u", "v"]]
 
+    x = nodes.select(F.col("node").alias("u"), "row.n", F.col("row.bits").alias("x"))
+    y = nodes.select(F.col("node").alias("v"), F.col("row.n").alias("m"), F.col("row.bits").alias("y"))
+    pairs = saved(pairs.join(x, "u").join(y, "v").select("u", "v", "n", "m", "x", "y").mapInPandas(near, "u long, v long"), "near-checked")
     asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     # each node has one row that stands for it, found by its id and text
     wanted = nodes.join(asked, "node", "left_semi").select("node", "row.doc_id", "row.text_hash")
@@ -133,7 +159,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash and component_id (the least doc_id that links of near copies reach)."""
     rows = saved(prefixes(docs), "near-rows")
     # texts with equal sets are one node, told by its least row
-    nodes = saved(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.min("doc_id").alias("least")), "near-nodes")
+    nodes = saved(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "n", "bits")).alias("row"), F.min("doc_id").alias("least")), "near-nodes")
     index = rows.select("node", "n", F.explode("prefix").alias("s"))
     shared = saved(index.groupBy("s").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("s"), "near-shared")
     index = saved(index.join(shared, "s", "left_semi").distinct(), "near-index")

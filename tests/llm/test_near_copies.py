@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from brindle.llm import simhash
+from brindle.llm import near_copies, simhash
 
 
 def _set(text: str) -> set:
@@ -46,3 +46,17 @@ def test_keep_one_against_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = sorted(x["doc_id"] for x in simhash.keep_one(docs).collect())
     assert kept == sorted({root(i) for i in range(len(texts))})
+
+
+def test_bitmaps_rule_out_no_similar_pair():
+    r = np.random.default_rng(6)
+    ruled_out = 0
+    for n in (1, 2, 5, 9, 10, 50, 400, 3000):
+        for _ in range(40):
+            a = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[: int(len(a) * r.uniform(0.5, 1))], r.integers(0, 2**64, int(n * r.uniform(0, 0.3)), dtype=np.uint64)]))
+            x, y = (np.frombuffer(near_copies.parities(s), np.uint8)[None, :] for s in (a, b))
+            may = near_copies.may_be_similar(np.array([len(a)]), np.array([len(b)]), x, y)[0]
+            assert may or not near_copies.similar(a, b)
+            ruled_out += not may
+    assert ruled_out > 100
