@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from brindle.functions.scratch import shared_base
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, checkpointed in the folder that the session names (a local one where it names none)."""
+    """df, checkpointed in the folder that the session names."""
     spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="brindle-"))
+    base = shared_base(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(base)
     return df.checkpoint()
 
 
