@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.functions.scratch import shared_dir, written
+from brindle.functions.shipping import ship
+
 #: A word is a run of anything but space and the five ASCII control blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
@@ -18,25 +21,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder (as a URI) that driver and executors share.
-
-    It lies in ``spark.checkpoint.dir``; only where that is unset, as in tests, a local
-    folder is made and set for the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="brindle-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors
-    and gives the planner the true size."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    and gives the planner the true size. For tables that a result still reads; others go to a
+    Scratch."""
+    return written(df, shared_dir(df.sparkSession, name))
+
+
+def each_text(docs: DataFrame, fn: Callable[[list[str]], dict[str, pa.Array | list]], schema: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """(the id, as it stands) + what fn makes of each Arrow batch of whole texts (null: empty), by
+    the columns of schema. Ids never pass through pandas, where a null makes them floats."""
+    ship(docs.sparkSession)
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            made = fn(["" if t is None else t for t in b.column(1).to_pylist()])
+            columns = [x if isinstance(x, pa.Array) else pa.array(x) for x in (made[n] for n in names)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=[id_column, *names])
+
+    return docs.select(F.col(id_column).cast("long").alias(id_column), F.col(text).alias("_text")).mapInArrow(run, f"{id_column} long, {schema}")
 
 
 def held_out(doc_id: Column) -> Column:

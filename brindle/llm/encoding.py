@@ -2,8 +2,9 @@
 
 A text is split where the file's own pre-tokenizer always ends a piece (at blanks); the library
 encodes each different piece, and a text's ids are its pieces' ids joined. A worker keeps the
-ids of pieces it has seen, so frequent words are encoded once. For files whose pre-tokenizer is
-not one of the two known kinds whole texts go to the library. The kept pieces are bounded in
+ids of pieces it has seen, so frequent words are encoded once. Texts that may hold one of the
+file's added tokens (such as an end mark) go whole to the library, as do all texts of files whose
+pre-tokenizer is not one of the two known kinds. The kept pieces are bounded in
 number; which of them are kept changes speed alone.
 """
 
@@ -43,9 +44,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path) as f:
-            self.kind = self._kind(json.load(f))
+            spec = json.load(f)
+        self.kind = self._kind(spec)
+        #: matches wherever the library could find an added token, whatever its normalizer does to case
+        added = [x["content"].strip() for x in spec.get("added_tokens") or []]
+        self.added = re.compile("|".join(map(re.escape, added)), re.I) if added else None
+        #: of each added token its longest run of anything but letters, which is quick to look for
+        self.marks = {max(re.findall(r"[^A-Za-z]+", x), key=len, default="") for x in added}
         self.n_ids = self.tokenizer.get_vocab_size()
         #: between pieces that are encoded together; always ids of its own
         self.separator = {"leading blank": "\n", "no blank": " \x01 "}.get(self.kind, "")
@@ -115,10 +121,16 @@ class Encoder:
     def _encode_chunk(self, texts: list[str]) -> list[bytes]:
         get, missing, found, firsts = self.kept.get, set(), [], []
         for t in texts:
+            if any(x in t for x in self.marks) and self.added.search(t):
+                found.append(([array("I", self._ids(t)).tobytes()], [], []))
+                firsts.append(b"")
+                continue
             pieces = self._pieces(t)
             if self.kind == "leading blank":
                 firsts.append(array("I", self._ids(pieces[0])).tobytes())
                 pieces[0] = ""
+            else:
+                firsts.append(b"")
             ids = list(map(get, pieces))
             if self.kind == "leading blank":
                 ids[0] = b""
@@ -130,7 +142,7 @@ class Encoder:
         for k, (ids, gaps, pieces) in enumerate(found):
             for i, x in zip(gaps, pieces, strict=True):
                 ids[i] = new[x]
-            out.append((firsts[k] if firsts else b"") + b"".join(ids))
+            out.append(firsts[k] + b"".join(ids))
         self._keep(new)
         return out
 

@@ -20,12 +20,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.functions.scratch import shared_dir
 from brindle.functions.shipping import ship
-from brindle.llm.common import shared_dir, table
+from brindle.llm.common import table
 
 FRAME = 576
 RATE = 8000
@@ -81,47 +82,55 @@ def pairs(samples: np.ndarray) -> list[tuple[int, int]]:
     return found[np.lexsort((found[:, 1], found[:, 0]))].tolist()
 
 
+#: Rows that are turned to WAV files, or back, at a time.
+ROWS = 500
+
+
 def store(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes doc_id, n_bytes and media (the WAV file of each whole text) as a Parquet table of
     the shared folder and returns it as read back."""
     spark = docs.sparkSession
     ship(spark)
 
-    def wavs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in b["text"].tolist()]
-            for low in range(0, len(raw), 500):
-                part = raw[low : low + 500]
-                media = [to_wav(x + b"\xff" * (FRAME * max(1, -(-len(x) // FRAME)) - len(x))) for x in part]
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[low : low + 500].astype("Int64"), "n_bytes": list(map(len, part)), "media": media})
+    def wavs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, ROWS):
+                b = whole.slice(low, ROWS)
+                raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
+                media = [to_wav(x + b"\xff" * (FRAME * max(1, -(-len(x) // FRAME)) - len(x))) for x in raw]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, raw)), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(wavs, "doc_id long, n_bytes long, media binary")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(wavs, "doc_id long, n_bytes long, media binary")
     path = folder or shared_dir(spark, "media")
     out.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(out.schema).parquet(path)
 
 
+_LANDMARKS = pa.list_(pa.struct([("t", pa.int32()), ("code", pa.int32())]))
+
+
 def features(stored: DataFrame) -> DataFrame:
     """Checks and fingerprints of the stored files: + payload_bytes, payload_sha256, tail_crc32,
     media_bytes, media_sha256 and landmarks, an array of (t, code)."""
     ship(stored.sparkSession)
+    kinds = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "landmarks": _LANDMARKS}
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for low in range(0, len(b), 500):
-                part = b.iloc[low : low + 500]
-                rows = []
-                for media in part["media"].tolist():
-                    media = bytes(media)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, ROWS):
+                b, rows = whole.slice(low, ROWS), []
+                for media in b.column(2).to_pylist():
                     payload = from_wav(media)
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), [{"t": t, "code": c} for t, c in pairs(np.frombuffer(payload, np.uint8))]))
-                got = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "landmarks"])
-                yield pd.concat([part[["doc_id", "n_bytes"]].astype("Int64").reset_index(drop=True), got], axis=1)
+                    found = [{"t": t, "code": c} for t, c in pairs(np.frombuffer(payload, np.uint8))]
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), found))
+                made = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], names=["doc_id", "n_bytes", *kinds])
 
-    return stored.mapInPandas(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, landmarks array<struct<t:int,code:int>>")
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, landmarks array<struct<t:int,code:int>>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """feature is landmarks as text, "t:code" in hexadecimal code, joined by blanks."""
     feature = F.concat_ws(" ", F.transform("landmarks", lambda x: F.concat(x["t"].cast("string"), F.lit(":"), F.lower(F.hex(x["code"])))))
     out = features(store(table(spark, sf_dir, "documents")))
-    return out.withColumn("feature", feature).drop("landmarks")
+    return out.select(*[c for c in out.columns if c != "landmarks"], feature.alias("feature"), "landmarks")

@@ -1,20 +1,25 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of SIMILAR or more.
 
-The join is exact, by prefixes. All shingles stand in one global order (rare before common, then by
-hash); of a set of n, the first n - ceil(SIMILAR n) + 1 are its prefix, and two sets that similar
-share a shingle of their prefixes. The order comes from a bounded sample of texts, but any order
-finds every pair: the sample only keeps common passages out of the prefixes.
+SimHash and its vantage-point trees give the first candidates, by fingerprints over the same
+shingles within three bits. Texts that similar often lie further apart (at 0.8 about ten bits of
+64), where no fingerprint search finds them all, so an exact join finds the rest, by prefixes. All
+shingles stand in one global order (rare before common, then by hash); of a set of n, the first
+n - ceil(SIMILAR n) + 1 are its prefix, and two sets that similar share a shingle of their prefixes.
+The order comes from a bounded sample of texts, but any order finds every pair: the sample only
+keeps common passages out of the prefixes.
 
 Candidates are checked twice: a bitmap of BITS bits holds the parity of the shingles that fall on
 each bit, so two bitmaps differ in no more bits than the sets do in shingles, which rules out most
-pairs and never a similar one; the rest are checked on the texts' whole sets. So that a large group of near copies costs rows by
-its size, ROUNDS rounds compare each text only with one centre per shared shingle; what that links
-is one component, and only texts of different components that share a prefix shingle are then
-compared pair by pair. A shingle that many dissimilar texts share and that the sample missed costs
-its square there.
+pairs and never a similar one; the rest are checked on the texts' whole sets. So that a large group
+of near copies costs rows by its size, each text is first compared with two centres for each shared
+shingle and with its neighbours by fingerprint; what that links is one component, and only texts of
+different components that share a prefix shingle are then compared pair by pair. A shingle that
+many dissimilar texts share and that the sample missed costs its square there.
 
 Edge cases: null and empty texts are copies of each other; a text of fewer words than a shingle is
-one shingle; repeated rows and texts with equal sets are one node.
+one shingle; very long texts are used whole; rows with equal sets are one node, whatever their ids,
+null or repeated ones included; rows that share a doc_id but not a text are different rows; an
+empty table gives an empty one; other columns pass unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,12 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from brindle.functions.scratch import Scratch
 from brindle.functions.shipping import ship
-from brindle.llm.common import WORD_RE, saved
+from brindle.llm.common import saved
 from brindle.llm.components import components
+from brindle.llm.simhash import links, lowered, majority
 
 SHINGLE = 5
 #: Similarity in hundredths.
@@ -36,19 +45,17 @@ SIMILAR = 80
 #: Texts that the order is learned from, how many of them make a shingle common, and how many
 #: common shingles are held at most.
 SAMPLE, COMMON, HELD = 4096, 4, 65_536
-ROUNDS = 2
 BITS = 1024
-_LOWER = str.maketrans({c: c + 32 for c in range(ord("A"), ord("Z") + 1)})
 
 
 def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct hashes of a text's word shingles."""
     from xxhash import xxh64_intdigest
 
-    words = WORD_RE.findall((text or "").translate(_LOWER))
+    words = lowered(text)
     if not words:
         return np.zeros(0, np.uint64)
-    hashes = np.array([xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], dtype=np.uint64)
+    hashes = np.array(list(map(xxh64_intdigest, words)), dtype=np.uint64)
     k = min(SHINGLE, len(words))
     out = np.zeros(len(words) - k + 1, np.uint64)
     for i in range(k):  # wraps at 64 bits
@@ -78,53 +85,65 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= SIMILAR * (len(a) + len(b) - both)
 
 
-def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Common shingles of a sample of texts, sorted, and their counts."""
-    n = max(1, docs.count() // SAMPLE)
+    n = max(1, rows.count() // SAMPLE)
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b["text"].tolist():
-                yield pd.DataFrame({"s": shingles(t).view(np.int64)})
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t).view(np.int64))], names=["s"])
+
+    drawn = rows.select("text").where(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(n)) == 0).distinct()
+    counts = drawn.mapInArrow(each, "s long").groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON)
+    found = counts.orderBy(F.desc("c"), "s").limit(HELD).toArrow()
+    s, c = (found.column(k).to_numpy() for k in ("s", "c"))
+    order = np.argsort(s.view(np.uint64))
+    return s.view(np.uint64)[order], c[order]
+
 
-    drawn = docs.select("text").where(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(n)) == 0).distinct()
-    counts = drawn.mapInPandas(each, "s long").groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON)
-    rows = counts.orderBy(F.desc("c"), "s").limit(HELD).collect()
-    s, c = np.array([r["s"] for r in rows], dtype=np.int64).view(np.uint64), np.array([r["c"] for r in rows], dtype=np.int64)
-    order = np.argsort(s)
-    return s[order], c[order]
+_KEY = ["id", "text_hash", "rest_hash"]
+_ROWS = "node long, n long, fp long, bits binary, prefix array<long>"
 
 
-def prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, node (a hash of the set of shingles), n (its size), bits (its
-    parities) and prefix."""
-    spark = docs.sparkSession
+def _key(docs: DataFrame, prefix: str = "") -> list:
+    """id, text_hash and rest_hash (of all other columns), which name a row."""
+    others = [f.name for f in docs.schema.fields if f.name not in ("doc_id", "text") and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    rest = F.xxhash64(*[F.col(f"`{c}`") for c in others]) if others else F.lit(0).cast("long")
+    return [c.alias(prefix + n) for c, n in zip((F.col("doc_id").cast("long"), F.xxhash64("text"), rest), _KEY, strict=True)]
+
+
+def prefixes(rows: DataFrame) -> DataFrame:
+    """The key of each row, node (a hash of the set of shingles), n (its size), fp (its SimHash),
+    bits (its parities) and prefix."""
+    spark = rows.sparkSession
     ship(spark)
-    held = spark.sparkContext.broadcast(_common(docs))
+    held = spark.sparkContext.broadcast(_common(rows))
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         common, counts = held.value
         for b in batches:
-            nodes, sizes, bits, firsts = [], [], [], []
-            for t in b["text"].tolist():
+            nodes, sizes, prints, bits, firsts = [], [], [], [], []
+            for t in b.column(3).to_pylist():
                 s = shingles(t)
                 nodes.append(xxh64_intdigest(s.tobytes()))
                 sizes.append(len(s))
+                prints.append(majority(s))
                 bits.append(parities(s))
                 often = np.zeros(len(s), np.int64)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                     often = np.where(common[at] == s, counts[at], 0)
                 firsts.append(s[np.argsort(often, kind="stable")][: prefix_size(len(s))].view(np.int64))
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text_hash": b["text_hash"], "node": np.array(nodes, np.uint64).view(np.int64), "n": np.array(sizes, np.int64), "bits": bits, "prefix": firsts})
+            made = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(bits, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *made], names=[*_KEY, "node", "n", "fp", "bits", "prefix"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInPandas(each, "doc_id long, text_hash long, node long, n long, bits binary, prefix array<long>")
+    return rows.mapInArrow(each, ", ".join(f"{c} long" for c in _KEY) + ", " + _ROWS)
 
 
-def _checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _checked(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, keep: Scratch) -> DataFrame:
     """Those of pairs (u, v) of nodes whose sets of shingles are similar."""
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,48 +162,72 @@ def _checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     x = nodes.select(F.col("node").alias("u"), "row.n", F.col("row.bits").alias("x"))
     y = nodes.select(F.col("node").alias("v"), F.col("row.n").alias("m"), F.col("row.bits").alias("y"))
-    pairs = saved(pairs.join(x, "u").join(y, "v").select("u", "v", "n", "m", "x", "y").mapInPandas(near, "u long, v long"), "near-checked")
+    pairs = keep(pairs.join(x, "u").join(y, "v").select("u", "v", "n", "m", "x", "y").mapInPandas(near, "u long, v long"), "checked")
     asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    # each node has one row that stands for it, found by its id and text
-    wanted = nodes.join(asked, "node", "left_semi").select("node", "row.doc_id", "row.text_hash")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), "text")
-    found = keyed.join(wanted, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")))
-    whole = saved(found.select("node", "text").mapInPandas(sets, "node long, shingles binary").dropDuplicates(["node"]), "near-sets")
+    # each node has one row that stands for it, found by its id and text; equal rows by the text's hash
+    wanted = nodes.join(asked, "node", "left_semi").select("node", F.col("row.id").alias("d"), F.col("row.text_hash").alias("h"))
+    found = texts.join(wanted, F.col("id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("text_hash")))
+    whole = keep(found.select("node", "text").dropDuplicates(["node"]).mapInPandas(sets, "node long, shingles binary"), "sets")
     x = whole.select(F.col("node").alias("u"), F.col("shingles").alias("x"))
     y = whole.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
-    return saved(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInPandas(each, "u long, v long"), "near-links")
+    return keep(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInPandas(each, "u long, v long"), "links")
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash and component_id (the least doc_id that links of near copies reach)."""
-    rows = saved(prefixes(docs), "near-rows")
-    # texts with equal sets are one node, told by its least row
-    nodes = saved(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "n", "bits")).alias("row"), F.min("doc_id").alias("least")), "near-nodes")
+def _pairs(a: str, b: str) -> list:
+    return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
+
+
+def _by_fingerprint(nodes: DataFrame, keep: Scratch) -> DataFrame:
+    """(u, v): nodes whose fingerprints op8's trees link, through one node for each fingerprint."""
+    prints = keep(nodes.groupBy("row.fp").agg(F.min("node").alias("first")), "prints")
+    found = links(prints, prints.count(), keep)
+    ends = found.join(prints.select(F.col("fp").alias("a"), F.col("first").alias("u")), "a").join(prints.select(F.col("fp").alias("b"), F.col("first").alias("v")), "b")
+    alike = nodes.select("node", "row.fp").join(prints, "fp").where("node <> first")
+    return ends.select(*_pairs("u", "v")).union(alike.select(*_pairs("node", "first")))
+
+
+def near_copies(docs: DataFrame, keep: Scratch) -> DataFrame:
+    """The key of each row of docs, node, and component, the same for all rows that links of near
+    copies join."""
+    texts = docs.select(*_key(docs), "text")
+    rows = keep(prefixes(texts), "rows")
+    # texts with equal sets are one node, told by one of its rows
+    nodes = keep(rows.groupBy("node").agg(F.min(F.struct("id", "text_hash", "n", "fp", "bits")).alias("row")), "nodes")
     index = rows.select("node", "n", F.explode("prefix").alias("s"))
-    shared = saved(index.groupBy("s").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("s"), "near-shared")
-    index = saved(index.join(shared, "s", "left_semi").distinct(), "near-index")
+    shared = keep(index.groupBy("s").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("s"), "shared")
+    index = keep(index.join(shared, "s", "left_semi").distinct(), "index")
     near_size = 100 * F.least("n", "n2") >= SIMILAR * F.greatest("n", "n2")
-    found, labels, done = None, None, None
-    for turn in range(ROUNDS + 1):
-        at = index.withColumn("label", F.col("node"))
-        if labels is not None:
-            at = index.join(labels, "node", "left").select("node", "n", "s", F.coalesce("label", "node").alias("label"))
-            open_ = at.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("s")
-            at = saved(at.join(open_, "s", "left_semi"), "near-open")
-        if turn < ROUNDS:
-            luck = F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("node"), F.col("n").alias("n"), F.col("label").alias("label"))
-            other = at.groupBy("s").agg(F.min(luck).alias("c")).select("s", F.col("c.node").alias("node2"), F.col("c.n").alias("n2"), F.col("c.label").alias("label2"))
-        else:
-            other = at.select("s", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-        pairs = at.join(other, "s").where((F.col("label") < F.col("label2") if turn == ROUNDS else F.col("label") != F.col("label2")) & near_size)
-        pairs = pairs.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
-        pairs = saved(pairs.join(done, ["u", "v"], "left_anti") if done is not None else pairs, "near-pairs")
-        links = _checked(pairs, docs, nodes)
-        done = pairs if done is None else done.union(pairs)
-        found = links if found is None else found.union(links)
-        labels = components(found)
-    named = labels.join(nodes, "node")
-    ids = named.groupBy("label").agg(F.min("least").alias("component"))
-    named = saved(named.join(ids, "label").select("node", "component"), "near-components")
-    nodes = nodes.join(named, "node", "left").select("node", F.coalesce("component", "least").alias("component_id"))
-    return rows.join(nodes, "node").select("doc_id", "text_hash", "component_id")
+
+    luck = F.struct(F.xxhash64("node", F.lit(1)).alias("luck"), F.col("node").alias("node2"), F.col("n").alias("n2"))
+    centres = index.groupBy("s").agg(F.explode(F.array(F.min(luck), F.max(luck))).alias("c")).select("s", "c.node2", "c.n2")
+    first = index.join(centres, "s").where((F.col("node") != F.col("node2")) & near_size).select(*_pairs("node", "node2"))
+    first = keep(first.union(_by_fingerprint(nodes, keep)).distinct(), "first-pairs")
+    found = _checked(first, texts, nodes, keep)
+    labels = components(found, keep)
+
+    labelled = index.join(labels, "node", "left").select("node", "n", "s", F.coalesce("label", "node").alias("label"))
+    apart = labelled.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("s")
+    labelled = keep(labelled.join(apart, "s", "left_semi"), "open")
+    other = labelled.select("s", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
+    rest = labelled.join(other, "s").where((F.col("label") < F.col("label2")) & near_size).select(*_pairs("node", "node2")).distinct()
+    rest = keep(rest.join(first, ["u", "v"], "left_anti"), "rest-pairs")
+    labels = components(found.union(_checked(rest, texts, nodes, keep)), keep)
+    return rows.select(*_KEY, "node").join(labels, "node", "left").select(*_KEY, F.coalesce("label", "node").alias("component"))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component of near copies: that of the least doc_id (nulls last),
+    then by hashes of the text and the other columns. Of rows equal throughout one stays."""
+    with Scratch(docs.sparkSession, "near") as keep:
+        rows = keep(near_copies(docs, keep).groupBy("component", *_KEY).agg(F.count("*").alias("copies")), "components")
+        order = F.struct(F.col("id").isNull(), *_KEY)
+        heads = rows.groupBy("component").agg(F.min(order).alias("head"))
+        judged = rows.join(heads, "component").withColumn("kept", order == F.col("head"))
+        # rows that go, and rows of which one of several equal ones stays
+        marked = saved(judged.where("not kept or copies > 1").select(*[F.col(c).alias(f"_near_{c}") for c in _KEY], F.col("kept").alias("_near_kept")), "near-marked")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(*columns, *_key(docs, "_key_"))
+    same = F.col("_key_id").eqNullSafe(F.col("_near_id")) & (F.col("_key_text_hash") == F.col("_near_text_hash")) & (F.col("_key_rest_hash") == F.col("_near_rest_hash"))
+    single = keyed.join(marked, same, "left_anti").select(*columns)
+    several = keyed.join(marked.where("_near_kept"), same, "left_semi").dropDuplicates([f"_key_{c}" for c in _KEY])
+    return single.union(several.select(*columns))

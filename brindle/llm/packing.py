@@ -1,8 +1,8 @@
 """Packing documents into sequences by cutting-stock column generation.
 
 A document's ids are cut into pieces of a whole sequence and a rest; a rest of more than half a
-sequence is cut at the half, since longer pieces go ill together. Pieces fall into length classes; the counts per class, a table of bounded size, go to the driver. There a linear program
-over patterns (multisets of classes that fit a sequence) is solved by column generation: the
+sequence is cut at the half, since longer pieces go ill together. Pieces fall into length classes;
+the counts per class, a table of bounded size, go to the driver. There a linear program over patterns (multisets of classes that fit a sequence) is solved by column generation: the
 duals of the present patterns price the classes, a knapsack dynamic program finds the pattern
 worth most, and it enters while it is worth more than one sequence. The solution is rounded
 down; the few pieces left over are packed best fit, longest first. On the executors pieces are
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +34,8 @@ WIDTH = 8
 #: Stop generating when the sequences used are within this factor of the linear program's bound.
 NEAR = 1.001
 MOST_ROUNDS = 3000
-#: Parts in which each class is ranked, so that no class lands in one task.
-RANK_PARTS = 64
+#: Pieces that one task should rank; each class is ranked in as many parts as follow from it.
+RANK_ROWS = 50_000
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -43,25 +44,26 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, sequence: int = SEQUENC
     """The pieces of every document: whole sequences, then at most one half and a shorter rest."""
     ship(docs.sparkSession)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), end_id.to_bytes(4, "little")
         for b in batches:
-            doc, start, length, crc, total, known = [], [], [], [], [], b["doc_id"].notna().tolist()
-            for d, k, ids in zip(b["doc_id"].tolist(), known, enc.encode(["" if t is None else t for t in b["text"].tolist()]), strict=True):
+            row, start, length, crc, total = [], [], [], [], []
+            for i, ids in enumerate(enc.encode(["" if t is None else t for t in b.column(1).to_pylist()])):
                 ids = memoryview(ids + end)
                 n = len(ids) // 4
                 whole = n // sequence * sequence
                 cuts = [*range(0, whole, sequence), *range(whole, n, sequence // 2), n]
                 for at, to in zip(cuts, cuts[1:], strict=False):
                     part = ids[4 * at : 4 * to]
-                    doc.append(int(d) if k else None)
+                    row.append(i)
                     start.append(at)
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
                     total.append(n)
-            yield pd.DataFrame({"doc_id": pd.array(doc, dtype="Int64"), "start": start, "length": length, "ids_crc32": crc, "doc_tokens": total})
+            doc = b.column(0).take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([doc, *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, _PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, _PIECES)
 
 
 def price(worth: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -165,35 +167,36 @@ def places(planned: list[tuple[int, np.ndarray]]) -> dict[int, np.ndarray]:
 
 
 def assign(cut: DataFrame, sequence: int = SEQUENCE, width: int = WIDTH) -> DataFrame:
-    """pieces -> + sequence_id and offset."""
+    """pieces (a written table) -> + sequence_id and offset."""
     room = sequence // width
     order = [F.asc_nulls_first("doc_id"), "start", "doc_tokens", "ids_crc32"]
-    cut = cut.withColumn("_class", F.ceil(F.col("length") / width).cast("int")).withColumn("_part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(RANK_PARTS)).cast("int"))
+    rank_parts = -(-cut.count() // RANK_ROWS) or 1
+    cut = cut.withColumn("_class", F.ceil(F.col("length") / width).cast("int")).withColumn("_part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(rank_parts)).cast("int"))
     parts = saved(cut.groupBy("_class", "_part").agg(F.count("*").alias("_n")), "pack-counts")
     # one row per class, at most sequence / width of them
     counts = {r["_class"]: r["n"] for r in parts.groupBy("_class").agg(F.sum("_n").alias("n")).collect()}
     at = places(plan(counts, room))
 
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("_class").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = cut.join(F.broadcast(parts.select("_class", "_part", before.alias("_before"))), ["_class", "_part"])
+    ranked = cut.join(parts.select("_class", "_part", before.alias("_before")), ["_class", "_part"])
     ranked = ranked.withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy("_class", "_part").orderBy(*order)) - 1)
 
-    def seat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sequence_id, place = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
-            cls, rank = b["_class"].to_numpy(), b["_rank"].to_numpy()
-            for c in np.unique(cls).tolist():
-                rows, mine = at[c], np.flatnonzero(cls == c)
-                found = rows[np.searchsorted(rows[:, 0], rank[mine], side="right") - 1]
-                nth = rank[mine] - found[:, 0]
-                sequence_id[mine] = found[:, 2] + nth // found[:, 1]
-                place[mine] = found[:, 3] + nth % found[:, 1]
-            yield b.drop(columns=["_class", "_rank"]).assign(sequence_id=sequence_id, _place=place)
+    @F.pandas_udf("sequence_id long, place long")
+    def seat(cls: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        cls, rank = cls.to_numpy(), rank.to_numpy()
+        sequence_id, place = np.zeros(len(cls), np.int64), np.zeros(len(cls), np.int64)
+        for c in np.unique(cls).tolist():
+            rows, mine = at[c], np.flatnonzero(cls == c)
+            found = rows[np.searchsorted(rows[:, 0], rank[mine], side="right") - 1]
+            nth = rank[mine] - found[:, 0]
+            sequence_id[mine] = found[:, 2] + nth // found[:, 1]
+            place[mine] = found[:, 3] + nth % found[:, 1]
+        return pd.DataFrame({"sequence_id": sequence_id, "place": place})
 
     ship(cut.sparkSession)
-    seated = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "_class", "_rank").mapInPandas(seat, _PIECES + ", sequence_id long, _place long")
-    running = Window.partitionBy("sequence_id").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
-    return seated.withColumn("offset", F.coalesce(F.sum("length").over(running), F.lit(0))).drop("_place")
+    seated = ranked.withColumn("_seat", seat("_class", "_rank"))
+    running = Window.partitionBy("_seat.sequence_id").orderBy("_seat.place").rowsBetween(Window.unboundedPreceding, -1)
+    return seated.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("_seat.sequence_id").alias("sequence_id"), F.coalesce(F.sum("length").over(running), F.lit(0)).alias("offset"))
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, sequence: int = SEQUENCE, width: int = WIDTH) -> DataFrame:

@@ -6,8 +6,9 @@ text alone (lengths, ratios of capitals, symbols, repeats, lines), each cut at t
 into one of BINS indicator features. The machine's pairwise part is a sum over factors of
 ((sum v x)^2 - sum v^2 x^2) / 2, linear in the number of features.
 
-Training takes at most TRAIN_DOCS labelled rows, the first by hash among those not held out; their
-sparse features go to the driver, where the machine is fitted by Adam steps.
+Training takes at most TRAIN_DOCS labelled rows, the first by hash among those not held out that
+``docs`` holds, rows of one id and text counting once; their sparse features go to the driver,
+where the machine is fitted by Adam steps.
 
 Edge cases: null text counts as empty; an empty text has a score from its statistics alone; very
 long texts are used whole; without labels every score is 0.5; documents with several labels take
@@ -20,16 +21,14 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.functions.shipping import ship
-from brindle.llm.common import WORD_RE, held_out, table
+from brindle.llm.common import WORD_RE, each_text, held_out, table
 
 WORD_BUCKETS = 1 << 15
 BINS = 12
@@ -85,6 +84,12 @@ def _binned(edges: np.ndarray, stats: np.ndarray) -> np.ndarray:
     return WORD_BUCKETS + np.arange(N_STATS) * BINS + bins
 
 
+def pairwise(v: np.ndarray, x: np.ndarray) -> float:
+    """The sum over i < j of <v_i, v_j> x_i x_j, in time linear in the number of features."""
+    vx = v * x[:, None]
+    return 0.5 * float((vx.sum(axis=0) ** 2 - (vx**2).sum(axis=0)).sum())
+
+
 def train(rows: list[tuple[int, list[int], list[float], list[float]]], seed: int = 5) -> Model:
     """rows: (label, word buckets, values, statistics)."""
     size = WORD_BUCKETS + N_STATS * BINS
@@ -126,39 +131,44 @@ def train(rows: list[tuple[int, list[int], list[float], list[float]]], seed: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
-    ship(docs.sparkSession)
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(most)  # the documented bound
-
-    def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [features("" if t is None else t) for t in b["text"].tolist()]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "at": [g[0] for g in got], "x": [g[1].astype(np.float32) for g in got], "stats": [g[2] for g in got]})
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(sparse, "doc_id long, quality int, at array<int>, x array<float>, stats array<double>")
-    return train([(r["quality"], r["at"], r["x"], r["stats"]) for r in sorted(rows.toLocalIterator(), key=lambda r: (r["doc_id"], len(r["at"])))])
+    rows = docs.select("doc_id", F.xxhash64("text").alias("_h"), "text")
+    luck = F.xxhash64("doc_id", "_h", F.lit(3))
+    # the documented bound: different labelled texts that docs holds, the first by hash
+    chosen = rows.select("doc_id", "_h").join(known, "doc_id").distinct().orderBy(luck, "doc_id", "_h").limit(most)
+    label = {(r["doc_id"], r["_h"]): r["quality"] for r in chosen.collect()}
+    if not label:
+        return train([])
+    # repeated rows are made one before their features are taken and sent
+    texts = rows.join(chosen.select("doc_id", "_h"), ["doc_id", "_h"], "left_semi").dropDuplicates(["doc_id", "_h"])
+
+    def sparse(texts: list[str]) -> dict:
+        got = [features(t) for t in texts]
+        return {"at": pa.array([g[0].astype(np.int32) for g in got], pa.list_(pa.int32())), "x": pa.array([g[1].astype(np.float32) for g in got], pa.list_(pa.float32())), "stats": pa.array([g[2] for g in got], pa.list_(pa.float64()))}
+
+    numbered = texts.withColumn("_n", luck)
+    by_luck = {r["_n"]: label[r["doc_id"], r["_h"]] for r in chosen.withColumn("_n", luck).collect()}
+    found = each_text(numbered, sparse, "at array<int>, x array<float>, stats array<double>", "_n")
+    return train([(by_luck[r["_n"]], r["at"], r["x"], r["stats"]) for r in sorted(found.toLocalIterator(), key=lambda r: r["_n"])])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score, the probability that a text would be labelled 1."""
-    ship(docs.sparkSession)
     edges, bias, weights, factors = model
     weights, factors = weights.astype(np.float32), factors.astype(np.float32)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for t in b["text"].tolist():
-                at, x, stats = features("" if t is None else t)
-                at = np.concatenate([at, _binned(edges, np.array([stats]))[0]])
-                x = np.concatenate([x, np.ones(N_STATS)])
-                vx = factors[at] * x[:, None]
-                z = bias + float(weights[at] @ x) + 0.5 * float((vx.sum(axis=0) ** 2 - (vx**2).sum(axis=0)).sum())
-                out.append(1 / (1 + np.exp(-min(max(z, -30), 30))))
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": out})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(score, "doc_id long, score double")
+    def score(texts: list[str]) -> dict:
+        out = []
+        for t in texts:
+            at, x, stats = features(t)
+            at = np.concatenate([at, _binned(edges, np.array([stats]))[0]])
+            x = np.concatenate([x, np.ones(N_STATS)])
+            z = bias + float(weights[at] @ x) + pairwise(factors[at], x)
+            out.append(float(1 / (1 + np.exp(-min(max(z, -30), 30)))))
+        return {"score": pa.array(out, pa.float64())}
+
+    return each_text(docs, score, "score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Quality rules: one threshold table, compiled into one projection of built-in functions.
 
-Edge cases: a null or empty text has no words, fails the base rule and is not kept; repeated
-rows are judged row by row; an empty table gives an empty result; input columns are dropped
-unless named in ``carry`` (a carried column whose name clashes with a result gives way).
+Edge cases: a null or empty text has no words, fails the base rule and is not kept; very long
+texts are judged whole; repeated rows are judged row by row; an empty table gives an empty result;
+input columns are dropped unless named in ``carry`` (a carried column whose name clashes with a
+result gives way).
 """
 
 from __future__ import annotations
@@ -23,6 +24,13 @@ STOP_WORDS = (
 ).split()
 
 
+#: Fixed value: what is trimmed off a word before it is looked up among the stop words.
+EDGES = ".,;:!?()[]*#$%&|<>-_\""
+
+#: Columns that the rules make.
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", "n_repeat_words", "base_failed", "failed_rules", "kept")
+
+
 class Rule(NamedTuple):
     """Keep a text when low <= metric <= high; metric is SQL over the statistics columns."""
 
@@ -47,22 +55,25 @@ def statistics(df: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc
     n_repeat_words, n_stop_words of every whole text.
 
     Repeated windows are found inside each row: the 8-word windows are hashed to 64 bits; only
-    rows where a hash recurs go on to sort (hash, position) pairs.
+    rows where a hash recurs go on to sort (hash, position) pairs, and there the words decide.
     """
     w, blank = "regexp_extract_all(_text, '[^\\\\x20\\\\x09-\\\\x0D]+', 0)", r"[^\x20\x09-\x0D]"
     stop = ", ".join(f"'{x}'" for x in dict.fromkeys(STOP_WORDS))
-    out = df.select(*[F.col(c) for c in carry], F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    kept = [c for c in carry if c not in RESULTS]
+    # carried columns travel in a struct, where no name of theirs can clash
+    out = df.select(F.struct(*[F.col(c) for c in kept]).alias("_carried") if kept else F.lit(0).alias("_carried"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     out = out.withColumn("_words", F.expr(w)).withColumn(
         "_lines", F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(blank))
     )
     out = out.select(
-        *carry,
+        "_carried",
+        "_words",
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(F.regexp_replace("_text", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.expr(f"cast(size(filter(_words, x -> x in ({stop}))) as bigint)").alias("n_stop_words"),
+        F.expr(f"cast(size(filter(_words, x -> trim(BOTH '{EDGES}' FROM lower(x)) in ({stop}))) as bigint)").alias("n_stop_words"),
         F.transform("_words", lambda x: F.xxhash64(x)).alias("_hashes"),
     )
     out = out.withColumn(
@@ -73,12 +84,14 @@ def statistics(df: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc
         "_sorted",
         F.expr("if(size(array_distinct(_windows)) = size(_windows), array(), array_sort(transform(_windows, (h, i) -> struct(h, i))))"),
     ).drop("_windows")
+    same = "(x.h = get(_sorted, i {0} 1).h and slice(_words, x.i + 1, 8) = slice(_words, get(_sorted, i {0} 1).i + 1, 8))"
     out = out.withColumn(
         "_at",
-        F.expr("array_sort(transform(filter(_sorted, (x, i) -> x.h = get(_sorted, i - 1).h or x.h = get(_sorted, i + 1).h), x -> x.i))"),
-    ).drop("_sorted")
+        F.expr(f"array_sort(transform(filter(_sorted, (x, i) -> {same.format('-')} or {same.format('+')}), x -> x.i))"),
+    ).drop("_sorted", "_words")
     covered = "aggregate(transform(_at, (p, i) -> least(8, coalesce(get(_at, i + 1) - p, 8))), 0L, (a, x) -> a + x)"
-    return out.withColumn("n_repeat_words", F.expr(covered)).drop("_at")
+    out = out.withColumn("n_repeat_words", F.expr(covered))
+    return out.select(*(["_carried.*"] if kept else []), *RESULTS[:7])
 
 
 def verdicts(stats: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -127,7 +140,7 @@ s AS (
   SELECT t.doc_id, len(ws) AS n_words, len(array_to_string(ws, '')) AS word_chars,
     len(txt) - len(regexp_replace(txt, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) AS n_lines,
     len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
-    len(list_filter(ws, lambda x: x IN ({stop}))) AS n_stop_words
+    len(list_filter(ws, lambda x: trim(lower(x), '{EDGES}') IN ({stop}))) AS n_stop_words
   FROM t LEFT JOIN cov USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -4,15 +4,17 @@ Fingerprints link at Hamming distance RADIUS = 3 or less. Two fingerprints that
 most one bit of their upper or of their lower half, so there is one vantage-point tree for each
 half: an inner node has a vantage point and a distance t, and sends what lies within t to its left
 child, the rest to its right. A fingerprint is a member of one leaf (a shard) of each tree; as a
-query it also visits every shard that its ball of radius 1 reaches, which the triangle inequality
-tells: left if d - 1 <= t, right if d + 1 > t. Within a shard all members are compared with all
-members and visitors on all 64 bits. So every linked pair meets, in one tree or the other.
-
-The trees are fitted on a bounded sample (at most SAMPLE fingerprints, never more than one in 32);
-all fingerprints are indexed. A shard of more than TILE rows is compared in tiles, each a task of
-its own. A tile does not give its pairs but a forest of links that joins the same fingerprints, so
-a large group of near copies costs rows by its size, not by its square. Copies (equal fingerprints)
-are one node throughout.
+query it also reaches every shard that its ball of radius 1 touches, which the triangle inequality
+tells: left if d - 1 <= t, right if d + 1 > t. Of two linked fingerprints with different shards
+each reaches the other's, so a query visits only shards before its own. Within a shard members and
+visitors are compared with all members on all 64 bits, through a vantage-point tree of the task's
+own. So every linked pair meets, in one tree or the other.
+
+The trees are fitted on a sample of one fingerprint in PER_SAMPLE (at most SAMPLE); all fingerprints
+are indexed. A shard of more than TILE rows is compared in tiles, each a task of its own. A tile
+does not give its pairs but a forest of links that joins the same fingerprints, so a large group of
+near copies costs rows by its size, not by its square. Copies (equal fingerprints) are one node
+throughout.
 
 Edge cases: null and empty texts have fingerprint zero and are linked like any other; a text of
 fewer words than a shingle is one shingle; very long texts are hashed in runs; repeated rows are
@@ -22,59 +24,73 @@ none); an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.functions.scratch import Scratch
 from brindle.functions.shipping import ship
-from brindle.llm.common import WORD_RE, saved, table
+from brindle.llm.common import each_text, saved, table
 from brindle.llm.components import components
-from brindle.llm.near_copies import near_copies
 
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-SAMPLE = 65_536
-#: Fingerprints that a leaf should hold.
+#: Fingerprints that a shard should hold, and that a leaf of a task's own tree should.
+SHARD = 16_384
 LEAF = 512
-TILE = 2048
+#: The trees are fitted on one fingerprint in so many, SAMPLE at most.
+PER_SAMPLE = 256
+SAMPLE = 1 << 20
+TILE = 65_536
 _HALVES = ((32, 0xFFFFFFFF), (0, 0xFFFFFFFF))
-_LOWER = str.maketrans({c: c + 32 for c in range(ord("A"), ord("Z") + 1)})
+
+
+def lowered(text: str | None) -> list[bytes]:
+    """The words of a text as UTF-8, A-Z in lower case; bytes are split at just the blanks that end words."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit hashes set each bit."""
+    out = np.zeros(64, np.int64)
+    for low in range(0, len(hashes), 65_536):
+        bits = np.unpackbits(hashes[low : low + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out += bits.sum(axis=0, dtype=np.int64)
+    return out
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes set."""
+    return int.from_bytes(np.packbits(2 * ones(hashes) > len(hashes), bitorder="little").tobytes(), "little")
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The SimHash of a text's word shingles; bit i is set where over half of the hashes set it."""
     from xxhash import xxh64_intdigest
 
-    words = WORD_RE.findall((text or "").translate(_LOWER))
+    words = lowered(text)
     if not words:
         return 0
     k = min(shingle, len(words))
-    joined = " ".join(words).encode("utf-8", "surrogatepass")
+    joined = b" ".join(words)
     blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     starts = np.concatenate([[0], blanks + 1]).tolist()
     ends = np.concatenate([blanks, [len(joined)]]).tolist()[k - 1 :]
-    n, ones = len(ends), np.zeros(64, np.int64)
-    for low in range(0, n, 65_536):
-        part = [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[low : low + 65_536], ends[low : low + 65_536], strict=False)]
-        bits = np.unpackbits(np.array(part, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+    return majority(np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=False)], dtype=np.uint64))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed number)."""
-    ship(docs.sparkSession)
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in b["text"].tolist()], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fp.view(np.int64)})
+    def each(texts: list[str]) -> dict:
+        return {"fp": pa.array(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))}
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(each, "doc_id long, fp long")
+    return each_text(docs, each, "fp long")
 
 
 def _half(fp: np.ndarray, tree: int) -> np.ndarray:
@@ -149,15 +165,36 @@ def forest(all_: np.ndarray, members: np.ndarray, radius: int = RADIUS) -> tuple
     return np.array(u, dtype=np.uint64), np.array(v, dtype=np.uint64)
 
 
-def links(groups: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
+def linked(all_: np.ndarray, members: np.ndarray, tree: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """forest() of fingerprints that are near in one half, through a tree of the members."""
+    reach = radius // len(_HALVES)
+    half = _half(members, tree)
+    nodes = grow(half, LEAF)
+    row, leaf = route(nodes, half, 0)
+    seen, at = route(nodes, _half(all_, tree), reach)
+    by_leaf, by_visit = np.argsort(leaf, kind="stable"), np.argsort(at, kind="stable")
+    row, leaf, seen, at = row[by_leaf], leaf[by_leaf], seen[by_visit], at[by_visit]
+    u, v = [], []
+    for k in np.unique(leaf).tolist():
+        mine = members[row[np.searchsorted(leaf, k) : np.searchsorted(leaf, k, side="right")]]
+        a, b = forest(all_[seen[np.searchsorted(at, k) : np.searchsorted(at, k, side="right")]], mine, radius)
+        u.append(a)
+        v.append(b)
+    none = np.zeros(0, np.uint64)
+    return np.concatenate(u or [none]), np.concatenate(v or [none])
+
+
+def links(groups: DataFrame, n: int, keep: Callable[[DataFrame, str], DataFrame] = saved, radius: int = RADIUS) -> DataFrame:
     """(a, b): links between different fingerprints of groups (column fp, n rows) that join all
-    those within radius."""
+    those within radius. keep writes the tables between."""
     spark = groups.sparkSession
     reach = radius // len(_HALVES)
-    size = min(SAMPLE, max(1, n // 32))
-    sample = np.array([r["fp"] for r in groups.select("fp").orderBy(F.xxhash64("fp", F.lit(11)), "fp").limit(size).collect()], dtype=np.int64)
-    per_leaf = max(1, size * LEAF // max(n, 1))
-    trees = [grow(np.unique(_half(sample, t)), per_leaf, t) for t in range(len(_HALVES))]
+    size = min(SAMPLE, -(-n // PER_SAMPLE))
+    one_in = max(1, n // max(1, size))
+    drawn = groups.where(F.pmod(F.xxhash64("fp", F.lit(11)), F.lit(one_in)) == 0).orderBy("fp").limit(SAMPLE)
+    sample = drawn.select("fp").toArrow().column(0).to_numpy()
+    per_leaf = max(1, SHARD // one_in)
+    trees = [grow(_half(sample, t), per_leaf, t) for t in range(len(_HALVES))]
     held = spark.sparkContext.broadcast(trees)  # nodes of a tree over at most SAMPLE points
     ship(spark)
 
@@ -168,12 +205,13 @@ def links(groups: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
                 half = _half(fp, t)
                 home = _in_order(*route(nodes, half, 0))
                 row, leaf = route(nodes, half, reach)
+                row, leaf = row[leaf <= home[row]], leaf[leaf <= home[row]]
                 yield pd.DataFrame({"tree": np.full(len(row), t, np.int32), "leaf": leaf.astype(np.int32), "fp": fp[row], "member": home[row] == leaf})
 
-    shards = saved(groups.select("fp").mapInPandas(to_shards, "tree int, leaf int, fp long, member boolean"), "vp-shards")
-    # one row per leaf: how many tiles its members, and its members and visitors, make
-    sizes = shards.groupBy("tree", "leaf").agg(F.ceil(F.count_if("member") / TILE).cast("int").alias("m"), F.ceil(F.count("*") / TILE).cast("int").alias("a"))
-    tiles = shards.join(F.broadcast(saved(sizes, "vp-sizes")), ["tree", "leaf"])
+    shards = keep(groups.select("fp").mapInPandas(to_shards, "tree int, leaf int, fp long, member boolean"), "shards")
+    # one row per shard: how many tiles its members, and its members and visitors, make
+    sizes = keep(shards.groupBy("tree", "leaf").agg(F.ceil(F.count_if("member") / TILE).cast("int").alias("m"), F.ceil(F.count("*") / TILE).cast("int").alias("a")), "sizes")
+    tiles = shards.join(sizes, ["tree", "leaf"])
     luck = F.xxhash64("fp", F.lit(13))
     asked = tiles.withColumn("i", F.pmod(luck, F.col("a")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumn("side", F.lit(0))
     kept = tiles.where("member").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("a") - 1))).withColumn("j", F.pmod(luck, F.col("m")).cast("int")).withColumn("side", F.lit(1))
@@ -181,7 +219,7 @@ def links(groups: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         fp, side = rows["fp"].to_numpy().view(np.uint64), rows["side"].to_numpy()
-        u, v = forest(fp[side == 0], fp[side == 1], radius)
+        u, v = linked(fp[side == 0], fp[side == 1], int(rows["tree"].iloc[0]), radius)
         return pd.DataFrame({"a": u.view(np.int64), "b": v.view(np.int64)})
 
     return asked.where("m > 0").select(cols).union(kept.select(cols)).groupBy("tree", "leaf", "i", "j").applyInPandas(compare, "a long, b long")
@@ -195,25 +233,24 @@ def _in_order(row: np.ndarray, leaf: np.ndarray) -> np.ndarray:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id, the least doc_id that links of near fingerprints reach."""
-    fps = saved(fingerprints(docs, shingle), "simhash-fps")
-    groups = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-groups")
-    found = saved(links(groups, groups.count(), radius), "simhash-links")
-    linked = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    # few fingerprints have links: only those are given a component's least id
-    named = linked.withColumnRenamed("node", "fp").join(groups, "fp")
-    ids = named.groupBy("label").agg(F.min("least").alias("component"))
-    named = saved(named.join(ids, "label").select("fp", "component"), "simhash-components")
-    groups = groups.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    with Scratch(docs.sparkSession, "simhash") as keep:
+        fps = saved(fingerprints(docs, shingle), "simhash-fps")
+        groups = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
+        found = keep(links(groups, groups.count(), keep, radius), "links")
+        joined = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")), keep)
+        # few fingerprints have links: only those are given a component's least id
+        named = joined.withColumnRenamed("node", "fp").join(groups, "fp")
+        ids = named.groupBy("label").agg(F.min("least").alias("component"))
+        named = keep(named.join(ids, "label").select("fp", "component"), "components")
+        groups = saved(groups.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")), "simhash-groups")
     return fps.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component of near copies, that of the least doc_id. Rows that
-    share a doc_id are one document, of which one stays; rows without a doc_id stay."""
-    chosen = near_copies(docs).select(F.col("component_id").alias("doc_id")).distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = docs.join(chosen, "doc_id", "left_semi").withColumn("_simhash_nth", F.row_number().over(first)).where("_simhash_nth = 1")
-    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
+    """docs with one row of each group of near copies (five-word shingles, Jaccard 0.8 or more)."""
+    from brindle.llm.near_copies import keep_first
+
+    return keep_first(docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

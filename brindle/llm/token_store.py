@@ -8,11 +8,18 @@ where the vocabulary allows, else u32), documents one after another in ascending
 reads a few words of index and then one run of ids.
 
 Files are written by range-partitioned tasks under names of their own attempt; the manifest
-names those of the attempts that counted, so a task can be lost and run again.
+names those of the attempts that counted, so a task can be lost and run again. A key that many
+rows share spreads over tasks by a hash of the text, and a task writes a further shard as soon as
+one is full.
+
+Reading asks the index: keys are dealt to the shards that may hold them (by the shards' first and
+last keys, a row for each shard on the driver), each shard's hash gives the documents of its keys,
+and neighbouring documents are read in one run.
 
 Edge cases: null text is encoded as empty, so only the end id is stored; null keys come first
-and are found by key None; rows with one key are stored side by side (in text order) and found
-together; an empty table gives no shards and no rows; other columns are ignored.
+and are found by key None; rows with one key are stored side by side (in order of a hash of the
+text) and found together; very long texts are stored whole; an empty table gives no shards and no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,17 +30,23 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brindle.functions.scratch import shared_dir
 from brindle.functions.shipping import ship
 from brindle.llm import perfect_hash
-from brindle.llm.common import saved, shared_dir, table
+from brindle.llm.common import saved, table
 from brindle.llm.encoding import encoder
 
 MARK = b"BRTOKEN1"
 SHARD_BYTES = 16 << 20
+#: Ids and documents beyond which a task begins a further shard.
+FULL_IDS, FULL_DOCS = 16 << 20, 1 << 19
+#: Ids that one read takes at most.
+READ_IDS = 1 << 20
 
 
 def _files(uri: str):
@@ -81,31 +94,66 @@ class Shard:
         kind, high = np.dtype(kind), n if high is None else high
         return np.frombuffer(self.file.read_at((high - low) * kind.itemsize, self.base + offset + low * kind.itemsize), dtype=kind)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The ordinal of each key's first document, -1 for unknown keys."""
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, -1 for unknown keys."""
         keys = keys.astype(np.int64).view(np.uint64)
         at = perfect_hash.slots(self.index, keys)
-        out = np.full(len(keys), -1, np.int64)
         ok = np.flatnonzero(at >= 0)
-        ok = ok[self.index["fingerprint"][at[ok]] == perfect_hash.fingerprint(keys[ok])]
-        out[ok] = self.index["ordinal"][at[ok]]
+        at[ok[self.index["fingerprint"][at[ok]] != perfect_hash.fingerprint(keys[ok])]] = -1
+        return at
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The ordinal of each key's first document, -1 for unknown keys."""
+        at = self.slots(keys)
+        out = np.full(len(keys), -1, np.int64)
+        out[at >= 0] = self.index["ordinal"][at[at >= 0]]
         return out
 
+    def ordinals(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ordinal, which key) of every document with one of the keys."""
+        at = self.slots(keys)
+        known = np.flatnonzero(at >= 0)
+        copies = self.index["copies"][at[known]]
+        which = np.repeat(known, copies)
+        nth = np.arange(len(which)) - np.repeat(np.cumsum(copies) - copies, copies)
+        return self.index["ordinal"][at[which]] + nth, which
+
+    def unkeyed(self) -> np.ndarray:
+        """The ordinals of the documents without a key."""
+        return np.flatnonzero(self.index["valid"] == 0)
+
     def get(self, key: int | None) -> list[np.ndarray]:
         """The ids of every document with this key."""
-        if key is None:
-            return [self.ids(i) for i in np.flatnonzero(self.index["valid"] == 0)]
-        first = int(self.find(np.array([key]))[0])
-        if first < 0:
-            return []
-        slot = int(perfect_hash.slots(self.index, np.array([key]).astype(np.int64).view(np.uint64))[0])
-        return [self.ids(first + i) for i in range(int(self.index["copies"][slot]))]
+        found = self.unkeyed() if key is None else self.ordinals(np.array([key]))[0]
+        return [self.ids(int(i)) for i in found]
 
     def ids(self, ordinal: int) -> np.ndarray:
         return self._section("ids", int(self.index["starts"][ordinal]), int(self.index["starts"][ordinal + 1]))
 
+    def crcs(self, ordinals: np.ndarray) -> np.ndarray:
+        """crc32 of the u32 ids of each document; ordinals ascend, and neighbours are read in one run."""
+        starts, out = self.index["starts"], np.zeros(len(ordinals), np.int64)
+        lows, highs = starts[ordinals].tolist(), starts[ordinals + 1].tolist()
+        i = 0
+        while i < len(lows):
+            j = i + 1
+            while j < len(lows) and lows[j] == highs[j - 1] and highs[j] - lows[i] <= READ_IDS:
+                j += 1
+            if j == i + 1:  # alone, and perhaps long
+                crc = 0
+                for at in range(lows[i], highs[i], READ_IDS):
+                    crc = zlib.crc32(self._section("ids", at, min(highs[i], at + READ_IDS)).astype("<u4").tobytes(), crc)
+                out[i] = crc
+            else:
+                run = memoryview(self._section("ids", lows[i], highs[j - 1]).astype("<u4").tobytes())
+                for k in range(i, j):
+                    out[k] = zlib.crc32(run[4 * (lows[k] - lows[i]) : 4 * (highs[k] - lows[i])])
+            i = j
+        return out
+
 
-_MANIFEST = "shard int, uri string, n_docs long, n_ids long, first_key long, last_key long"
+_MANIFEST = "shard long, uri string, n_docs long, n_null long, n_ids long, first_key long, last_key long"
+_KINDS = pa.schema([("shard", pa.int64()), ("uri", pa.string()), ("n_docs", pa.int64()), ("n_null", pa.int64()), ("n_ids", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64())])
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -117,68 +165,103 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(spark.sparkContext.defaultParallelism, -(-size // shard_bytes))
 
-    def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         enc, end = encoder(tokenizer), end_id.to_bytes(4, "little")
-        keys, valid, ids = [], [], []
+        part, made = TaskContext.get().partitionId(), 0
+        keys, valid, ids, held = [], [], [], 0
+
+        def full() -> pa.RecordBatch:
+            uri = f"{folder}/shard-{part:06d}-{made:04d}-{uuid.uuid4().hex}.tokens"
+            k, v = np.array(keys, dtype=np.int64), np.array(valid, dtype=bool)
+            head, sections = pack_shard(k, v, ids, wide=enc.n_ids > 1 << 16 or end_id >= 1 << 16)
+            files, path = _files(uri)
+            files.create_dir(path.rpartition("/")[0], recursive=True)
+            with files.open_output_stream(path) as out:
+                out.write(head)
+                for p in sections:
+                    out.write(p)
+            known = k[v].tolist()
+            row = {"shard": (part << 20) + made, "uri": uri, "n_docs": len(k), "n_null": int((~v).sum()), "n_ids": held, "first_key": known[0] if known else None, "last_key": known[-1] if known else None}
+            return pa.RecordBatch.from_pylist([row], schema=_KINDS)
+
         for b in batches:
-            known = b["doc_id"].notna().to_numpy()
-            keys.append(b["doc_id"].fillna(0).to_numpy().astype(np.int64))
-            valid.append(known)
-            ids += [x + end for x in enc.encode(["" if t is None else t for t in b["text"].tolist()])]
-        if not ids:
-            return
-        part = TaskContext.get().partitionId()
-        uri = f"{folder}/shard-{part:06d}-{uuid.uuid4().hex}.tokens"
-        k, v = np.concatenate(keys), np.concatenate(valid)
-        head, parts = pack_shard(k, v, ids, wide=enc.n_ids > 1 << 16 or end_id >= 1 << 16)
-        files, path = _files(uri)
-        files.create_dir(path.rpartition("/")[0], recursive=True)
-        with files.open_output_stream(path) as out:
-            out.write(head)
-            for p in parts:
-                out.write(p)
-        known = k[v]
-        yield pd.DataFrame({"shard": [part], "uri": [uri], "n_docs": [len(k)], "n_ids": [sum(map(len, ids)) // 4], "first_key": [known[0] if len(known) else None], "last_key": [known[-1] if len(known) else None]})
-
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(int(n), F.asc_nulls_first("doc_id"))
-    manifest = saved(ordered.sortWithinPartitions(F.asc_nulls_first("doc_id"), "text").mapInPandas(shards, _MANIFEST), "token-manifest")
+            texts = ["" if t is None else t for t in b.column(1).to_pylist()]
+            for key, x in zip(b.column(0).to_pylist(), enc.encode(texts), strict=True):
+                keys.append(0 if key is None else key)
+                valid.append(key is not None)
+                ids.append(x + end)
+                held += len(x) // 4 + 1
+                if held >= FULL_IDS or len(ids) >= FULL_DOCS:
+                    yield full()
+                    made, held = made + 1, 0
+                    keys, valid, ids = [], [], []
+        if ids:
+            yield full()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_h"))
+    order = [F.asc_nulls_first("doc_id"), F.asc("_h")]
+    ordered = rows.repartitionByRange(int(n), *order).sortWithinPartitions(*order).select("doc_id", "text")
+    manifest = saved(ordered.mapInArrow(shards, _MANIFEST), "token-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     return saved(manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), "token-shards")
 
 
-def read(manifest: DataFrame) -> DataFrame:
-    """Every stored document: doc_id, start, n_tokens, ids_crc32, each found through the index."""
+def stored_keys(manifest: DataFrame) -> DataFrame:
+    """doc_id of all that is stored, as the shards list it."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for uri in b.column(0).to_pylist():
+                index = Shard(uri).index
+                yield pa.RecordBatch.from_arrays([pa.array(index["keys"], pa.int64(), mask=index["valid"] == 0)], names=["doc_id"])
+
+    ship(manifest.sparkSession)
+    return manifest.select("uri").mapInArrow(each, "doc_id long")
+
+
+def read(manifest: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document stored under the doc_ids of keys (all
+    that are stored, by default), each found through its shard's index; unknown keys give no row."""
+    bounds = manifest.select("shard", "first_key", "last_key", "n_null").orderBy("shard").toArrow()
+    keyed = bounds.filter(pa.compute.is_valid(bounds["first_key"]))
+    first, last, shard = (keyed[c].to_numpy() for c in ("first_key", "last_key", "shard"))
+    nulls = bounds.filter(pa.compute.greater(bounds["n_null"], 0))["shard"].to_numpy()
 
-    def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.itertuples():
-                shard = Shard(row.uri)
-                keys, valid, starts = shard.index["keys"], shard.index["valid"] == 1, shard.index["starts"]
-                found = shard.find(keys)
-                first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-                first = first[valid[first]]
-                if (found[first] != first).any():
-                    raise ValueError(f"the index of {row.uri} misses a key")
-                crcs, step = [], 1 << 20
-                for low in range(0, len(keys), 4096):
-                    high = min(low + 4096, len(keys))
-                    for i in range(low, high):
-                        crc, end = 0, int(starts[i + 1])
-                        for s in range(int(starts[i]), end, step):
-                            crc = zlib.crc32(shard._section("ids", s, min(end, s + step)).astype("<u4").tobytes(), crc)
-                        crcs.append(crc)
-                yield pd.DataFrame({"doc_id": pd.array(np.where(valid, keys, 0), dtype="Int64").copy(), "start": starts[:-1] + row.base, "n_tokens": np.diff(starts), "ids_crc32": np.array(crcs, dtype=np.int64)}).assign(doc_id=lambda d: d["doc_id"].mask(~valid))
+            known = pa.compute.drop_null(b.column(0)).to_numpy(zero_copy_only=False)
+            low, high = np.searchsorted(last, known), np.searchsorted(first, known, side="right")
+            n = np.maximum(high - low, 0)
+            which = np.repeat(np.arange(len(known)), n)
+            at = low[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(known[which], pa.int64()), pa.array(shard[at], pa.int64())], names=["doc_id", "shard"])
+            if b.num_rows > len(known):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(nulls), pa.int64()), pa.array(nulls, pa.int64())], names=["doc_id", "shard"])
+
+    def documents(asked: pa.Table) -> pa.Table:
+        found, base = Shard(asked["uri"][0].as_py()), asked["base"][0].as_py()
+        known = pa.compute.drop_null(asked["doc_id"]).to_numpy()
+        ordinals, which = found.ordinals(known)
+        mine = pa.array(known[which], pa.int64())
+        if len(known) < asked.num_rows:
+            more = found.unkeyed()
+            ordinals, mine = np.concatenate([ordinals, more]), pa.concat_arrays([mine, pa.nulls(len(more), pa.int64())])
+        order = np.argsort(ordinals)
+        ordinals, mine = ordinals[order], mine.take(pa.array(order))
+        starts = found.index["starts"]
+        return pa.table({"doc_id": mine, "start": pa.array(starts[ordinals] + base), "n_tokens": pa.array(starts[ordinals + 1] - starts[ordinals]), "ids_crc32": pa.array(found.crcs(ordinals))})
 
     ship(manifest.sparkSession)
-    n = max(1, manifest.count())
-    return manifest.repartitionByRange(n, "shard").mapInPandas(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    keys = stored_keys(manifest) if keys is None else keys.select(F.col("doc_id").cast("long").alias("doc_id"))
+    dealt = keys.distinct().mapInArrow(deal, "doc_id long, shard long").distinct()
+    return dealt.join(manifest.select("shard", "uri", "base"), "shard").groupBy("shard").applyInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(manifest: DataFrame, key: int | None) -> list[np.ndarray]:
     """The ids of the documents with a key: one manifest row or two, one index, one read each."""
-    where = F.col("first_key").isNull() | (F.lit(key) <= F.col("last_key")) & (F.lit(key) >= F.col("first_key")) if key is not None else F.lit(True)
+    where = F.col("n_null") > 0 if key is None else (F.lit(key) <= F.col("last_key")) & (F.lit(key) >= F.col("first_key"))
     return [x for r in manifest.where(where).orderBy("shard").toLocalIterator() for x in Shard(r["uri"]).get(key)]
 
 
@@ -189,4 +272,5 @@ def tokenizer_path(name: str) -> str:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(write(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2))
+    docs = table(spark, sf_dir, "documents")
+    return read(write(docs, tokenizer_path("byte_bpe_50k.json"), end_id=2), docs.select("doc_id"))
