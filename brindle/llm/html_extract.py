@@ -1,17 +1,20 @@
 """HTML extraction: flat text blocks, told apart by a decision tree.
 
 A page is cut into flat blocks at block-level tags. Each block has its number of words and its link
-density (the share of words inside links), those of the blocks before and after it, and marks of
-where it stands: in a tag or under a class, id or role that names page furniture, in an article,
-outside of the article of a page that has one, in a heading. A decision tree (Gini, grown on the
-small labelled table below) says which blocks are main text.
+density (the share of words inside links), those of the block before and of the block after it, and
+three marks: it is a heading; it is loose (stands in no paragraph, list item, cell or the like); it
+stands in an element that HTML sets beside the text (nav, aside, footer, form, menu, dialog, a
+header outside of the article) or in one whose class, id or role says reader comments, side bar,
+or notice. A decision tree (Gini, grown on the small labelled table below) says which blocks
+are main text. It may not ask whether a page has an article element.
 
 Scripts, styles, forms' controls, comments and markup never make blocks. Character references are
 decoded, white space inside a block (line breaks included) is one space.
 
 Edge cases: null and empty html give empty text; unclosed and stray tags, cut-off pages and
-unknown references are taken as they stand; very long pages are used whole; repeated rows give the
-same text; an empty table gives an empty result; other columns are ignored.
+unknown references are taken as they stand; very long and deeply nested pages are used whole, in
+time linear in their length; repeated rows give the same text; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.functions.shipping import ship
@@ -34,15 +37,14 @@ BLOCK_TAGS = frozenset(
 )
 RAW_TAGS = frozenset("script style title textarea xmp iframe noembed noframes".split())
 SKIP_TAGS = frozenset("head noscript template svg math select button datalist object audio video canvas".split())
-FURNITURE_TAGS = frozenset("nav header footer aside form menu dialog".split())
+BESIDE_TAGS = frozenset("nav header footer aside form menu dialog".split())
 CONTENT_TAGS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose text is set as text: what stands in none of them is loose.
+TEXT_TAGS = HEADINGS | frozenset("p li td th dd dt blockquote pre figcaption caption legend address summary".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of class, id and role values that name page furniture.
-FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|nav|navbar|navigation|menu|breadcrumbs?|side-?bar|widget|footer|header|masthead|comments?|comment-?list|disqus|replies|reply|respond|cookies?|consent|gdpr|notice|notices|notification|alert|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|popup|modal|overlay|pagination|pager|toolbar|skip-?link|copyright|disclaimer|complementary|contentinfo|search|dialog)(?:$|[\s_-])",
-    re.I,
-)
+#: Names (in class, id or role) of what HTML has no element for.
+BESIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|replies|respond|side-?bar|cookies?|consent|notices?|newsletter|share|related)(?:$|[\s_-])", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 _MARK = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -54,20 +56,19 @@ class Block(NamedTuple):
     text: str
     words: int
     density: float
-    furniture_tag: int
-    furniture_name: int
-    in_content: int
     heading: int
+    loose: int
+    beside: int
 
 
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page, in page order."""
     out: list[Block] = []
-    #: open containers: (tag, furniture tag, furniture name, content, skipped)
-    stack: list[tuple[str, int, int, int, int]] = []
+    #: open containers (tag, beside the text, in content, skipped), and how many there are of each tag
+    stack: list[tuple[str, int, int, int]] = []
+    open_: dict[str, int] = {}
     chunks: list[tuple[str, bool]] = []
-    links = 0
-    heading = 0
+    links = heading = text_tag = 0
     pos, end = 0, len(page)
 
     def flush() -> None:
@@ -76,12 +77,11 @@ def blocks(page: str) -> list[Block]:
             if text:
                 words = text.count(" ") + 1
                 linked = sum(len(c.split()) for c, in_link in chunks if in_link)
-                _, tag, name, content, _ = stack[-1] if stack else ("", 0, 0, 0, 0)
-                out.append(Block(text, words, min(1.0, linked / words), tag, name, content, heading))
+                out.append(Block(text, words, min(1.0, linked / words), heading, 1 - text_tag, stack[-1][1] if stack else 0))
             chunks.clear()
 
     def add(raw: str) -> None:
-        if raw and not (stack and stack[-1][4]):
+        if raw and not (stack and stack[-1][3]):
             chunks.append((references.unescape(raw), links > 0))
 
     while pos < end:
@@ -110,6 +110,7 @@ def blocks(page: str) -> list[Block]:
         if block:
             flush()
             heading = int(tag in HEADINGS and not closing)
+            text_tag = int(tag in TEXT_TAGS and not closing)
             if tag in ("p", "li", "div", "section", "article"):
                 links = 0
         if tag in RAW_TAGS and not closing:
@@ -119,82 +120,81 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID_TAGS or tag in ("p", "html", "body") or not (block or tag in SKIP_TAGS):
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
+            # every container that is passed over is closed, so all closing tags together are linear
+            while open_.get(tag):
+                last = stack.pop()[0]
+                open_[last] -= 1
+                if last == tag:
                     break
             continue
-        _, in_tag, in_name, content, skipped = stack[-1] if stack else ("", 0, 0, 0, 0)
-        named = int(any(FURNITURE.search(_CAMEL.sub("-", x[1] or x[2] or x[3])) for x in _MARK.findall(m[3]))) if m[3] else 0
-        if tag in CONTENT_TAGS and not in_name and not named:
-            in_tag, content = 0, 1
-        elif tag == "header" and content and not in_tag:
-            named = named and 0  # an article's own heading
-        elif tag in FURNITURE_TAGS:
-            in_tag = 1
-        stack.append((tag, in_tag, int(in_name or named), content, int(skipped or tag in SKIP_TAGS)))
+        _, beside, content, skipped = stack[-1] if stack else ("", 0, 0, 0)
+        named = bool(m[3]) and any(BESIDE_NAMES.search(_CAMEL.sub("-", x[1] or x[2] or x[3])) for x in _MARK.findall(m[3]))
+        if tag in CONTENT_TAGS and not named:
+            content = 1
+        elif named or tag in BESIDE_TAGS and not (tag == "header" and content):
+            beside = 1
+        stack.append((tag, beside, content, int(skipped or tag in SKIP_TAGS)))
+        open_[tag] = open_.get(tag, 0) + 1
     flush()
     return out
 
 
-COLUMNS = ("words", "density", "words before", "density before", "words after", "density after", "furniture tag", "furniture name", "in article", "outside of article", "heading")
+COLUMNS = ("words", "density", "words before", "density before", "words after", "density after", "heading", "loose", "beside")
 
 
 def feature_table(found: list[Block]) -> np.ndarray:
-    """One row of COLUMNS per block."""
-    has = any(b.in_content for b in found)
-    words, density = [b.words for b in found], [b.density for b in found]
-    return np.array(
-        [
-            (b.words, b.density, words[i - 1] if i else 0, density[i - 1] if i else 0.0, words[i + 1] if i + 1 < len(found) else 0, density[i + 1] if i + 1 < len(found) else 0.0, b.furniture_tag, b.furniture_name, b.in_content, int(has and not b.in_content), b.heading)
-            for i, b in enumerate(found)
-        ],
-        dtype=float,
-    ).reshape(len(found), len(COLUMNS))
-
-
-#: The labelled table: COLUMNS, then 1 for main text. Typical blocks of pages of several makes.
+    """One row of COLUMNS per block; before the first and after the last block stands nothing."""
+    own = np.array([(b.words, b.density) for b in found], dtype=float).reshape(len(found), 2)
+    before, after = np.zeros_like(own), np.zeros_like(own)
+    before[1:], after[:-1] = own[:-1], own[1:]
+    marks = np.array([(b.heading, b.loose, b.beside) for b in found], dtype=float).reshape(len(found), 3)
+    return np.concatenate([own, before, after, marks], axis=1)
+
+
+#: The labelled table: COLUMNS, then 1 for main text; blocks read off real pages and judged by hand.
+#: Most stand in pages without telling elements, so that words and links must decide.
 LABELLED = np.array(
     [
-        # articles: paragraphs, short ones too, headings, links in running text, quotes, lists
-        (120, 0.0, 8, 0.0, 95, 0.0, 0, 0, 1, 0, 0, 1), (8, 0.0, 3, 1.0, 120, 0.0, 0, 0, 1, 0, 1, 1), (1, 0.0, 60, 0.0, 44, 0.0, 0, 0, 1, 0, 0, 1),
-        (2, 0.0, 1, 1.0, 90, 0.0, 0, 0, 1, 0, 1, 1), (45, 0.2, 80, 0.0, 70, 0.1, 0, 0, 1, 0, 0, 1), (6, 0.5, 40, 0.0, 7, 0.6, 0, 0, 1, 0, 0, 1),
-        (3, 1.0, 70, 0.0, 55, 0.0, 0, 0, 1, 0, 0, 1), (30, 0.0, 5, 0.0, 12, 0.0, 0, 0, 1, 0, 0, 1), (15, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1, 0, 0, 1),
-        (4, 0.0, 12, 0.0, 11, 0.3, 0, 0, 1, 0, 0, 1), (210, 0.05, 180, 0.0, 9, 0.0, 0, 0, 1, 0, 0, 1), (1, 0.0, 2, 0.0, 1, 0.0, 0, 0, 1, 0, 0, 1),
-        (9, 0.0, 50, 0.0, 1, 1.0, 0, 0, 1, 0, 0, 1), (2, 0.0, 75, 0.0, 3, 1.0, 0, 0, 1, 0, 0, 1), (5, 1.0, 4, 1.0, 6, 1.0, 0, 0, 1, 0, 0, 1),
-        (18, 0.0, 3, 1.0, 2, 1.0, 0, 0, 1, 0, 0, 1), (33, 0.1, 20, 0.9, 1, 1.0, 0, 0, 1, 0, 0, 1), (7, 0.0, 1, 1.0, 2, 0.9, 0, 0, 1, 0, 1, 1),
-        (12, 0.9, 45, 0.0, 10, 0.8, 0, 0, 1, 0, 0, 1), (60, 0.0, 4, 1.0, 5, 1.0, 0, 0, 1, 0, 0, 1),
-        # furniture by tag: menus, page headers, footers, asides, forms; long ones too
-        (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 1, 0, 0), (2, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 1, 0, 0), (14, 0.0, 80, 0.0, 0, 0.0, 1, 0, 0, 1, 0, 0),
-        (60, 0.0, 90, 0.0, 40, 0.2, 1, 0, 0, 1, 0, 0), (35, 0.1, 12, 0.0, 3, 1.0, 1, 0, 0, 0, 0, 0), (5, 0.0, 4, 1.0, 7, 0.0, 1, 0, 0, 0, 1, 0),
-        (25, 0.0, 60, 0.0, 60, 0.0, 1, 0, 1, 0, 0, 0), (150, 0.0, 70, 0.0, 30, 0.0, 1, 0, 1, 0, 0, 0), (3, 0.0, 50, 0.0, 2, 0.0, 1, 0, 1, 0, 1, 0),
-        # furniture by name: adverts, notices, sidebars, reader comments, shares; inside articles too
-        (16, 0.0, 1, 1.0, 9, 0.0, 0, 1, 0, 1, 0, 0), (40, 0.0, 100, 0.0, 55, 0.0, 0, 1, 0, 1, 0, 0), (70, 0.0, 4, 0.0, 65, 0.0, 0, 1, 0, 0, 0, 0),
-        (12, 0.3, 30, 0.0, 80, 0.0, 0, 1, 0, 0, 1, 0), (22, 0.0, 85, 0.0, 90, 0.0, 0, 1, 1, 0, 0, 0), (110, 0.0, 60, 0.0, 75, 0.0, 0, 1, 1, 0, 0, 0),
-        (4, 1.0, 75, 0.0, 5, 1.0, 0, 1, 1, 0, 0, 0), (5, 0.0, 90, 0.0, 6, 1.0, 0, 1, 1, 0, 1, 0), (28, 0.0, 14, 0.0, 2, 1.0, 1, 1, 0, 1, 0, 0),
-        # what stands beside the article of a page that has one
-        (30, 0.0, 5, 1.0, 60, 0.0, 0, 0, 0, 1, 0, 0), (3, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 1, 1, 0), (80, 0.0, 90, 0.0, 3, 0.5, 0, 0, 0, 1, 0, 0),
-        (6, 1.0, 7, 1.0, 50, 0.0, 0, 0, 0, 1, 0, 0), (1, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 1, 0, 0),
-        # pages without an article element: text by its length and its neighbours, link lists by density
-        (90, 0.0, 6, 0.0, 75, 0.0, 0, 0, 0, 0, 0, 1), (55, 0.1, 60, 0.0, 80, 0.0, 0, 0, 0, 0, 0, 1), (24, 0.0, 40, 0.0, 35, 0.0, 0, 0, 0, 0, 0, 1),
-        (7, 0.0, 2, 1.0, 85, 0.0, 0, 0, 0, 0, 1, 1), (12, 0.0, 70, 0.0, 45, 0.0, 0, 0, 0, 0, 0, 1), (5, 0.0, 65, 0.0, 50, 0.0, 0, 0, 0, 0, 1, 1),
-        (2, 0.0, 48, 0.0, 66, 0.0, 0, 0, 0, 0, 0, 1), (38, 0.0, 55, 0.0, 1, 1.0, 0, 0, 0, 0, 0, 1), (18, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1),
-        (33, 0.0, 0, 0.0, 41, 0.0, 0, 0, 0, 0, 0, 1), (130, 0.15, 9, 0.9, 12, 0.0, 0, 0, 0, 0, 0, 1), (9, 0.0, 100, 0.0, 2, 0.0, 0, 0, 0, 0, 0, 1),
-        (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 0, 0), (3, 1.0, 2, 1.0, 4, 1.0, 0, 0, 0, 0, 0, 0), (8, 0.9, 0, 0.0, 6, 1.0, 0, 0, 0, 0, 0, 0),
-        (2, 1.0, 90, 0.0, 3, 1.0, 0, 0, 0, 0, 0, 0), (5, 0.8, 4, 1.0, 60, 0.0, 0, 0, 0, 0, 0, 0), (20, 0.9, 15, 0.9, 18, 0.95, 0, 0, 0, 0, 0, 0),
-        (3, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0, 0), (4, 0.0, 5, 1.0, 2, 1.0, 0, 0, 0, 0, 1, 0), (6, 0.4, 3, 1.0, 2, 0.9, 0, 0, 0, 0, 0, 0),
-    ]
+        # headings: after an advert, after a menu, between paragraphs
+        (9, 0, 8, 0, 18, 0, 1, 0, 0, 1), (5, 0, 4, 0, 5, 0, 1, 0, 0, 1), (1, 0, 13, 0, 104, 0, 1, 0, 0, 1), (6, 0, 1, 1, 40, 0, 1, 0, 0, 1), (12, 0, 2, 1, 9, 0, 1, 0, 0, 1),
+        (3, 0, 80, 0, 60, 0, 1, 0, 0, 1), (2, 0, 22, 0, 4, 0, 1, 0, 0, 1), (24, 0, 3, 0, 282, 0, 1, 0, 0, 1), (1, 0, 5, 0.9, 6, 0, 1, 0, 0, 1), (7, 0, 0, 0, 35, 0, 1, 0, 0, 1),
+        # paragraphs of all lengths beside others
+        (26, 0, 22, 0, 22, 0, 0, 0, 0, 1), (97, 0, 93, 0, 92, 0, 0, 0, 0, 1), (3, 0, 3, 0, 3, 0, 0, 0, 0, 1), (1, 0, 1, 0, 1, 0, 0, 0, 0, 1), (1, 0, 26, 0, 40, 0, 0, 0, 0, 1),
+        (208, 0, 9, 0, 1, 0, 0, 0, 0, 1), (2, 0, 14, 0, 75, 0, 0, 0, 0, 1), (48, 0, 79, 0, 12, 0, 0, 0, 0, 1), (9, 0, 48, 0, 11, 0, 0, 0, 0, 1), (1, 0, 2, 0, 16, 0, 0, 0, 0, 1),
+        (45, 0.2, 80, 0, 70, 0.1, 0, 0, 0, 1), (30, 0.35, 12, 0, 44, 0.2, 0, 0, 0, 1), (12, 0.4, 33, 0, 8, 0, 0, 0, 0, 1), (6, 0, 3, 0, 20, 0.3, 0, 0, 0, 1), (150, 0.05, 4, 0, 60, 0, 0, 0, 0, 1),
+        # the first after a menu, the last before links or at the page's end, a page's only one
+        (60, 0, 1, 1, 45, 0, 0, 0, 0, 1), (24, 0, 4, 1, 30, 0, 0, 0, 0, 1), (35, 0, 2, 1, 7, 0, 0, 1, 0, 1), (110, 0.1, 1, 1, 80, 0, 0, 1, 0, 1), (40, 0, 50, 0, 3, 1, 0, 0, 0, 1),
+        (9, 0, 60, 0, 2, 1, 0, 0, 0, 1), (5, 0, 26, 0, 0, 0, 0, 0, 0, 1), (26, 0, 30, 0, 0, 0, 0, 0, 0, 1), (70, 0, 41, 0, 0, 0, 0, 1, 0, 1), (15, 0, 0, 0, 0, 0, 0, 0, 0, 1), (22, 0, 0, 0, 0, 0, 0, 1, 0, 1),
+        # paragraphs of pages that are all divisions
+        (60, 0, 45, 0, 70, 0, 0, 1, 0, 1), (25, 0, 60, 0, 40, 0, 0, 1, 0, 1), (33, 0, 7, 0, 28, 0, 0, 1, 0, 1), (11, 0, 50, 0, 44, 0, 0, 1, 0, 1), (18, 0.1, 29, 0, 90, 0, 0, 1, 0, 1),
+        (90, 0, 12, 0, 5, 1, 0, 1, 0, 1), (9, 0, 33, 0, 61, 0, 0, 1, 0, 1), (8, 0, 12, 0, 26, 0, 0, 1, 0, 1), (14, 0, 70, 0, 21, 0, 0, 1, 0, 1), (10, 0, 0, 0, 55, 0, 0, 1, 0, 1),
+        # menus and lists of links
+        (1, 1, 1, 1, 1, 1, 0, 0, 0, 0), (1, 1, 0, 0, 1, 1, 0, 0, 1, 0), (1, 1, 1, 1, 8, 0, 0, 0, 0, 0), (3, 1, 2, 1, 4, 1, 0, 0, 0, 0), (2, 1, 5, 1, 1, 1, 0, 1, 0, 0),
+        (5, 0.8, 4, 1, 60, 0, 0, 1, 0, 0), (6, 1, 7, 1, 50, 0, 0, 0, 1, 0), (4, 0.9, 60, 0, 5, 1, 0, 0, 0, 0), (20, 0.9, 15, 0.9, 18, 0.95, 0, 0, 0, 0), (2, 1, 90, 0, 3, 1, 0, 0, 0, 0),
+        (8, 1, 70, 0, 0, 0, 0, 0, 0, 0), (1, 1, 13, 0, 1, 1, 0, 1, 1, 0), (12, 0.7, 3, 1, 2, 1, 0, 0, 0, 0), (1, 1, 1, 1, 13, 0, 0, 0, 1, 0), (10, 0.6, 1, 1, 9, 0.8, 0, 1, 0, 0),
+        # adverts and lines between links and text
+        (8, 0, 1, 1, 9, 0, 0, 1, 0, 0), (12, 0, 1, 1, 12, 0, 0, 1, 0, 0), (4, 0, 1, 1, 6, 0, 0, 1, 0, 0), (13, 0, 1, 1, 5, 0, 0, 1, 0, 0), (6, 0, 1, 1, 24, 0, 0, 0, 0, 0),
+        (3, 0, 2, 1, 40, 0, 0, 0, 0, 0), (10, 0, 3, 0.9, 1, 0, 0, 0, 0, 0), (2, 0, 4, 1, 90, 0, 0, 1, 0, 0), (3, 0, 2, 1, 2, 1, 0, 1, 0, 0), (6, 0.4, 3, 1, 2, 0.9, 0, 0, 0, 0),
+        (2, 0, 1, 1, 3, 1, 1, 0, 0, 0), (1, 0, 4, 1, 2, 1, 1, 0, 0, 0), (4, 0, 5, 0.9, 6, 1, 1, 0, 0, 0),
+        # adverts inside of the text, what a page ends with
+        (1, 0, 6, 0, 1, 0, 0, 1, 0, 0), (3, 0, 40, 0, 50, 0, 0, 1, 0, 0), (2, 0, 90, 0, 26, 0, 0, 1, 0, 0), (4, 0, 22, 0, 9, 0, 0, 1, 0, 0), (5, 0, 3, 0, 60, 0, 0, 1, 0, 0),
+        (11, 0, 48, 0, 0, 0, 0, 1, 0, 0), (9, 0, 2, 0, 0, 0, 0, 1, 0, 0), (15, 0, 80, 0, 0, 0, 0, 1, 1, 0), (7, 0, 96, 0, 0, 0, 0, 1, 0, 0), (16, 0, 13, 0, 0, 0, 0, 1, 0, 0), (13, 0.2, 1, 1, 0, 0, 0, 1, 1, 0),
+        # side bars, notices, forms and readers' comments, long ones too
+        (60, 0, 90, 0, 40, 0.2, 0, 0, 1, 0), (28, 0, 14, 0, 22, 0, 0, 0, 1, 0), (2, 0, 50, 0, 4, 1, 1, 0, 1, 0), (25, 0, 0, 0, 6, 1, 0, 1, 1, 0), (10, 0, 2, 0, 1, 0, 0, 0, 1, 0),
+        (1, 0, 30, 0, 1, 0, 0, 1, 1, 0), (150, 0, 70, 0, 30, 0, 0, 0, 1, 0), (5, 0, 26, 0, 18, 0, 1, 0, 1, 0), (40, 0, 12, 0, 55, 0, 0, 0, 1, 0), (9, 0, 60, 0, 11, 0, 0, 0, 1, 0),
+    ],
+    dtype=float,
 )
 
 
-def grow(rows: np.ndarray, depth: int = 8) -> tuple:
+def grow(rows: np.ndarray, depth: int = 12) -> tuple:
     """A tree (column, threshold, low branch, high branch) with leaves (verdict,), by Gini impurity."""
     label = rows[:, -1]
     share = float(label.mean())
     if depth == 0 or share in (0.0, 1.0):
         return (int(share >= 0.5),)
     best = None
-    for c in (6, 7, 9, 8, 1, 0, 3, 5, 2, 4, 10):  # among equal splits, marks of place come first
+    for c in range(rows.shape[1] - 1):  # among equal splits the first column's: words and links before marks
         values = np.unique(rows[:, c])
         for t in (values[1:] + values[:-1]) / 2:
             low = rows[:, c] <= t
@@ -229,14 +229,14 @@ def main_text(pages: DataFrame) -> DataFrame:
     ship(pages.sparkSession)
     tree = grow(LABELLED)
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = [extract(x, tree) for x in b.pop("html").tolist()]
-            yield b.assign(text=text, n_chars=list(map(len, text)))
+            text = [extract(x, tree) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     slim = pages.select("page_id", "url", "html")
     kinds = dict(slim.dtypes)
-    return slim.mapInPandas(each, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return slim.mapInArrow(each, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
