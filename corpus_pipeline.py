@@ -1,4 +1,11 @@
-"""The corpus pipeline: each stage works on all that the one before it kept."""
+"""The corpus pipeline: each stage works on all that the one before it kept.
+
+Edge cases, for every stage: null and empty texts are rows like others until language ID rejects
+them (they have no language); null, repeated and very large doc_ids are allowed, and rows that
+share one but not the text are different documents; null sources form one source; repeated rows
+are near copies, of which one stays; very long texts are used whole; an empty table gives an empty
+one; further columns pass unchanged, whatever their names, up to packing, which returns pieces.
+"""
 
 from __future__ import annotations
 
@@ -9,10 +16,6 @@ from brindle.llm import language_id, line_dedup, mixing, packing, simhash
 from brindle.llm.common import saved
 from brindle.llm.token_store import tokenizer_path
 
-#: Shares of a site's pages (sf0.1, 20 sites): the commonest line stands on 8.6 to 13.2 %, the next
-#: on 4.8 % at most. The ratio lies in that gap; the floor only asks for more than a pair of pages.
-SITE_RATIO, SITE_LEAST = 0.065, 3
-
 
 def _counted(docs: DataFrame) -> DataFrame:
     """docs with n_chars, where there is such a column, brought up to date."""
@@ -26,11 +29,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that stand on too many pages of their source."""
-    return _counted(line_dedup.drop_lines(docs, ratio=SITE_RATIO, least=SITE_LEAST).select(*docs.columns))
+    return _counted(line_dedup.drop_lines(docs).select(*docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more)."""
+    """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more): SimHash
+    and its trees find the close ones, an exact join the rest."""
     return simhash.keep_one(docs)
 
 
