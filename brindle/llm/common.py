@@ -15,6 +15,8 @@ from brindle.functions.shipping import ship
 #: A word is a run of anything but space and the five ASCII control blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
+#: Rows of an Arrow batch that Python works on at a time.
+ROWS_AT_ONCE = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return written(df, shared_dir(df.sparkSession, name))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Batches cut to a few rows, so that a worker holds few texts and results at a time."""
+    for b in batches:
+        for low in range(0, b.num_rows, rows):
+            yield b.slice(low, rows)
+
+
 def each_text(docs: DataFrame, fn: Callable[[list[str]], dict[str, pa.Array | list]], schema: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(the id, as it stands) + what fn makes of each Arrow batch of whole texts (null: empty), by
     the columns of schema. Ids never pass through pandas, where a null makes them floats."""
@@ -35,9 +44,7 @@ def each_text(docs: DataFrame, fn: Callable[[list[str]], dict[str, pa.Array | li
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in sliced(batches):
             made = fn(["" if t is None else t for t in b.column(1).to_pylist()])
             columns = [x if isinstance(x, pa.Array) else pa.array(x) for x in (made[n] for n in names)]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=[id_column, *names])

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.functions.shipping import ship
-from brindle.llm.common import table
+from brindle.llm.common import sliced, table
 
 # Fixed values of HTML.
 BLOCK_TAGS = frozenset(
@@ -230,7 +230,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     tree = grow(LABELLED)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             text = [extract(x, tree) for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.functions.shipping import ship
-from brindle.llm.common import held_out, table
+from brindle.llm.common import held_out, sliced, table
 
 DICTIONARY_BYTES = 110_000
 SAMPLE_DOCS = 366
@@ -82,7 +82,7 @@ def predict(docs: DataFrame, model: dict[str, bytes], carry: tuple[str, ...] = (
 
         coders = [coder(model[x]) for x in langs]
         empty = len(coders[0](b"")) if langs else 0
-        for b in batches:
+        for b in sliced(batches):
             names_, scores, rejected = [], [], []
             for t in b.column(b.num_columns - 1).to_pylist():
                 if t is None or not langs or not any(map(str.isalpha, t)):

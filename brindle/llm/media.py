@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.scratch import shared_dir
 from brindle.functions.shipping import ship
-from brindle.llm.common import table
+from brindle.llm.common import sliced, table
 
 FRAME = 576
 RATE = 8000
@@ -82,10 +82,6 @@ def pairs(samples: np.ndarray) -> list[tuple[int, int]]:
     return found[np.lexsort((found[:, 1], found[:, 0]))].tolist()
 
 
-#: Rows that are turned to WAV files, or back, at a time.
-ROWS = 500
-
-
 def store(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes doc_id, n_bytes and media (the WAV file of each whole text) as a Parquet table of
     the shared folder and returns it as read back."""
@@ -93,12 +89,10 @@ def store(docs: DataFrame, folder: str | None = None) -> DataFrame:
     ship(spark)
 
     def wavs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for low in range(0, whole.num_rows, ROWS):
-                b = whole.slice(low, ROWS)
-                raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
-                media = [to_wav(x + b"\xff" * (FRAME * max(1, -(-len(x) // FRAME)) - len(x))) for x in raw]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, raw)), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+        for b in sliced(batches):
+            raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
+            media = [to_wav(x + b"\xff" * (FRAME * max(1, -(-len(x) // FRAME)) - len(x))) for x in raw]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, raw)), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(wavs, "doc_id long, n_bytes long, media binary")
     path = folder or shared_dir(spark, "media")
@@ -116,15 +110,14 @@ def features(stored: DataFrame) -> DataFrame:
     kinds = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "landmarks": _LANDMARKS}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for low in range(0, whole.num_rows, ROWS):
-                b, rows = whole.slice(low, ROWS), []
-                for media in b.column(2).to_pylist():
-                    payload = from_wav(media)
-                    found = [{"t": t, "code": c} for t, c in pairs(np.frombuffer(payload, np.uint8))]
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), found))
-                made = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], names=["doc_id", "n_bytes", *kinds])
+        for b in sliced(batches):
+            rows = []
+            for media in b.column(2).to_pylist():
+                payload = from_wav(media)
+                found = [{"t": t, "code": c} for t, c in pairs(np.frombuffer(payload, np.uint8))]
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), found))
+            made = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], names=["doc_id", "n_bytes", *kinds])
 
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, landmarks array<struct<t:int,code:int>>")
 

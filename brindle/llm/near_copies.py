@@ -8,9 +8,10 @@ n - ceil(SIMILAR n) + 1 are its prefix, and two sets that similar share a shingl
 The order comes from a bounded sample of texts, but any order finds every pair: the sample only
 keeps common passages out of the prefixes.
 
-Candidates are checked twice: a bitmap of BITS bits holds the parity of the shingles that fall on
-each bit, so two bitmaps differ in no more bits than the sets do in shingles, which rules out most
-pairs and never a similar one; the rest are checked on the texts' whole sets. So that a large group
+Candidates are checked twice: a bitmap of some four bits for each shingle holds the parity of the
+shingles that fall on each bit, so two bitmaps differ in no more bits than the sets do in shingles,
+which rules out most pairs and never a similar one (the longer bitmap of a pair is folded to the
+shorter one's size); the rest are checked on the texts' whole sets. So that a large group
 of near copies costs rows by its size, each text is first compared with two centres for each shared
 shingle and with its neighbours by fingerprint; what that links is one component, and only texts of
 different components that share a prefix shingle are then compared pair by pair. A shingle that
@@ -35,7 +36,7 @@ from pyspark.sql import types as T
 
 from brindle.functions.scratch import Scratch
 from brindle.functions.shipping import ship
-from brindle.llm.common import saved
+from brindle.llm.common import saved, sliced
 from brindle.llm.components import components
 from brindle.llm.simhash import links, lowered, majority
 
@@ -67,12 +68,30 @@ def prefix_size(n: int) -> int:
     return n - -(-SIMILAR * n // 100) + 1 if n else 0
 
 
-def parities(s: np.ndarray) -> bytes:
-    """BITS bits: whether an odd number of the shingles fall on each."""
-    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1
+def parities(s: np.ndarray, bits: int = BITS) -> bytes:
+    """For each of some bits, a power of two, whether an odd number of the shingles fall on it."""
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(bool)).tobytes()
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """parities of about four bits, at most eight, for each shingle."""
+    return parities(s, 1 << max(8, (4 * len(s) - 1).bit_length()))
+
+
+def folded(x: bytes, size: int) -> np.ndarray:
+    """The bitmap that the same shingles make with ``size`` bytes, a smaller power of two."""
+    out = np.frombuffer(x, np.uint8)
+    while len(out) > size:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
+def bitmaps_near(n: int, m: int, x: bytes, y: bytes) -> bool:
+    size = min(len(x), len(y))
+    return bool(may_be_similar(np.array([n]), np.array([m]), folded(x, size)[None, :], folded(y, size)[None, :])[0])
+
+
 def may_be_similar(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """False where bitmaps (rows of a and b) of sets of n and m shingles differ too much: similar
     sets differ in (100 - SIMILAR) / (100 + SIMILAR) of n + m shingles at most."""
@@ -90,9 +109,9 @@ def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     n = max(1, rows.count() // SAMPLE)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t).view(np.int64))], names=["s"])
+        for b in sliced(batches):
+            found = [shingles(t) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["s"])
 
     drawn = rows.select("text").where(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(n)) == 0).distinct()
     counts = drawn.mapInArrow(each, "s long").groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON)
@@ -124,14 +143,14 @@ def prefixes(rows: DataFrame) -> DataFrame:
         from xxhash import xxh64_intdigest
 
         common, counts = held.value
-        for b in batches:
+        for b in sliced(batches):
             nodes, sizes, prints, bits, firsts = [], [], [], [], []
             for t in b.column(3).to_pylist():
                 s = shingles(t)
                 nodes.append(xxh64_intdigest(s.tobytes()))
                 sizes.append(len(s))
                 prints.append(majority(s))
-                bits.append(parities(s))
+                bits.append(bitmap(s))
                 often = np.zeros(len(s), np.int64)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
@@ -146,10 +165,10 @@ def prefixes(rows: DataFrame) -> DataFrame:
 def _checked(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, keep: Scratch) -> DataFrame:
     """Those of pairs (u, v) of nodes whose sets of shingles are similar."""
 
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def bits_near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b[c]), np.uint8).reshape(len(b), BITS // 8) for c in ("x", "y"))
-            yield b.loc[may_be_similar(b["n"].to_numpy(), b["m"].to_numpy(), x, y), ["u", "v"]]
+            near = list(map(bitmaps_near, b["n"], b["m"], b["x"], b["y"]))
+            yield b.loc[np.array(near, dtype=bool), ["u", "v"]]
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -162,10 +181,10 @@ def _checked(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, keep: Scratch
 
     x = nodes.select(F.col("node").alias("u"), "row.n", F.col("row.bits").alias("x"))
     y = nodes.select(F.col("node").alias("v"), F.col("row.n").alias("m"), F.col("row.bits").alias("y"))
-    pairs = keep(pairs.join(x, "u").join(y, "v").select("u", "v", "n", "m", "x", "y").mapInPandas(near, "u long, v long"), "checked")
+    pairs = keep(pairs.join(x, "u").join(y, "v").select("u", "v", "n", "m", "x", "y").mapInPandas(bits_near, "u long, v long"), "checked")
     asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     # each node has one row that stands for it, found by its id and text; equal rows by the text's hash
-    wanted = nodes.join(asked, "node", "left_semi").select("node", F.col("row.id").alias("d"), F.col("row.text_hash").alias("h"))
+    wanted = keep(nodes.join(asked, "node", "left_semi").select("node", F.col("row.id").alias("d"), F.col("row.text_hash").alias("h")), "wanted")
     found = texts.join(wanted, F.col("id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("text_hash")))
     whole = keep(found.select("node", "text").dropDuplicates(["node"]).mapInPandas(sets, "node long, shingles binary"), "sets")
     x = whole.select(F.col("node").alias("u"), F.col("shingles").alias("x"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.shipping import ship
-from brindle.llm.common import saved, table
+from brindle.llm.common import saved, sliced, table
 from brindle.llm.encoding import encoder
 from brindle.llm.token_store import tokenizer_path
 
@@ -46,7 +46,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, sequence: int = SEQUENC
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), end_id.to_bytes(4, "little")
-        for b in batches:
+        for b in sliced(batches):
             row, start, length, crc, total = [], [], [], [], []
             for i, ids in enumerate(enc.encode(["" if t is None else t for t in b.column(1).to_pylist()])):
                 ids = memoryview(ids + end)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from brindle.functions.scratch import shared_dir
 from brindle.functions.shipping import ship
 from brindle.llm import perfect_hash
-from brindle.llm.common import saved, table
+from brindle.llm.common import saved, sliced, table
 from brindle.llm.encoding import encoder
 
 MARK = b"BRTOKEN1"
@@ -186,7 +186,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
             row = {"shard": (part << 20) + made, "uri": uri, "n_docs": len(k), "n_null": int((~v).sum()), "n_ids": held, "first_key": known[0] if known else None, "last_key": known[-1] if known else None}
             return pa.RecordBatch.from_pylist([row], schema=_KINDS)
 
-        for b in batches:
+        for b in sliced(batches):
             texts = ["" if t is None else t for t in b.column(1).to_pylist()]
             for key, x in zip(b.column(0).to_pylist(), enc.encode(texts), strict=True):
                 keys.append(0 if key is None else key)
