@@ -18,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Pieces kept by one Python worker for one file. Beyond half of them a piece is kept from its second sight on.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 100_000
 #: Characters of texts that are looked up at a time.
-CHUNK_CHARS = 500_000
-_SEEN_BITS = 22
+CHUNK_CHARS = 200_000
+_SEEN_BITS = 21
 _ENCODERS: dict[str, Encoder] = {}
 
 _BLANK_BESIDE = re.compile(r"[^\S ] | [^\S ]")
@@ -44,11 +44,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path) as f:
-            spec = json.load(f)
-        self.kind = self._kind(spec)
+        # only the parts that matter: parsing the file would leave its whole vocabulary in memory
+        part = lambda x: json.loads(x.__getstate__()) if x is not None else None
+        self.kind = self._kind({"pre_tokenizer": part(self.tokenizer.pre_tokenizer), "normalizer": part(self.tokenizer.normalizer)})
         #: matches wherever the library could find an added token, whatever its normalizer does to case
-        added = [x["content"].strip() for x in spec.get("added_tokens") or []]
+        added = [x.content.strip() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)), re.I) if added else None
         #: of each added token its longest run of anything but letters, which is quick to look for
         self.marks = {max(re.findall(r"[^A-Za-z]+", x), key=len, default="") for x in added}

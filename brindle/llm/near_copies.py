@@ -4,8 +4,8 @@ SimHash and its vantage-point trees give the first candidates, by fingerprints o
 shingles within three bits. Texts that similar often lie further apart (at 0.8 about ten bits of
 64), where no fingerprint search finds them all, so an exact join finds the rest, by prefixes. All
 shingles stand in one global order (rare before common, then by hash); of a set of n, the first
-n - ceil(SIMILAR n) + 1 are its prefix, and two sets that similar share a shingle of their prefixes.
-The order comes from a bounded sample of texts, but any order finds every pair: the sample only
+n - ceil(SIMILAR n) + 1 are its prefix, and two sets that similar share a shingle of their prefixes,
+the first one so early in both that enough shingles follow. The order comes from a bounded sample of texts, but any order finds every pair: the sample only
 keeps common passages out of the prefixes.
 
 Candidates are checked twice: a bitmap of some four bits for each shingle holds the parity of the
@@ -212,23 +212,24 @@ def near_copies(docs: DataFrame, keep: Scratch) -> DataFrame:
     rows = keep(prefixes(texts), "rows")
     # texts with equal sets are one node, told by one of its rows
     nodes = keep(rows.groupBy("node").agg(F.min(F.struct("id", "text_hash", "n", "fp", "bits")).alias("row")), "nodes")
-    index = rows.select("node", "n", F.explode("prefix").alias("s"))
+    index = rows.select("node", "n", F.posexplode("prefix").alias("at", "s"))
     shared = keep(index.groupBy("s").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("s"), "shared")
     index = keep(index.join(shared, "s", "left_semi").distinct(), "index")
-    near_size = 100 * F.least("n", "n2") >= SIMILAR * F.greatest("n", "n2")
+    # the first shingle that two similar sets share leaves room for all that they must have in common
+    enough = (100 + SIMILAR) * F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= SIMILAR * (F.col("n") + F.col("n2"))
 
-    luck = F.struct(F.xxhash64("node", F.lit(1)).alias("luck"), F.col("node").alias("node2"), F.col("n").alias("n2"))
-    centres = index.groupBy("s").agg(F.explode(F.array(F.min(luck), F.max(luck))).alias("c")).select("s", "c.node2", "c.n2")
-    first = index.join(centres, "s").where((F.col("node") != F.col("node2")) & near_size).select(*_pairs("node", "node2"))
+    luck = F.struct(F.xxhash64("node", F.lit(1)).alias("luck"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"))
+    centres = index.groupBy("s").agg(F.explode(F.array(F.min(luck), F.max(luck))).alias("c")).select("s", "c.node2", "c.n2", "c.at2")
+    first = index.join(centres, "s").where((F.col("node") != F.col("node2")) & enough).select(*_pairs("node", "node2"))
     first = keep(first.union(_by_fingerprint(nodes, keep)).distinct(), "first-pairs")
     found = _checked(first, texts, nodes, keep)
     labels = components(found, keep)
 
-    labelled = index.join(labels, "node", "left").select("node", "n", "s", F.coalesce("label", "node").alias("label"))
+    labelled = index.join(labels, "node", "left").select("node", "n", "at", "s", F.coalesce("label", "node").alias("label"))
     apart = labelled.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("s")
     labelled = keep(labelled.join(apart, "s", "left_semi"), "open")
-    other = labelled.select("s", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-    rest = labelled.join(other, "s").where((F.col("label") < F.col("label2")) & near_size).select(*_pairs("node", "node2")).distinct()
+    other = labelled.select("s", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("label").alias("label2"))
+    rest = labelled.join(other, "s").where((F.col("label") < F.col("label2")) & enough).select(*_pairs("node", "node2")).distinct()
     rest = keep(rest.join(first, ["u", "v"], "left_anti"), "rest-pairs")
     labels = components(found.union(_checked(rest, texts, nodes, keep)), keep)
     return rows.select(*_KEY, "node").join(labels, "node", "left").select(*_KEY, F.coalesce("label", "node").alias("component"))
