@@ -18,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Pieces kept by one Python worker for one file. Beyond half of them a piece is kept from its second sight on.
-KEPT_PIECES = 100_000
+KEPT_PIECES = 250_000
 #: Characters of texts that are looked up at a time.
-CHUNK_CHARS = 200_000
-_SEEN_BITS = 21
+CHUNK_CHARS = 1_000_000
+_SEEN_BITS = 22
 _ENCODERS: dict[str, Encoder] = {}
 
 _BLANK_BESIDE = re.compile(r"[^\S ] | [^\S ]")
