@@ -139,7 +139,7 @@ def loan_grants(requests: DataFrame, banks: DataFrame, p: Policy) -> DataFrame:
 def bank_repayments(banks: DataFrame, debts: DataFrame, p: Policy) -> DataFrame:
     """debts + paid: banks pay a share of each debt in order until their cash is gone."""
     due = debts.withColumn("scheduled", percent("amount", p.bank_repay)).join(banks.where("liquidity > 0").select(F.col("bank_id").alias("borrower"), F.col("liquidity").alias("cash")), "borrower")
-    return capped_running(due, "borrower", "scheduled", "cash", ["pos"], "paid").drop("scheduled", "cash")
+    return capped_running(due, "borrower", "scheduled", "cash", ["pos", "lender"], "paid").drop("scheduled", "cash")
 
 
 def add_interest(debts: DataFrame, bank_rates: DataFrame) -> DataFrame:

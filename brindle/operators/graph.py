@@ -1,9 +1,18 @@
 """Undirected graphs as edge tables, and counting of small patterns (motifs) in them.
 
 A pattern's ordered embeddings are counted without induction: extra edges between the matched
-vertices are allowed. Patterns are planned as joins of the edge table with order constraints that
-leave one embedding of each instance, so raw counts are instances times automorphisms. Stars are
-counted from degrees alone, cliques over edges that point from lower to higher (degree, id).
+vertices are allowed. Counting goes by what a pattern allows:
+
+* stars from degrees alone; paths of four from the degrees at each edge, less the triangles;
+* cliques over edges that point from lower to higher (degree, id), so that no hub pairs up its
+  neighbours; tailed triangles from the degrees at the corners of triangles, diamonds from the
+  number of triangles on each edge;
+* squares and five-cycles from their highest vertex, through two-paths of lower vertices, of which
+  there are no more than the lower ends' degrees add up to;
+* any other connected pattern by joins of the edge table with order constraints that leave one
+  embedding of each instance.
+
+Raw counts are instances times automorphisms.
 """
 
 from __future__ import annotations
@@ -29,6 +38,9 @@ MOTIFS = {
     "5clique": "01 02 03 04 12 13 14 23 24 34",
 }
 
+#: Neighbour ids that one block of a neighbour list spans.
+BLOCK = 1024
+
 
 @dataclass(frozen=True)
 class Motif:
@@ -48,6 +60,16 @@ class Motif:
             group = [p for p in group if p[v] == v]
         return out
 
+    def joining_order(self) -> list[int]:
+        """The vertices, each after the first beside one before it."""
+        out = [0]
+        while len(out) < self.size:
+            more = [v for v in range(self.size) if v not in out and any(frozenset((v, w)) in self.edges for w in out)]
+            if not more:
+                raise ValueError("a pattern must be connected")
+            out.append(more[0])
+        return out
+
     @property
     def is_clique(self) -> bool:
         return len(self.edges) == self.size * (self.size - 1) // 2
@@ -57,11 +79,18 @@ class Motif:
         return any(all(c in e for e in self.edges) and len(self.edges) == self.size - 1 for c in range(self.size))
 
 
+def pattern(name: str, edges: str) -> Motif:
+    """A pattern of one-digit vertices from the same text form as MOTIFS."""
+    found = frozenset(frozenset(map(int, e)) for e in edges.split())
+    if not found or any(len(e) != 2 for e in found):
+        raise ValueError("a pattern needs edges of two different vertices each")
+    return Motif(name, 1 + max(max(e) for e in found), found)
+
+
 def motif(name: str) -> Motif:
     if name not in MOTIFS:
         raise ValueError(f"unknown motif {name}; known are {', '.join(MOTIFS)}")
-    edges = frozenset(frozenset(map(int, e)) for e in MOTIFS[name].split())
-    return Motif(name, 1 + max(max(e) for e in edges), edges)
+    return pattern(name, MOTIFS[name])
 
 
 def normalize(edges: DataFrame) -> DataFrame:
@@ -74,32 +103,75 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count("*").alias("degree"))
 
 
+def neighbours(edges: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(vertex, block, neighbours, n): each vertex's neighbours in ascending order, in blocks of ids
+    that bound the lists, so that a hub has many rows and not one long one."""
+    found = edges.groupBy(F.col("src").alias("vertex"), F.expr(f"dst div {block}").alias("block"))
+    return found.agg(F.sort_array(F.collect_list("dst")).alias("neighbours"), F.count("*").alias("n"))
+
+
+def has_edge(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """pairs(src, dst) + linked: whether the graph has that edge."""
+    return pairs.join(edges.select("src", "dst").withColumn("_there", F.lit(True)), ["src", "dst"], "left").withColumn("linked", F.coalesce("_there", F.lit(False))).drop("_there")
+
+
 def embeddings(edges: DataFrame, m: Motif, ordered: bool = False) -> DataFrame:
     """v0..vk of every instance (of every ordered embedding, if ordered), by joins along edges."""
     less = [] if ordered else m.constraints()
-    nbrs = [sorted(w for w in range(v) if frozenset((v, w)) in m.edges) for v in range(m.size)]
-    if any(not n for n in nbrs[1:]):
-        raise ValueError("each vertex of a pattern must touch an earlier one")
-    out = edges.select(F.col("src").alias("v0"), F.col("dst").alias("v1"))
-    for v in range(1, m.size):
-        if v > 1:
-            pivot = nbrs[v][-1]
-            out = out.join(edges.select(F.col("src").alias(f"v{pivot}"), F.col("dst").alias(f"v{v}")), f"v{pivot}")
-        for w in range(v):
+    out, done = None, []
+    for v in m.joining_order():
+        beside = [w for w in done if frozenset((v, w)) in m.edges]
+        if done == [0]:
+            out = edges.select(F.col("src").alias("v0"), F.col("dst").alias(f"v{v}"))
+        elif done:
+            out = out.join(edges.select(F.col("src").alias(f"v{beside[-1]}"), F.col("dst").alias(f"v{v}")), f"v{beside[-1]}")
+        for w in done:
             if (w, v) in less:
                 out = out.where(F.col(f"v{w}") < F.col(f"v{v}"))
-            elif w not in nbrs[v]:
+            elif (v, w) in less:
+                out = out.where(F.col(f"v{v}") < F.col(f"v{w}"))
+            elif w not in beside:
                 out = out.where(F.col(f"v{w}") != F.col(f"v{v}"))
-        for w in nbrs[v][:-1]:
+        for w in beside[:-1] if done != [0] else []:
             out = out.join(edges.select(F.col("src").alias(f"v{w}"), F.col("dst").alias(f"v{v}")), [f"v{w}", f"v{v}"], "left_semi")
-    return out
+        done.append(v)
+    return out.select(*[f"v{v}" for v in range(m.size)])
+
+
+def ranked(edges: DataFrame) -> DataFrame:
+    """edges + degree and degree_to of both ends."""
+    d = degrees(edges)
+    return edges.join(d, "src").join(d.select(F.col("src").alias("dst"), F.col("degree").alias("degree_to")), "dst")
 
 
 def oriented(edges: DataFrame) -> DataFrame:
     """Each edge once, from the end of lower (degree, id): no vertex keeps many out-edges."""
-    d = degrees(edges)
-    both = edges.join(d, "src").join(d.select(F.col("src").alias("dst"), F.col("degree").alias("degree_to")), "dst")
-    return both.where("struct(degree, src) < struct(degree_to, dst)").select("src", "dst")
+    return ranked(edges).where("struct(degree, src) < struct(degree_to, dst)").select("src", "dst")
+
+
+def cliques(edges: DataFrame, size: int) -> DataFrame:
+    """v0..vk of every clique, in ascending order of (degree, id)."""
+    up = oriented(edges)
+    out = up.select(F.col("src").alias("v0"), F.col("dst").alias("v1"))
+    for v in range(2, size):
+        out = out.join(up.select(F.col("src").alias("v0"), F.col("dst").alias(f"v{v}")), "v0")
+        for w in range(1, v):
+            out = out.join(up.select(F.col("src").alias(f"v{w}"), F.col("dst").alias(f"v{v}")), [f"v{w}", f"v{v}"], "left_semi")
+    return out
+
+
+def triangles(edges: DataFrame) -> DataFrame:
+    """v0 < v1 < v2 of every triangle."""
+    corners = F.sort_array(F.array("v0", "v1", "v2"))
+    return cliques(edges, 3).select(corners.alias("c")).select(*[F.col("c")[i].alias(f"v{i}") for i in range(3)])
+
+
+def _two_paths(edges: DataFrame) -> DataFrame:
+    """(top, a, b) of every path top - a - b whose top has the highest (degree, id) of the three."""
+    both = ranked(edges).select("src", "dst", F.struct(F.col("degree").alias("d"), F.col("src").alias("v")).alias("low"), F.struct(F.col("degree_to").alias("d"), F.col("dst").alias("v")).alias("high"))
+    down = both.where("low < high").select(F.col("high").alias("top"), F.col("src").alias("a"))
+    step = both.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("high").alias("rank"))
+    return down.join(step, "a").where("rank < top").select("top", "a", "b", F.col("rank").alias("rank_b"))
 
 
 def _choose(k: int) -> str:
@@ -110,25 +182,62 @@ def _choose(k: int) -> str:
     return f"cast(({product}) / {factorial} as decimal(38,0))"
 
 
-def count_motif(edges: DataFrame, name: str) -> DataFrame:
+def _total(df: DataFrame, value: str) -> DataFrame:
+    return df.agg(F.expr(f"cast(coalesce(sum({value}), 0) as bigint)").alias("instances"))
+
+
+def _path4(edges: DataFrame) -> DataFrame:
+    """Middle edges with a further neighbour at each end; where both are one vertex it is a triangle."""
+    middles = _total(ranked(edges).where("src < dst"), "cast(degree - 1 as decimal(19,0)) * (degree_to - 1)")
+    closed = cliques(edges, 3).agg((-3 * F.count("*")).alias("instances"))
+    return middles.union(closed).agg(F.sum("instances").alias("instances"))
+
+
+def _tailed(edges: DataFrame) -> DataFrame:
+    corners = triangles(edges).select(F.explode(F.array("v0", "v1", "v2")).alias("src")).groupBy("src").agg(F.count("*").alias("n"))
+    return _total(corners.join(degrees(edges), "src"), "cast(n as decimal(19,0)) * (degree - 2)")
+
+
+def _diamond(edges: DataFrame) -> DataFrame:
+    sides = F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in (("v0", "v1"), ("v0", "v2"), ("v1", "v2"))])
+    on_edge = triangles(edges).select(F.explode(sides).alias("e")).groupBy("e").agg(F.count("*").alias("n"))
+    return _total(on_edge, "cast(n as decimal(19,0)) * (n - 1) / 2")
+
+
+def _square(edges: DataFrame) -> DataFrame:
+    across = _two_paths(edges).groupBy("top", "b").agg(F.count("*").alias("n"))
+    return _total(across, "cast(n as decimal(19,0)) * (n - 1) / 2")
+
+
+def _five_cycle(edges: DataFrame) -> DataFrame:
+    paths = _two_paths(edges)
+    step = edges.select(F.col("src").alias("b"), F.col("dst").alias("c"))
+    three = paths.select("top", "a", "b").join(step, "b").where("c <> a")
+    other = paths.select("top", F.col("a").alias("e"), F.col("b").alias("c"))
+    return three.join(other, ["top", "c"]).where("a < e and e <> b").agg(F.count("*").alias("instances"))
+
+
+_COUNTED = {"path4": _path4, "tailed_triangle": _tailed, "diamond": _diamond, "square": _square, "5cycle": _five_cycle}
+
+
+def count_pattern(edges: DataFrame, m: Motif) -> DataFrame:
     """One row: motif, edges (undirected), raw_embeddings, automorphisms, instances."""
-    m = motif(name)
     n = len(m.automorphisms())
-    if m.is_star:
-        found = degrees(edges).agg(F.expr(f"cast(coalesce(sum({_choose(m.size - 1)}), 0) as bigint)").alias("instances"))
+    if m.name in _COUNTED and m == motif(m.name):
+        found = _COUNTED[m.name](edges)
+    elif m.is_star:
+        found = _total(degrees(edges), _choose(m.size - 1)) if m.size > 2 else edges.agg(F.expr("count(*) div 2").alias("instances"))
     elif m.is_clique:
-        up = oriented(edges)
-        out = up.select(F.col("src").alias("v0"), F.col("dst").alias("v1"))
-        for v in range(2, m.size):
-            out = out.join(up.select(F.col("src").alias("v0"), F.col("dst").alias(f"v{v}")), "v0")
-            for w in range(1, v):
-                out = out.join(up.select(F.col("src").alias(f"v{w}"), F.col("dst").alias(f"v{v}")), [f"v{w}", f"v{v}"], "left_semi")
-        found = out.agg(F.count("*").alias("instances"))
+        found = cliques(edges, m.size).agg(F.count("*").alias("instances"))
     else:
         found = embeddings(edges, m).agg(F.count("*").alias("instances"))
     total = edges.agg(F.expr("count(*) div 2").alias("edges"))
     out = found.join(F.broadcast(total))  # one row each
-    return out.select(F.lit(name).alias("motif"), "edges", (F.col("instances") * n).alias("raw_embeddings"), F.lit(n).cast("long").alias("automorphisms"), "instances")
+    return out.select(F.lit(m.name).alias("motif"), "edges", (F.col("instances") * n).alias("raw_embeddings"), F.lit(n).cast("long").alias("automorphisms"), "instances")
+
+
+def count_motif(edges: DataFrame, name: str) -> DataFrame:
+    return count_pattern(edges, motif(name))
 
 
 def oracle_count(name: str, edges_sql: str) -> str:
@@ -147,6 +256,6 @@ def oracle_count(name: str, edges_sql: str) -> str:
     where += [f"{first[a]} <> {first[b]}" for a, b in combinations(range(m.size), 2)]
     n = len(m.automorphisms())
     return f"""
-WITH e AS ({edges_sql}), c AS (SELECT count(*) AS raw FROM {', '.join(tables)} WHERE {' AND '.join(where)})
+WITH e AS MATERIALIZED ({edges_sql}), c AS (SELECT count(*) AS raw FROM {', '.join(tables)} WHERE {' AND '.join(where)})
 SELECT '{name}' AS motif, (SELECT count(*) // 2 FROM e) AS edges, raw AS raw_embeddings, {n}::BIGINT AS automorphisms, raw // {n} AS instances
 FROM c"""

@@ -17,13 +17,13 @@ STEP = 3
 BANKS = "SELECT s_suppkey AS bank_id, (s_acctbal * 100)::BIGINT - 200000 AS liquidity, (s_nationkey % 3)::INT AS distress FROM supplier"
 FIRMS = "SELECT c_custkey AS firm_id, (c_acctbal * 10)::BIGINT AS liquidity, 1000 + c_nationkey * 37 AS production_cost FROM customer"
 WORKERS = "SELECT o_orderkey AS worker_id, (o_orderkey * 7 + o_custkey) % (SELECT count(*) FROM supplier) AS bank_id, o_custkey AS firm_id FROM orders"
-#: A firm's loans: its big orders, lent by a bank of the order's number.
-FIRM_DEBTS = "SELECT o_custkey AS borrower, o_orderkey AS pos, o_orderkey % (SELECT count(*) FROM supplier) AS lender, (o_totalprice / 100)::BIGINT AS amount FROM orders WHERE o_totalprice > 250000"
-#: A bank's loans: its large lines, lent by another bank.
+#: A firm's loans: its orders, lent by a bank of the order's number.
+FIRM_DEBTS = "SELECT o_custkey AS borrower, o_orderkey AS pos, o_orderkey % (SELECT count(*) FROM supplier) AS lender, (o_totalprice / 100)::BIGINT AS amount FROM orders"
+#: A bank's loans: its lines, lent by a bank of the part's number.
 BANK_DEBTS = """SELECT l_suppkey AS borrower, l_orderkey * 8 + l_linenumber AS pos, (l_suppkey + 1 + l_partkey) % (SELECT count(*) FROM supplier) AS lender, sum(l_extendedprice::BIGINT)::BIGINT AS amount
-FROM lineitem WHERE l_quantity > 48 GROUP BY 1, 2, 3"""
+FROM lineitem GROUP BY 1, 2, 3"""
 NEIGHBOURS = "SELECT DISTINCT o_custkey AS firm_id, (o_orderkey * 3) % (SELECT count(*) FROM supplier) AS bank_id FROM orders"
-OFFERS = "SELECT DISTINCT l_suppkey AS borrower, (l_suppkey + 1 + l_partkey) % (SELECT count(*) FROM supplier) AS lender FROM lineitem WHERE l_quantity > 45 AND (1 + l_partkey) % (SELECT count(*) FROM supplier) <> 0"
+OFFERS = "SELECT DISTINCT l_suppkey AS borrower, (l_suppkey + 1 + l_partkey) % (SELECT count(*) FROM supplier) AS lender FROM lineitem WHERE (1 + l_partkey) % (SELECT count(*) FROM supplier) <> 0"
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -47,12 +47,11 @@ def workers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def firm_debts(spark: SparkSession, d: str) -> DataFrame:
-    big = _read(spark, d, "orders").where("o_totalprice > 250000")
-    return _with_banks(spark, d, big).selectExpr("o_custkey as borrower", "o_orderkey as pos", "o_orderkey % nb as lender", "cast(rint(o_totalprice / 100) as bigint) as amount")
+    return _with_banks(spark, d, _read(spark, d, "orders")).selectExpr("o_custkey as borrower", "o_orderkey as pos", "o_orderkey % nb as lender", "cast(rint(o_totalprice / 100) as bigint) as amount")
 
 
 def bank_debts(spark: SparkSession, d: str) -> DataFrame:
-    lines = _with_banks(spark, d, _read(spark, d, "lineitem").where("l_quantity > 48"))
+    lines = _with_banks(spark, d, _read(spark, d, "lineitem"))
     lines = lines.selectExpr("l_suppkey as borrower", "l_orderkey * 8 + l_linenumber as pos", "(l_suppkey + 1 + l_partkey) % nb as lender", "cast(rint(l_extendedprice) as bigint) as amount")
     return lines.groupBy("borrower", "pos", "lender").agg(F.sum("amount").alias("amount"))
 
@@ -62,7 +61,7 @@ def neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def offers(spark: SparkSession, d: str) -> DataFrame:
-    lines = _with_banks(spark, d, _read(spark, d, "lineitem").where("l_quantity > 45")).where("(1 + l_partkey) % nb <> 0")
+    lines = _with_banks(spark, d, _read(spark, d, "lineitem")).where("(1 + l_partkey) % nb <> 0")
     return lines.selectExpr("l_suppkey as borrower", "(l_suppkey + 1 + l_partkey) % nb as lender").distinct()
 
 
@@ -187,7 +186,7 @@ def firm_loan_grants(spark: SparkSession, d: str) -> DataFrame:
     return bailout.loan_grants(firm_loan_requests(spark, d), banks(spark, d), P).select("firm_id", "bank_id", "asked", "granted")
 
 
-@register("bank_repayments", f"SELECT borrower, pos, lender, amount, {_running('', 'borrower', 'scheduled', 'cash', 'pos')} AS paid FROM ({BANK_DUE}) q")
+@register("bank_repayments", f"SELECT borrower, pos, lender, amount, {_running('', 'borrower', 'scheduled', 'cash', 'pos, lender')} AS paid FROM ({BANK_DUE}) q")
 def bank_repayments(spark: SparkSession, d: str) -> DataFrame:
     return bailout.bank_repayments(banks(spark, d), bank_debts(spark, d), P).select("borrower", "pos", "lender", "amount", "paid")
 

@@ -35,4 +35,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 # the modules below register their queries as they are imported
-from brindle.plans import bailout_queries, graph_queries, heat_queries, matrix_queries, sugar_queries, text_queries  # noqa: E402, F401
+from brindle.plans import allocation_queries, bailout_queries, graph_queries, heat_queries, matrix_queries, sugar_queries, text_queries  # noqa: E402, F401

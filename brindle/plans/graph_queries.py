@@ -1,4 +1,4 @@
-"""Motifs among parts that share an order in quantity."""
+"""Motifs among customers that had the same part shipped in the same four weeks: all lines and orders."""
 
 from __future__ import annotations
 
@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from brindle.operators import graph
 from brindle.plans.catalog import register
 
-EDGES = """SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey
-  WHERE a.l_quantity > 40 AND b.l_quantity > 40 AND a.l_partkey <> b.l_partkey"""
+SALES = """SELECT DISTINCT o_custkey AS c, l_partkey AS p, date_diff('day', DATE '1970-01-01', l_shipdate::DATE) // 28 AS w
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+EDGES = f"""SELECT DISTINCT a.c AS src, b.c AS dst FROM ({SALES}) a JOIN ({SALES}) b ON a.p = b.p AND a.w = b.w WHERE a.c <> b.c"""
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity > 40").select("l_orderkey", "l_partkey")
-    other = lines.select("l_orderkey", F.col("l_partkey").alias("dst"))
-    return lines.withColumnRenamed("l_partkey", "src").join(other, "l_orderkey").where("src <> dst").select("src", "dst").distinct()
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"), F.expr("datediff(l_shipdate, date'1970-01-01') div 28").alias("w"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("src"))
+    sales = lines.join(orders, "o").select("src", "p", "w").distinct()
+    return sales.join(sales.withColumnRenamed("src", "dst"), ["p", "w"]).where("src <> dst").select("src", "dst").distinct()
 
 
 for _name in graph.MOTIFS:
@@ -34,30 +36,44 @@ def graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "graph_neighbours",
-    f"SELECT src AS vertex, array_to_string(list_sort(list(dst)), ',') AS neighbours, count(*) AS degree FROM ({EDGES}) t GROUP BY src",
+    f"SELECT src AS vertex, dst // {graph.BLOCK} AS block, array_to_string(list_sort(list(dst)), ',') AS neighbours, count(*) AS n FROM ({EDGES}) t GROUP BY 1, 2",
 )
 def graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = edges(spark, sf_dir).groupBy("src").agg(F.array_join(F.sort_array(F.collect_list("dst")), ",").alias("neighbours"), F.count("*").alias("degree"))
-    return found.withColumnRenamed("src", "vertex")
+    return graph.neighbours(edges(spark, sf_dir)).withColumn("neighbours", F.array_join("neighbours", ","))
 
 
 @register(
-    "motif_embeddings_triangle",
-    f"""WITH e AS ({EDGES})
-SELECT a.src AS v0, a.dst AS v1, b.dst AS v2 FROM e a JOIN e b ON a.dst = b.src JOIN e c ON c.src = a.src AND c.dst = b.dst
-WHERE a.src < a.dst AND b.src < b.dst""",
+    "graph_has_edge",
+    f"WITH e AS ({EDGES}) SELECT c_custkey AS src, c_custkey + 1 AS dst, e.src IS NOT NULL AS linked FROM customer LEFT JOIN e ON e.src = c_custkey AND e.dst = c_custkey + 1",
 )
-def motif_embeddings_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.embeddings(edges(spark, sf_dir), graph.motif("triangle"))
+def graph_has_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each customer is linked with the next."""
+    pairs = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("src"), (F.col("c_custkey") + 1).alias("dst"))
+    return graph.has_edge(pairs, edges(spark, sf_dir))
 
 
-@register(
-    "motif_per_vertex_triangle",
-    f"""WITH e AS ({EDGES}),
+TRIANGLES = f"""WITH e AS MATERIALIZED ({EDGES}),
 t AS (SELECT a.src AS v0, a.dst AS v1, b.dst AS v2 FROM e a JOIN e b ON a.dst = b.src JOIN e c ON c.src = a.src AND c.dst = b.dst
-  WHERE a.src < a.dst AND b.src < b.dst)
-SELECT vertex, count(*) AS triangles FROM (SELECT unnest([v0, v1, v2]) AS vertex FROM t) GROUP BY vertex""",
-)
+  WHERE a.src < a.dst AND b.src < b.dst)"""
+
+
+@register("motif_embeddings_triangle", f"{TRIANGLES} SELECT v0, v1, v2 FROM t")
+def motif_embeddings_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.triangles(edges(spark, sf_dir))
+
+
+@register("motif_per_vertex_triangle", f"{TRIANGLES} SELECT vertex, count(*) AS triangles FROM (SELECT unnest([v0, v1, v2]) AS vertex FROM t) GROUP BY vertex")
 def motif_per_vertex_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = graph.embeddings(edges(spark, sf_dir), graph.motif("triangle"))
+    found = graph.triangles(edges(spark, sf_dir))
     return found.select(F.explode(F.array("v0", "v1", "v2")).alias("vertex")).groupBy("vertex").agg(F.count("*").alias("triangles"))
+
+
+@register(
+    "motif_embeddings_square",
+    f"""WITH e AS MATERIALIZED ({EDGES})
+SELECT a.src AS v0, a.dst AS v1, b.dst AS v2, d.src AS v3 FROM e a JOIN e b ON b.src = a.dst JOIN e c ON c.src = b.dst JOIN e d ON d.src = c.dst AND d.dst = a.src
+WHERE a.src < a.dst AND a.src < b.dst AND a.src < d.src AND a.dst < d.src AND a.dst <> d.src AND b.dst <> a.src""",
+)
+def motif_embeddings_square(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every square, by the joins that serve any connected pattern."""
+    return graph.embeddings(edges(spark, sf_dir), graph.motif("square"))

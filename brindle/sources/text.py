@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Columns of a batch file; the last is optional.
 BATCH = ("motif", "vertices", "edge_prob", "seed", "input", "debug", "runs")
+#: Columns of a result table.
+RESULT = ("implementation", "motif", "vertices", "edge_prob", "seed", "total_processes", "nodes_used", "processes_per_node", "edges", "raw_embeddings", "automorphisms", "instance_count", "search_time_ms", "total_wall_time_ms", "status", "logfile")
 _DEFAULTS = {"vertices": "0", "edge_prob": "0.0", "seed": "1", "runs": "3"}
 
 
@@ -51,8 +53,28 @@ def read_batch(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(trimmed(F.col("motif")).alias("motif"), value("vertices").cast("int").alias("vertices"), value("edge_prob").cast("double").alias("edge_prob"), value("seed").cast("int").alias("seed"), value("input").alias("input"), parse_bool(F.coalesce("debug", F.lit(""))).alias("debug"), value("runs").cast("int").alias("runs"))
 
 
-def write_results(df: DataFrame, path: str) -> None:
-    df.write.csv(path, header=True)
+def log_name(implementation: Column, motif: Column, vertices: Column, edge_prob: Column, seed: Column, nodes: Column, input_file: Column) -> Column:
+    """A run's name: of its input file where it has one, else of its parameters."""
+    given = F.concat(F.lit("F"), file_stem(input_file))
+    made = F.concat(F.lit("V"), vertices.cast("string"), F.lit("_p"), F.regexp_replace(edge_prob.cast("decimal(10,6)").cast("string"), r"\.?0+$", ""), F.lit("_s"), seed.cast("string"))
+    return F.concat_ws("_", implementation, motif, F.when(F.coalesce(input_file, F.lit("")) != "", given).otherwise(made), F.concat(F.lit("N"), nodes.cast("string")))
+
+
+def timestamp_text(at: Column) -> Column:
+    """A time as digits down to its milliseconds, in the session's zone."""
+    return F.date_format(at, "yyyyMMddHHmmssSSS")
+
+
+def run_status(completed: Column, asked: Column) -> Column:
+    return F.when(completed >= asked, "OK").when(completed > 0, "PARTIAL_FAIL").otherwise("FAIL")
+
+
+def write_results(df: DataFrame, path: str, append: bool = False) -> None:
+    df.write.csv(path, header=True, mode="append" if append else "errorifexists")
+
+
+def read_results(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    return spark.read.csv(path, header=True, schema=like.schema)
 
 
 def write_snapshot(agents: DataFrame, cells: DataFrame, prefix: str, step: int) -> None:

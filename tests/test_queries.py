@@ -8,7 +8,7 @@ import pytest
 from brindle.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events pages".split()
 
 
 @pytest.fixture(scope="module")
