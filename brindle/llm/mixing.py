@@ -37,7 +37,7 @@ SHARE = 1.5
 MOST = 2.0
 BLOCK_ROWS = 256
 #: Words that a shard of the mix should have, and the least number of shards.
-SHARD_WORDS, LEAST_SHARDS = 16_000_000, 8
+SHARD_WORDS, LEAST_SHARDS = 3_000_000, 8
 #: Nodes of the tree that the driver splits down to.
 NODES = 64
 #: Parts in which a source's blocks are put in order.

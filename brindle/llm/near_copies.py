@@ -8,7 +8,7 @@ n - ceil(SIMILAR n) + 1 are its prefix, and two sets that similar share a shingl
 the first one so early in both that enough shingles follow. The order comes from a bounded sample of texts, but any order finds every pair: the sample only
 keeps common passages out of the prefixes.
 
-Candidates are checked twice: a bitmap of some four bits for each shingle holds the parity of the
+Candidates are checked twice: a bitmap of some two bits for each shingle holds the parity of the
 shingles that fall on each bit, so two bitmaps differ in no more bits than the sets do in shingles,
 which rules out most pairs and never a similar one (the longer bitmap of a pair is folded to the
 shorter one's size); the rest are checked on the texts' whole sets. So that a large group
@@ -75,8 +75,8 @@ def parities(s: np.ndarray, bits: int = BITS) -> bytes:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """parities of about four bits, at most eight, for each shingle."""
-    return parities(s, 1 << max(8, (4 * len(s) - 1).bit_length()))
+    """parities of two to four bits for each shingle, 256 at least."""
+    return parities(s, 1 << max(8, (2 * len(s) - 1).bit_length()))
 
 
 def folded(x: bytes, size: int) -> np.ndarray:
