@@ -12,8 +12,8 @@ Candidates are checked twice: a bitmap of some two bits for each shingle holds t
 shingles that fall on each bit, so two bitmaps differ in no more bits than the sets do in shingles,
 which rules out most pairs and never a similar one (the longer bitmap of a pair is folded to the
 shorter one's size); the rest are checked on the texts' whole sets. So that a large group
-of near copies costs rows by its size, each text is first compared with two centres for each shared
-shingle and with its neighbours by fingerprint; what that links is one component, and only texts of
+of near copies costs rows by its size, each text is first compared with CENTRES centres for each
+shared shingle and with its neighbours by fingerprint; what that links is one component, and only texts of
 different components that share a prefix shingle are then compared pair by pair. A shingle that
 many dissimilar texts share and that the sample missed costs its square there.
 
@@ -47,6 +47,8 @@ SIMILAR = 80
 #: common shingles are held at most.
 SAMPLE, COMMON, HELD = 4096, 4, 65_536
 BITS = 1024
+#: Centres drawn for each shared shingle, which every text that has it is first compared with.
+CENTRES = 4
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -213,13 +215,16 @@ def near_copies(docs: DataFrame, keep: Scratch) -> DataFrame:
     # texts with equal sets are one node, told by one of its rows
     nodes = keep(rows.groupBy("node").agg(F.min(F.struct("id", "text_hash", "n", "fp", "bits")).alias("row")), "nodes")
     index = rows.select("node", "n", F.posexplode("prefix").alias("at", "s"))
-    shared = keep(index.groupBy("s").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("s"), "shared")
-    index = keep(index.join(shared, "s", "left_semi").distinct(), "index")
+    # which shingles stand in several prefixes, told by halves of the hashes to move less; two that
+    # share a half only send a few rows more on
+    short = index.select(F.expr("cast(shiftright(s, 32) as int)").alias("s32"), F.hash("node").alias("node32"))
+    shared = keep(short.groupBy("s32").agg(F.min("node32").alias("low"), F.max("node32").alias("high")).where("low <> high").select("s32"), "shared")
+    index = keep(index.withColumn("s32", F.expr("cast(shiftright(s, 32) as int)")).join(shared, "s32", "left_semi").drop("s32").distinct(), "index")
     # the first shingle that two similar sets share leaves room for all that they must have in common
     enough = (100 + SIMILAR) * F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= SIMILAR * (F.col("n") + F.col("n2"))
 
-    luck = F.struct(F.xxhash64("node", F.lit(1)).alias("luck"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"))
-    centres = index.groupBy("s").agg(F.explode(F.array(F.min(luck), F.max(luck))).alias("c")).select("s", "c.node2", "c.n2", "c.at2")
+    drawn = [F.struct(F.xxhash64("node", F.lit(k)).alias("luck"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2")) for k in range(CENTRES // 2)]
+    centres = index.groupBy("s").agg(F.explode(F.array(*[f(x) for x in drawn for f in (F.min, F.max)])).alias("c")).select("s", "c.node2", "c.n2", "c.at2").distinct()
     first = index.join(centres, "s").where((F.col("node") != F.col("node2")) & enough).select(*_pairs("node", "node2"))
     first = keep(first.union(_by_fingerprint(nodes, keep)).distinct(), "first-pairs")
     found = _checked(first, texts, nodes, keep)
