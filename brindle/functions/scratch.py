@@ -31,18 +31,28 @@ class Scratch:
     the tables, so what the job returns must be written outside of it."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.folder, self.n = spark, shared_dir(spark, name), 0
+        self.spark, self.folder, self.n, self.tables = spark, shared_dir(spark, name), 0, []
 
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_) -> None:
+        for t in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
         delete(self.spark, self.folder)
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
         return written(df, f"{self.folder}/{self.n:03d}-{name}")
 
+    def bucketed(self, df: DataFrame, name: str, column: str, n: int) -> DataFrame:
+        """df as a table of n buckets by column, which later joins and groups by it read without
+        a shuffle; df should come hash-partitioned into n parts by column, so that each is a file."""
+        self.n += 1
+        self.tables.append(f"scratch_{uuid.uuid4().hex}")
+        df.write.bucketBy(n, column).sortBy(column).option("path", f"{self.folder}/{self.n:03d}-{name}").saveAsTable(self.tables[-1])
+        return self.spark.table(self.tables[-1])
+
 
 def written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
