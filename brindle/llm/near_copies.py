@@ -5,16 +5,19 @@ shingles within three bits. Texts that similar often lie further apart (at 0.8 a
 64), where no fingerprint search finds them all, so an exact join finds the rest, by prefixes. All
 shingles stand in one global order (rare before common, then by hash); of a set of n, the first
 n - ceil(SIMILAR n) + 1 are its prefix, and two sets that similar share a shingle of their prefixes,
-the first one so early in both that enough shingles follow. The order comes from a bounded sample of texts, but any order finds every pair: the sample only
-keeps common passages out of the prefixes.
+the first one so early in both that enough shingles follow. The order comes from a bounded sample
+of texts, but any order finds every pair: the sample only keeps common passages out of the prefixes.
+The index of shared shingles is written in buckets by shingle, so it is shuffled once for all joins;
+what of it the sample calls hot stands in a plain table, where joins may split a shingle's rows.
 
 Candidates are checked twice: a bitmap of some two bits for each shingle holds the parity of the
 shingles that fall on each bit, so two bitmaps differ in no more bits than the sets do in shingles,
 which rules out most pairs and never a similar one (the longer bitmap of a pair is folded to the
 shorter one's size); the rest are checked on the texts' whole sets. So that a large group
 of near copies costs rows by its size, each text is first compared with CENTRES centres for each
-shared shingle and with its neighbours by fingerprint; what that links is one component, and only texts of
-different components that share a prefix shingle are then compared pair by pair. A shingle that
+shared shingle and with its neighbours by fingerprint; what that links is one component. TURNS times
+centres are drawn among components that share shingles, and only texts that are then still in
+different ones are compared pair by pair. A shingle that
 many dissimilar texts share and that the sample missed costs its square there.
 
 Edge cases: null and empty texts are copies of each other; a text of fewer words than a shingle is
@@ -26,11 +29,12 @@ empty table gives an empty one; other columns pass unchanged, whatever their nam
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,9 +50,16 @@ SIMILAR = 80
 #: Texts that the order is learned from, how many of them make a shingle common, and how many
 #: common shingles are held at most.
 SAMPLE, COMMON, HELD = 4096, 4, 65_536
+#: Sampled texts that make a shingle hot: one in 64.
+HOT = SAMPLE // 64
+#: Prefix shingles that a bucket of the index should take in at most.
+BUCKET = 4_000_000
+#: Nodes whose prefixes a task remembers to have given, so that not each of many copies gives them.
+SEEN = 65_536
 BITS = 1024
-#: Centres drawn for each shared shingle, which every text that has it is first compared with.
-CENTRES = 4
+#: Centres drawn for each shared shingle, which every text that has it is first compared with, and
+#: how often, each time among texts that are not yet joined.
+CENTRES, TURNS = 4, 2
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -124,7 +135,7 @@ def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 _KEY = ["id", "text_hash", "rest_hash"]
-_ROWS = "node long, n long, fp long, bits binary, prefix array<long>"
+_ROWS = "node long, n long, fp long, bits binary, cold int, prefix array<long>"
 
 
 def _key(docs: DataFrame, prefix: str = "") -> list:
@@ -136,7 +147,8 @@ def _key(docs: DataFrame, prefix: str = "") -> list:
 
 def prefixes(rows: DataFrame) -> DataFrame:
     """The key of each row, node (a hash of the set of shingles), n (its size), fp (its SimHash),
-    bits (its parities) and prefix."""
+    bits (its parities), prefix and cold, how many of the prefix come before its hot shingles. Of
+    equal sets a task gives the prefix of the first, and none (null) of most others."""
     spark = rows.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast(_common(rows))
@@ -145,21 +157,31 @@ def prefixes(rows: DataFrame) -> DataFrame:
         from xxhash import xxh64_intdigest
 
         common, counts = held.value
+        seen = set()
         for b in sliced(batches):
-            nodes, sizes, prints, bits, firsts = [], [], [], [], []
+            nodes, sizes, prints, bits, colds, firsts = [], [], [], [], [], []
             for t in b.column(3).to_pylist():
                 s = shingles(t)
                 nodes.append(xxh64_intdigest(s.tobytes()))
                 sizes.append(len(s))
                 prints.append(majority(s))
                 bits.append(bitmap(s))
+                if nodes[-1] in seen:
+                    colds.append(0)
+                    firsts.append(None)
+                    continue
+                if len(seen) == SEEN:
+                    seen.clear()
+                seen.add(nodes[-1])
                 often = np.zeros(len(s), np.int64)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                     often = np.where(common[at] == s, counts[at], 0)
-                firsts.append(s[np.argsort(often, kind="stable")][: prefix_size(len(s))].view(np.int64))
-            made = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(bits, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *made], names=[*_KEY, "node", "n", "fp", "bits", "prefix"])
+                order = np.argsort(often, kind="stable")[: prefix_size(len(s))]
+                colds.append(int(np.searchsorted(often[order], HOT)))
+                firsts.append(s[order].view(np.int64))
+            made = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(bits, pa.binary()), pa.array(colds, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *made], names=[*_KEY, "node", "n", "fp", "bits", "cold", "prefix"])
 
     return rows.mapInArrow(each, ", ".join(f"{c} long" for c in _KEY) + ", " + _ROWS)
 
@@ -207,6 +229,56 @@ def _by_fingerprint(nodes: DataFrame, keep: Scratch) -> DataFrame:
     return ends.select(*_pairs("u", "v")).union(alike.select(*_pairs("node", "first")))
 
 
+def _indexes(rows: DataFrame, keep: Scratch) -> list[DataFrame]:
+    """(s, node, n, at): the prefix shingles that several nodes have, and their places; first the
+    cold ones, in buckets by s, then the hot ones."""
+    spark = rows.sparkSession
+    index = rows.where("prefix is not null").select("node", "n", "cold", F.posexplode("prefix").alias("at", "s")).withColumn("s32", F.expr("cast(shiftright(s, 32) as int)"))
+    # which shingles stand in several prefixes, told by halves of the hashes to move less; two that
+    # share a half only send a few rows more on
+    short = index.select("s32", F.hash("node").alias("node32"))
+    shared = keep(short.groupBy("s32").agg(F.min("node32").alias("low"), F.max("node32").alias("high")).where("low <> high").select("s32"), "shared")
+    total = rows.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
+    index = index.join(shared, "s32", "left_semi").select("s", "node", "n", "at", (F.col("at") >= F.col("cold")).alias("hot"))
+    cold = index.where("not hot").drop("hot").repartition(n, "s").dropDuplicates(["s", "node"])
+    hot = index.where("hot").drop("hot").dropDuplicates(["s", "node"])
+    return [keep.bucketed(cold, "cold", "s", n), keep(hot, "hot")]
+
+
+def _possible() -> Column:
+    """Whether sets may be similar whose first common shingle this is: it must leave room for all
+    that they must have in common."""
+    return (100 + SIMILAR) * F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= SIMILAR * (F.col("n") + F.col("n2"))
+
+
+_OTHER = {"node": "node2", "n": "n2", "at": "at2", "label": "label2"}
+
+
+def _open(index: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """index with the labels of components, without shingles that stand in one component only."""
+    if labels is None:
+        return index.withColumn("label", F.col("node"))
+    labelled = index.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = labelled.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("s")
+    return labelled.join(several, "s", "left_semi")
+
+
+def _to_centres(index: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+    """(u, v): each node with CENTRES nodes of other components drawn for each of its shingles."""
+    rows = _open(index, labels)
+    drawn = [F.struct(F.xxhash64("node", F.lit(turn), F.lit(k)).alias("luck"), *[F.col(a).alias(b) for a, b in _OTHER.items()]) for k in range(CENTRES // 2)]
+    centres = rows.groupBy("s").agg(F.explode(F.array(*[f(x) for x in drawn for f in (F.min, F.max)])).alias("c")).select("s", *[f"c.{b}" for b in _OTHER.values()])
+    return rows.join(centres, "s").where((F.col("label") != F.col("label2")) & _possible()).select(*_pairs("node", "node2"))
+
+
+def _apart(index: DataFrame, labels: DataFrame) -> DataFrame:
+    """(u, v): nodes of different components that share a shingle."""
+    rows = _open(index, labels)
+    other = rows.withColumnsRenamed(_OTHER)
+    return rows.join(other, "s").where((F.col("label") < F.col("label2")) & _possible()).select(*_pairs("node", "node2"))
+
+
 def near_copies(docs: DataFrame, keep: Scratch) -> DataFrame:
     """The key of each row of docs, node, and component, the same for all rows that links of near
     copies join."""
@@ -214,29 +286,19 @@ def near_copies(docs: DataFrame, keep: Scratch) -> DataFrame:
     rows = keep(prefixes(texts), "rows")
     # texts with equal sets are one node, told by one of its rows
     nodes = keep(rows.groupBy("node").agg(F.min(F.struct("id", "text_hash", "n", "fp", "bits")).alias("row")), "nodes")
-    index = rows.select("node", "n", F.posexplode("prefix").alias("at", "s"))
-    # which shingles stand in several prefixes, told by halves of the hashes to move less; two that
-    # share a half only send a few rows more on
-    short = index.select(F.expr("cast(shiftright(s, 32) as int)").alias("s32"), F.hash("node").alias("node32"))
-    shared = keep(short.groupBy("s32").agg(F.min("node32").alias("low"), F.max("node32").alias("high")).where("low <> high").select("s32"), "shared")
-    index = keep(index.withColumn("s32", F.expr("cast(shiftright(s, 32) as int)")).join(shared, "s32", "left_semi").drop("s32").distinct(), "index")
-    # the first shingle that two similar sets share leaves room for all that they must have in common
-    enough = (100 + SIMILAR) * F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= SIMILAR * (F.col("n") + F.col("n2"))
-
-    drawn = [F.struct(F.xxhash64("node", F.lit(k)).alias("luck"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2")) for k in range(CENTRES // 2)]
-    centres = index.groupBy("s").agg(F.explode(F.array(*[f(x) for x in drawn for f in (F.min, F.max)])).alias("c")).select("s", "c.node2", "c.n2", "c.at2").distinct()
-    first = index.join(centres, "s").where((F.col("node") != F.col("node2")) & enough).select(*_pairs("node", "node2"))
-    first = keep(first.union(_by_fingerprint(nodes, keep)).distinct(), "first-pairs")
-    found = _checked(first, texts, nodes, keep)
-    labels = components(found, keep)
-
-    labelled = index.join(labels, "node", "left").select("node", "n", "at", "s", F.coalesce("label", "node").alias("label"))
-    apart = labelled.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("s")
-    labelled = keep(labelled.join(apart, "s", "left_semi"), "open")
-    other = labelled.select("s", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("label").alias("label2"))
-    rest = labelled.join(other, "s").where((F.col("label") < F.col("label2")) & enough).select(*_pairs("node", "node2")).distinct()
-    rest = keep(rest.join(first, ["u", "v"], "left_anti"), "rest-pairs")
-    labels = components(found.union(_checked(rest, texts, nodes, keep)), keep)
+    indexes = _indexes(rows, keep)
+    tried = found = labels = None
+    for turn in range(TURNS + 1):
+        if turn < TURNS:
+            pairs = reduce(DataFrame.union, [_to_centres(x, labels, turn) for x in indexes])
+        else:
+            pairs = reduce(DataFrame.union, [_apart(x, labels) for x in indexes])
+        pairs = pairs.union(_by_fingerprint(nodes, keep)) if tried is None else pairs.join(tried, ["u", "v"], "left_anti")
+        pairs = keep(pairs.distinct(), "pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        more = _checked(pairs, texts, nodes, keep)
+        found = more if found is None else found.union(more)
+        labels = components(found, keep)
     return rows.select(*_KEY, "node").join(labels, "node", "left").select(*_KEY, F.coalesce("label", "node").alias("component"))
 
 
