@@ -15,9 +15,9 @@ shingles that fall on each bit, so two bitmaps differ in no more bits than the s
 which rules out most pairs and never a similar one (the longer bitmap of a pair is folded to the
 shorter one's size); the rest are checked on the texts' whole sets. So that a large group
 of near copies costs rows by its size, each text is first compared with CENTRES centres for each
-shared shingle and with its neighbours by fingerprint; what that links is one component. TURNS times
-centres are drawn among components that share shingles, and only texts that are then still in
-different ones are compared pair by pair. A shingle that
+shared shingle and with its neighbours by fingerprint; what that links is one component. Centres
+are drawn again among components that share shingles while that finds links, and only texts that are
+then still in different ones are compared pair by pair. A shingle that
 many dissimilar texts share and that the sample missed costs its square there.
 
 Edge cases: null and empty texts are copies of each other; a text of fewer words than a shingle is
@@ -58,8 +58,9 @@ BUCKET = 4_000_000
 SEEN = 65_536
 BITS = 1024
 #: Centres drawn for each shared shingle, which every text that has it is first compared with, and
-#: how often, each time among texts that are not yet joined.
-CENTRES, TURNS = 4, 2
+#: how often at most, each time among texts that are not yet joined; a turn follows where the one
+#: before found a link in YIELD pairs.
+CENTRES, TURNS, YIELD = 4, 6, 50
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -288,17 +289,18 @@ def near_copies(docs: DataFrame, keep: Scratch) -> DataFrame:
     nodes = keep(rows.groupBy("node").agg(F.min(F.struct("id", "text_hash", "n", "fp", "bits")).alias("row")), "nodes")
     indexes = _indexes(rows, keep)
     tried = found = labels = None
-    for turn in range(TURNS + 1):
-        if turn < TURNS:
-            pairs = reduce(DataFrame.union, [_to_centres(x, labels, turn) for x in indexes])
-        else:
-            pairs = reduce(DataFrame.union, [_apart(x, labels) for x in indexes])
+    turn, draw, last = 0, True, False
+    while not last:
+        last = not draw
+        pairs = reduce(DataFrame.union, [_to_centres(x, labels, turn) if draw else _apart(x, labels) for x in indexes])
         pairs = pairs.union(_by_fingerprint(nodes, keep)) if tried is None else pairs.join(tried, ["u", "v"], "left_anti")
         pairs = keep(pairs.distinct(), "pairs")
         tried = pairs if tried is None else tried.union(pairs)
         more = _checked(pairs, texts, nodes, keep)
         found = more if found is None else found.union(more)
         labels = components(found, keep)
+        turn += 1
+        draw = turn < TURNS and YIELD * more.count() > pairs.count()
     return rows.select(*_KEY, "node").join(labels, "node", "left").select(*_KEY, F.coalesce("label", "node").alias("component"))
 
 
