@@ -26,10 +26,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,36 +65,40 @@ def levels(length: int = LENGTH, first: int = FIRST) -> list[int]:
     return out
 
 
-@dataclass
 class Windows:
-    """The windows of some texts by one or two 64-bit lanes; positions run over all their words."""
-
-    lanes: np.ndarray
-    doc: np.ndarray
-    sizes: list[int]
-
-    def keys(self, lane: int) -> dict[int, np.ndarray]:
-        """size -> keys of the windows that start at each word; each size from two of the one before."""
-        out = {1: self.lanes[:, lane]}
-        for n in [*self._small(), *self.sizes]:
-            if n not in out:
-                half = max(k for k in out if k < n)
-                x = out[half]
-                out[n] = paired(x[: len(x) - (n - half)], x[n - half :])
-        return out
+    """The windows of some texts by two 64-bit lanes; positions run over all their words."""
 
-    def _small(self) -> list[int]:
-        n, out = 2, []
-        while n < self.sizes[0]:
-            out.append(n)
-            n *= 2
-        return out
+    def __init__(self, words: list[list[bytes]], hashes: WordHashes, sizes: list[int]):
+        self.lanes = np.frombuffer(b"".join([hashes[w] for ws in words for w in ws]), np.uint64).reshape(-1, 2)
+        self.doc = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        self.sizes, self.known = sizes, {}
+
+    def keys(self, size: int, lane: int = 0) -> np.ndarray:
+        """Keys of the windows of a size (1, a power of two below the first, or one of sizes) that
+        start at each word, each from two windows of the size before."""
+        if size == 1:
+            return np.ascontiguousarray(self.lanes[:, lane])
+        if (size, lane) not in self.known:
+            half = max([n for n in self.sizes if n < size] or [1 << (size - 1).bit_length() - 1])
+            x = self.keys(half, lane)
+            self.known[size, lane] = paired(x[: len(x) - (size - half)], x[size - half :])
+        return self.known[size, lane]
 
 
 def _read(texts: list, hashes: WordHashes, sizes: list[int]) -> tuple[list[list[bytes]], Windows]:
     words = [[] if t is None else t.split() for t in texts]
-    lanes = np.frombuffer(b"".join([hashes[w] for ws in words for w in ws]), np.uint64).reshape(-1, 2)
-    return words, Windows(lanes, np.repeat(np.arange(len(words)), [len(w) for w in words]), sizes)
+    return words, Windows(words, hashes, sizes)
+
+
+def leftmost_least(x: np.ndarray, width: int) -> np.ndarray:
+    """For each start, the place of the least of the next ``width`` numbers, the leftmost of equals."""
+    at, size = np.arange(len(x)), 1
+    while size < width:
+        step = min(size, width - size)
+        right = x[step:] < x[:-step]
+        x, at = np.where(right, x[step:], x[:-step]), np.where(right, at[step:], at[:-step])
+        size += step
+    return at
 
 
 def _candidates(win: Windows, bits: list[np.ndarray], whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -103,20 +107,20 @@ def _candidates(win: Windows, bits: list[np.ndarray], whole: np.ndarray | None =
     length, first = win.sizes[-1], win.sizes[0]
     if len(win.doc) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    key = win.keys(0)
-    starts = np.flatnonzero(win.doc[: len(win.doc) - length + 1] == win.doc[length - 1 :])
+    inside = win.doc[: len(win.doc) - length + 1] == win.doc[length - 1 :]
     if whole is not None:
-        starts = starts[whole[win.doc[starts]]]
-    spread = np.lib.stride_tricks.sliding_window_view(key[first], length - first + 1)
-    anchor = starts + spread[starts].argmin(axis=1)
+        inside &= whole[win.doc[: len(inside)]]
+    starts = np.flatnonzero(inside)
+    anchor = leftmost_least(win.keys(first), length - first + 1)[starts]
     at = anchor
     for i, b in enumerate(bits):
-        keep = has(b, key[win.sizes[i]][at])
+        keep = has(b, win.keys(win.sizes[i])[at])
         starts, anchor = starts[keep], anchor[keep]
         if i + 1 == len(win.sizes):
             return starts, starts
-        # to the right of the anchor while that stays within the window, else up to its end
-        at = np.minimum(anchor, starts + length - win.sizes[i + 1])
+        # to the right of the anchor while that stays within the window, else to its left
+        more = win.sizes[i + 1]
+        at = np.where(anchor + more <= starts + length, anchor, np.maximum(starts, anchor + first - more))
     return starts, at
 
 
@@ -130,7 +134,7 @@ def _level(docs: DataFrame, sizes: list[int], bits: list[np.ndarray]) -> DataFra
             _, win = _read(b.column(0).to_pylist(), hashes, sizes)
             _, at = _candidates(win, shared.value)
             if len(at):
-                keys, n = np.unique(win.keys(0)[sizes[len(shared.value)]][np.unique(at)], return_counts=True)
+                keys, n = np.unique(win.keys(sizes[len(shared.value)])[np.unique(at)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
 
     return docs.select(F.col("_text")).mapInArrow(run, "key long, n long")
@@ -147,12 +151,31 @@ def _owned(docs: DataFrame, sizes: list[int], bits: list[np.ndarray]) -> DataFra
             starts, _ = _candidates(win, shared.value)
             if len(starts):
                 ids = b.column(0).take(pa.array(win.doc[starts]))
-                yield pa.RecordBatch.from_arrays([*(pa.array(win.keys(i)[sizes[-1]][starts].view(np.int64)) for i in (0, 1)), ids], names=["key_a", "key_b", "_owner"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(win.keys(sizes[-1], i)[starts].view(np.int64)) for i in (0, 1)), ids], names=["key_a", "key_b", "_owner"])
 
     found = docs.where("_id is not null").select("_id", "_text").mapInArrow(run, "key_a long, key_b long, _owner long")
     return found.groupBy("key_a", "key_b").agg(F.min("_owner").alias("_owner"))
 
 
+def _owns(lists: pa.ListArray, win: Windows, starts: np.ndarray) -> np.ndarray:
+    """Whether each window is in its document's list of keys."""
+    doc, a, b = win.doc[starts], win.keys(win.sizes[-1])[starts], win.keys(win.sizes[-1], 1)[starts]
+    flat = lists.flatten()
+    of = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+    key_a, key_b = (flat.field(i).to_numpy().view(np.uint64) for i in (0, 1))
+    if not len(of):
+        return np.zeros(len(starts), bool)
+    # found by a mixed key, compared in full
+    mix, mine = paired(key_a, key_b + of.astype(np.uint64)), paired(a, b + doc.astype(np.uint64))
+    order = np.argsort(mix)
+    at = order[np.minimum(np.searchsorted(mix, mine, sorter=order), len(mix) - 1)]
+    same = (of[at] == doc) & (key_a[at] == a) & (key_b[at] == b)
+    if (same != (mix[at] == mine)).any() or (mix[order][1:] == mix[order][:-1]).any():
+        known = set(zip(of.tolist(), key_a.tolist(), key_b.tolist(), strict=True))
+        same = np.array([x in known for x in zip(doc.tolist(), a.tolist(), b.tolist(), strict=True)])
+    return same
+
+
 def _covered(win: Windows, starts: np.ndarray) -> np.ndarray:
     """Whether each word lies in one of the windows."""
     edge = np.zeros(len(win.doc) + 1, np.int64)
@@ -161,8 +184,9 @@ def _covered(win: Windows, starts: np.ndarray) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
-def _removed(joined: DataFrame, sizes: list[int], bits: list[np.ndarray], schema: T.StructType) -> DataFrame:
-    """_row, n_words, n_removed, the kept words joined by a space and its sha256."""
+def _removed(joined: DataFrame, sizes: list[int], bits: list[np.ndarray] | None, schema: T.StructType) -> DataFrame:
+    """_row, n_words, n_removed, the kept words joined by a space and its sha256; without bitmaps no
+    window is a candidate."""
     shared = joined.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,11 +194,9 @@ def _removed(joined: DataFrame, sizes: list[int], bits: list[np.ndarray], schema
         for b in sliced(batches):
             words, win = _read(b.column(1).to_pylist(), hashes, sizes)
             with_id = b.column(2).is_valid().to_numpy(zero_copy_only=False)
-            starts, _ = _candidates(win, shared.value, with_id) if shared.value else (np.zeros(0, np.int64), None)
+            starts, _ = _candidates(win, shared.value, with_id) if shared.value is not None else (np.zeros(0, np.int64), None)
             if len(starts):
-                owned = [None if k is None else {(x["key_a"], x["key_b"]) for x in k} for k in b.column(3).to_pylist()]
-                keys = zip(win.doc[starts].tolist(), *(win.keys(i)[sizes[-1]][starts].view(np.int64).tolist() for i in (0, 1)), strict=True)
-                starts = starts[np.array([owned[d] is None or (x, y) not in owned[d] for d, x, y in keys])]
+                starts = starts[~_owns(b.column(3), win, starts)]
             gone = _covered(win, starts)
             ends = np.cumsum([len(w) for w in words])
             texts, n_gone = [], []
@@ -195,7 +217,7 @@ def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length:
     space) and kept_sha256. What the result reads is written to the shared folder."""
     spark = docs.sparkSession
     ship(spark)
-    sizes, bits = levels(length, first), []
+    sizes, bits, left = levels(length, first), [], True
     carried = docs.select(*(docs.columns if carry is None else carry)).schema
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried.names]).alias("_row"), F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("binary").alias("_text"))
     with Scratch(spark, "substring") as keep:
@@ -203,17 +225,17 @@ def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length:
             counts = _level(rows, sizes, bits).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
             found = bitmap(keep(counts, f"windows-{n}"), "key")
             if found is None:
-                bits = []
+                left = False
                 break
             bits.append(found)
-        if bits:
+        if left:
             # the windows that a document owns; candidates without a second place own themselves
             owned = saved(_owned(rows, sizes, bits).groupBy("_owner").agg(F.collect_list(F.struct("key_a", "key_b")).alias("_keys")), "substring-owned")
         else:
             owned = spark.createDataFrame([], "_owner long, _keys array<struct<key_a:bigint,key_b:bigint>>")
     joined = rows.join(owned, F.col("_id") == F.col("_owner"), "left").select("_row", "_text", "_id", "_keys")
     schema = T.StructType([T.StructField("_row", carried), *T.StructType.fromDDL("n_words long, n_removed long, _kept binary, kept_sha256 string").fields])
-    done = _removed(joined, sizes, bits, schema)
+    done = _removed(joined, sizes, bits if left else None, schema)
     out = F.struct("n_words", "n_removed", F.col("_kept").cast("string").alias("kept"), "kept_sha256")
     return done.select("_row.*", out.alias(name))
 
