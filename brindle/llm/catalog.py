@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.llm import html_extract, language_id, line_dedup, media, mixing, packing, quality_classifier, quality_rules, simhash, substring_dedup, token_store
+from brindle.llm import collocations, divergence, html_extract, language_id, line_dedup, media, mixing, packing, quality_classifier, quality_rules, simhash, substring_dedup, token_store
 
 
 def queries() -> dict:
@@ -17,7 +17,9 @@ def queries() -> dict:
         "op8_simhash": simhash.query,
         "op9_media": media.query,
         "op10_packing": packing.query,
+        "op11_divergence": divergence.query,
         "op12_substring_dedup": substring_dedup.query,
+        "op13_collocations": collocations.query,
     }
 
 
@@ -25,5 +27,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_rules.oracle(),
         "op5_line_dedup": line_dedup.oracle(),
+        "op11_divergence": divergence.oracle(),
         "op12_substring_dedup": substring_dedup.oracle(),
+        "op13_collocations": collocations.oracle(),
     }
