@@ -9,90 +9,29 @@ vertices are allowed. Counting goes by what a pattern allows:
   number of triangles on each edge;
 * squares and five-cycles from their highest vertex, through two-paths of lower vertices, of which
   there are no more than the lower ends' degrees add up to;
-* any other connected pattern by joins of the edge table with order constraints that leave one
-  embedding of each instance.
+* any other pattern one vertex at a time from intersected neighbour lists, parts of it that aren't
+  connected by products of counts (``patterns``).
 
 Raw counts are instances times automorphisms.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from itertools import combinations, permutations
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The built-in patterns and their edges.
-MOTIFS = {
-    "triangle": "01 02 12",
-    "path3": "01 12",
-    "square": "01 12 23 30",
-    "4clique": "01 02 03 12 13 23",
-    "diamond": "01 02 03 12 23",
-    "tailed_triangle": "01 02 12 23",
-    "star3": "01 02 03",
-    "path4": "01 12 23",
-    "star4": "01 02 03 04",
-    "5cycle": "01 12 23 34 40",
-    "5clique": "01 02 03 04 12 13 14 23 24 34",
-}
+from brindle.functions.scratch import Scratch, shared_dir, written
+from brindle.operators import patterns
+from brindle.operators.motifs import MOTIFS, Motif, motif, pattern
+
+__all__ = ["MOTIFS", "Motif", "motif", "pattern"]
 
 #: Neighbour ids that one block of a neighbour list spans.
 BLOCK = 1024
 
 
-@dataclass(frozen=True)
-class Motif:
-    name: str
-    size: int
-    edges: frozenset
-
-    def automorphisms(self) -> list[tuple[int, ...]]:
-        return [p for p in permutations(range(self.size)) if all(frozenset(p[i] for i in e) in self.edges for e in self.edges)]
-
-    def constraints(self) -> list[tuple[int, int]]:
-        """Pairs (a, b) meaning vertex a < vertex b that keep one embedding of each instance."""
-        group, out = self.automorphisms(), []
-        for v in range(self.size):
-            orbit = sorted({p[v] for p in group})
-            out += [(v, w) for w in orbit if w != v]
-            group = [p for p in group if p[v] == v]
-        return out
-
-    def joining_order(self) -> list[int]:
-        """The vertices, each after the first beside one before it."""
-        out = [0]
-        while len(out) < self.size:
-            more = [v for v in range(self.size) if v not in out and any(frozenset((v, w)) in self.edges for w in out)]
-            if not more:
-                raise ValueError("a pattern must be connected")
-            out.append(more[0])
-        return out
-
-    @property
-    def is_clique(self) -> bool:
-        return len(self.edges) == self.size * (self.size - 1) // 2
-
-    @property
-    def is_star(self) -> bool:
-        return any(all(c in e for e in self.edges) and len(self.edges) == self.size - 1 for c in range(self.size))
-
-
-def pattern(name: str, edges: str) -> Motif:
-    """A pattern of one-digit vertices from the same text form as MOTIFS."""
-    found = frozenset(frozenset(map(int, e)) for e in edges.split())
-    if not found or any(len(e) != 2 for e in found):
-        raise ValueError("a pattern needs edges of two different vertices each")
-    return Motif(name, 1 + max(max(e) for e in found), found)
-
-
-def motif(name: str) -> Motif:
-    if name not in MOTIFS:
-        raise ValueError(f"unknown motif {name}; known are {', '.join(MOTIFS)}")
-    return pattern(name, MOTIFS[name])
-
-
 def normalize(edges: DataFrame) -> DataFrame:
     """(src, dst) in both directions, without loops and repeats."""
     both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -116,30 +55,18 @@ def has_edge(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def embeddings(edges: DataFrame, m: Motif, ordered: bool = False) -> DataFrame:
-    """v0..vk of every instance (of every ordered embedding, if ordered), by joins along edges."""
-    less = [] if ordered else m.constraints()
-    out, done = None, []
-    for v in m.joining_order():
-        beside = [w for w in done if frozenset((v, w)) in m.edges]
-        if done == [0]:
-            out = edges.select(F.col("src").alias("v0"), F.col("dst").alias(f"v{v}"))
-        elif done:
-            out = out.join(edges.select(F.col("src").alias(f"v{beside[-1]}"), F.col("dst").alias(f"v{v}")), f"v{beside[-1]}")
-        for w in done:
-            if (w, v) in less:
-                out = out.where(F.col(f"v{w}") < F.col(f"v{v}"))
-            elif (v, w) in less:
-                out = out.where(F.col(f"v{v}") < F.col(f"v{w}"))
-            elif w not in beside:
-                out = out.where(F.col(f"v{w}") != F.col(f"v{v}"))
-        for w in beside[:-1] if done != [0] else []:
-            out = out.join(edges.select(F.col("src").alias(f"v{w}"), F.col("dst").alias(f"v{v}")), [f"v{w}", f"v{v}"], "left_semi")
-        done.append(v)
-    return out.select(*[f"v{v}" for v in range(m.size)])
+    """v0..vk of every instance of a connected pattern (of every ordered embedding, if ordered).
+    Written to the shared folder."""
+    if len(patterns.components(m)) > 1:
+        raise ValueError("a pattern must be connected to be listed")
+    with Scratch(edges.sparkSession, "embeddings") as keep:
+        return written(patterns.listed(edges, m, keep, ordered), shared_dir(edges.sparkSession, "embeddings"))
 
 
 def ranked(edges: DataFrame) -> DataFrame:
-    """edges + degree and degree_to of both ends."""
+    """edges + degree and degree_to of both ends, unless they are there."""
+    if "degree_to" in edges.columns:
+        return edges
     d = degrees(edges)
     return edges.join(d, "src").join(d.select(F.col("src").alias("dst"), F.col("degree").alias("degree_to")), "dst")
 
@@ -186,31 +113,31 @@ def _total(df: DataFrame, value: str) -> DataFrame:
     return df.agg(F.expr(f"cast(coalesce(sum({value}), 0) as bigint)").alias("instances"))
 
 
-def _path4(edges: DataFrame) -> DataFrame:
+def _path4(edges: DataFrame, keep: Scratch) -> DataFrame:
     """Middle edges with a further neighbour at each end; where both are one vertex it is a triangle."""
     middles = _total(ranked(edges).where("src < dst"), "cast(degree - 1 as decimal(19,0)) * (degree_to - 1)")
     closed = cliques(edges, 3).agg((-3 * F.count("*")).alias("instances"))
     return middles.union(closed).agg(F.sum("instances").alias("instances"))
 
 
-def _tailed(edges: DataFrame) -> DataFrame:
+def _tailed(edges: DataFrame, keep: Scratch) -> DataFrame:
     corners = triangles(edges).select(F.explode(F.array("v0", "v1", "v2")).alias("src")).groupBy("src").agg(F.count("*").alias("n"))
     return _total(corners.join(degrees(edges), "src"), "cast(n as decimal(19,0)) * (degree - 2)")
 
 
-def _diamond(edges: DataFrame) -> DataFrame:
+def _diamond(edges: DataFrame, keep: Scratch) -> DataFrame:
     sides = F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in (("v0", "v1"), ("v0", "v2"), ("v1", "v2"))])
     on_edge = triangles(edges).select(F.explode(sides).alias("e")).groupBy("e").agg(F.count("*").alias("n"))
     return _total(on_edge, "cast(n as decimal(19,0)) * (n - 1) / 2")
 
 
-def _square(edges: DataFrame) -> DataFrame:
+def _square(edges: DataFrame, keep: Scratch) -> DataFrame:
     across = _two_paths(edges).groupBy("top", "b").agg(F.count("*").alias("n"))
     return _total(across, "cast(n as decimal(19,0)) * (n - 1) / 2")
 
 
-def _five_cycle(edges: DataFrame) -> DataFrame:
-    paths = _two_paths(edges)
+def _five_cycle(edges: DataFrame, keep: Scratch) -> DataFrame:
+    paths = keep(_two_paths(edges), "two-paths")
     step = edges.select(F.col("src").alias("b"), F.col("dst").alias("c"))
     three = paths.select("top", "a", "b").join(step, "b").where("c <> a")
     other = paths.select("top", F.col("a").alias("e"), F.col("b").alias("c"))
@@ -220,17 +147,39 @@ def _five_cycle(edges: DataFrame) -> DataFrame:
 _COUNTED = {"path4": _path4, "tailed_triangle": _tailed, "diamond": _diamond, "square": _square, "5cycle": _five_cycle}
 
 
+def _by_parts(edges: DataFrame, m: Motif, keep: Scratch) -> DataFrame:
+    """One row, instances, of any pattern: ordered embeddings of its connected parts multiplied, less
+    what shares vertices."""
+    terms = patterns.as_products(m.edges)
+    if list(terms.values()) == [1] and len(next(iter(terms))) == 1:
+        return patterns.instances(edges, m, keep)
+    parts = sorted({p for t in terms for p in t})
+    whole = None
+    for i, p in enumerate(parts):
+        one = pattern(f"part{i}", " ".join(f"{a}{b}" for a, b in p))
+        known = next((motif(x) for x in MOTIFS if patterns.canonical(motif(x).edges) == p), one)
+        row = count_pattern(edges, known).select(F.lit(i).alias("i"), F.col("raw_embeddings").cast("decimal(38,0)").alias("raw"))
+        whole = row if whole is None else whole.unionByName(row)
+    raw = {p: f"max(if(i = {i}, raw, null))" for i, p in enumerate(parts)}
+    product = " + ".join(" * ".join([f"cast({n} as decimal(38,0))", *(f"cast({raw[p]} as decimal(38,0))" for p in t)]) for t, n in sorted(terms.items()))
+    return whole.agg(F.expr(f"cast(({product}) / {len(m.automorphisms())} as bigint)").alias("instances"))
+
+
 def count_pattern(edges: DataFrame, m: Motif) -> DataFrame:
     """One row: motif, edges (undirected), raw_embeddings, automorphisms, instances."""
     n = len(m.automorphisms())
-    if m.name in _COUNTED and m == motif(m.name):
-        found = _COUNTED[m.name](edges)
-    elif m.is_star:
+    if m.is_star:
         found = _total(degrees(edges), _choose(m.size - 1)) if m.size > 2 else edges.agg(F.expr("count(*) div 2").alias("instances"))
-    elif m.is_clique:
-        found = cliques(edges, m.size).agg(F.count("*").alias("instances"))
     else:
-        found = embeddings(edges, m).agg(F.count("*").alias("instances"))
+        # the graph with degrees, two-paths and neighbour lists are tables while the count is taken
+        with Scratch(edges.sparkSession, "motif") as keep:
+            if m.name in _COUNTED and m == motif(m.name):
+                found = _COUNTED[m.name](keep(ranked(edges), "ranked"), keep)
+            elif m.is_clique:
+                found = cliques(keep(ranked(edges), "ranked"), m.size).agg(F.count("*").alias("instances"))
+            else:
+                found = _by_parts(edges, m, keep)
+            found = written(found, shared_dir(edges.sparkSession, "instances"))
     total = edges.agg(F.expr("count(*) div 2").alias("edges"))
     out = found.join(F.broadcast(total))  # one row each
     return out.select(F.lit(m.name).alias("motif"), "edges", (F.col("instances") * n).alias("raw_embeddings"), F.lit(n).cast("long").alias("automorphisms"), "instances")
@@ -240,9 +189,8 @@ def count_motif(edges: DataFrame, name: str) -> DataFrame:
     return count_pattern(edges, motif(name))
 
 
-def oracle_count(name: str, edges_sql: str) -> str:
+def oracle_count(m: Motif, edges_sql: str) -> str:
     """DuckDB SQL that counts ordered embeddings by one join per pattern edge."""
-    m = motif(name)
     pairs = sorted(tuple(sorted(e)) for e in m.edges)
     first: dict[int, str] = {}
     tables, where = [], []
@@ -257,5 +205,5 @@ def oracle_count(name: str, edges_sql: str) -> str:
     n = len(m.automorphisms())
     return f"""
 WITH e AS MATERIALIZED ({edges_sql}), c AS (SELECT count(*) AS raw FROM {', '.join(tables)} WHERE {' AND '.join(where)})
-SELECT '{name}' AS motif, (SELECT count(*) // 2 FROM e) AS edges, raw AS raw_embeddings, {n}::BIGINT AS automorphisms, raw // {n} AS instances
+SELECT '{m.name}' AS motif, (SELECT count(*) // 2 FROM e) AS edges, raw AS raw_embeddings, {n}::BIGINT AS automorphisms, raw // {n} AS instances
 FROM c"""

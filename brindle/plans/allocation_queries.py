@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.operators import allocation
-from brindle.plans.catalog import register
+from brindle.plans.registry import register
 
 #: A request for each order; a nation can serve 40 % of what its customers ask for.
 REQUESTS = """SELECT o_orderkey AS order_id, c_nationkey AS nation, o_totalprice::BIGINT AS asked,

@@ -9,7 +9,7 @@ from brindle.functions import hash64
 from brindle.functions.shipping import ship
 from brindle.operators import allocation, bailout, rng
 from brindle.operators.bailout import Policy
-from brindle.plans.catalog import register
+from brindle.plans.registry import register
 
 P = Policy().checked()
 STEP = 3

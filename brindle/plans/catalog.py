@@ -2,28 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
-    """Register fn(spark, sf_dir) as a query; oracle is DuckDB SQL for the same rows."""
-
-    def put(fn: Query) -> Query:
-        if name in QUERIES:
-            raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = fn
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return fn
-
-    return put
+# these modules register their queries as they are imported
+from brindle.plans import allocation_queries, bailout_queries, graph_queries, heat_queries, matrix_queries, ordering_queries, pair_queries, sugar_queries, text_queries  # noqa: F401
+from brindle.plans.registry import ORACLES, QUERIES, Query
 
 
 def queries() -> dict[str, Query]:
@@ -32,7 +13,3 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
-
-
-# the modules below register their queries as they are imported
-from brindle.plans import allocation_queries, bailout_queries, graph_queries, heat_queries, matrix_queries, sugar_queries, text_queries  # noqa: E402, F401

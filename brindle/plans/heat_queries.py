@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import hash64
 from brindle.operators import heat
-from brindle.plans.catalog import register
+from brindle.plans.registry import register
 
 SEED, ALPHA, BETA, STEPS = 7, 0.4, 0.1, 3
 CELLS = "SELECT o_orderkey % 16 AS x, o_orderkey // 16 % 16 AS y, o_orderkey // 256 AS z, o_totalprice AS t FROM orders"

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import hash64
-from brindle.operators import matrix
-from brindle.plans.catalog import register
+from brindle.operators import exact_sums, matrix
+from brindle.plans.registry import register
 
 SEED = 1
 RIGHT = SEED ^ matrix.RIGHT_SEED
@@ -106,3 +106,12 @@ def dgemm_deterministic(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").agg(F.count("*").alias("rows"))
     left = cells(spark, sf_dir)[0].join(F.broadcast(rows))
     return left.select("i", "k", matrix.deterministic("i", "k", F.col("rows"), 64).alias("v"))
+
+
+@register(
+    "sum_exact",
+    "SELECT l_returnflag AS flag, sum((l_extendedprice * 8796093022208::DOUBLE)::HUGEINT)::DOUBLE / 8796093022208::DOUBLE AS total FROM lineitem GROUP BY 1",
+)
+def sum_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of all lines summed up exactly and rounded once: the same for any partitioning."""
+    return exact_sums.exact_sum(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_returnflag").alias("flag"), "l_extendedprice"), ["flag"], "l_extendedprice")

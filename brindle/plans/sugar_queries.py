@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.operators import sugar
-from brindle.plans.catalog import register
+from brindle.plans.registry import register
 
 WIDTH, STEPS = 100, 3
 _H, _W = "((SELECT count(*) FROM orders) // 100)::DOUBLE", "100::DOUBLE"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brindle.functions.scratch import shared_dir
 from brindle.operators import graph
 from brindle.plans import graph_queries
-from brindle.plans.catalog import register
+from brindle.plans.registry import register
 from brindle.sources import text
 
 
@@ -47,7 +47,7 @@ _COUNTED = ("path3", "path4", "triangle", "star3")
     "motif_result_file",
     " UNION ALL ".join(
         f"""SELECT 'spark' AS implementation, motif, (SELECT count(*) FROM customer)::INT AS vertices, 0.0 AS edge_prob, 1 AS seed, edges, raw_embeddings, automorphisms::INT AS automorphisms, instances AS instance_count,
-  'OK' AS status, 'spark_' || motif || '_Fcustomer_N1' AS logfile FROM ({graph.oracle_count(m, graph_queries.EDGES)}) t"""
+  'OK' AS status, 'spark_' || motif || '_Fcustomer_N1' AS logfile FROM ({graph.oracle_count(graph.motif(m), graph_queries.EDGES)}) t"""
         for m in _COUNTED
     ),
 )
