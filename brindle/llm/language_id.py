@@ -6,7 +6,7 @@ and the smallest total wins; where the runner-up is within a narrow margin the t
 rejected. One set of compression parameters holds for texts of every length.
 
 Training takes a bounded sample: for each language at most SAMPLE_DOCS different texts, the first
-by a hash of id and text among those not held out, and of each a slice of SLICE characters from a
+by a hash of the text among those not held out, and of each a slice of SLICE characters from a
 place that the hash names; a dictionary holds at most DICTIONARY_BYTES. So the driver gets at most
 SAMPLE_DOCS slices for each language, however often an id or a text is repeated.
 
@@ -46,19 +46,21 @@ HALF = 0.05
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, size: int = DICTIONARY_BYTES, cut: int = SLICE) -> dict[str, bytes]:
     """language -> dictionary, from text and non-null lang of rows that are not held out."""
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # the luck is the text's alone: however often a text is repeated, it is one draw
+    luck = F.xxhash64("text", F.lit(7))
+    counts = {r["lang"]: (r["n"], r["texts"]) for r in known.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(luck).alias("texts")).collect()}
     if not counts:
         return {}
-    luck = F.xxhash64("doc_id", "text", F.lit(7))
-    # spares the sort most rows: about four times as many as are needed go on
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 4 * sample_docs / n)))])
+    # spares the sort most rows: about four times as many different texts as are needed go on, all
+    # of them where there are fewer
+    share = F.create_map(*[x for k, (_, n) in counts.items() for x in (F.lit(k), F.lit(min(1.0, 4 * sample_docs / max(n, 1))))])
     near = known.select("lang", "text", luck.alias("luck")).where(F.pmod("luck", F.lit(1 << 30)) / float(1 << 30) <= share[F.col("lang")])
     start = F.pmod(F.hash("luck"), F.greatest(F.length("text") - cut, F.lit(0)) + 1) + 1
     drawn = near.select("lang", "luck", F.substring(F.col("text"), start, F.lit(cut)).alias("slice")).dropDuplicates(["lang", "luck"])
     ranked = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("luck"))).where(F.col("nth") <= sample_docs)
     rows = sorted(ranked.select("lang", "nth", "slice").collect())
     out: dict[str, bytes] = {}
-    for lang in sorted(counts, key=lambda k: (-counts[k], k)):
+    for lang in sorted(counts, key=lambda k: (-counts[k][0], k)):
         data = b"\n".join(dict.fromkeys(r["slice"].lower().encode("utf-8", "surrogatepass") for r in rows if r["lang"] == lang))
         out[lang] = (data + b"\n")[:size]
     return out
@@ -107,9 +109,9 @@ def predict(docs: DataFrame, model: dict[str, bytes], carry: tuple[str, ...] = (
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of docs whose language is told with a margin, as the model fitted on them says."""
-    flags = ("_lang_pred", "_lang_score", "_lang_rejected")
-    out = predict(docs, fit(docs), tuple(docs.columns), names=flags)
-    return out.where(~F.col(flags[2])).select(*docs.columns)
+    # all columns travel as one struct, where no name of theirs can clash
+    out = predict(docs.select(F.struct("*").alias("_row"), "text"), fit(docs), ("_row",))
+    return out.where("not rejected").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
