@@ -12,7 +12,8 @@ beyond that a hot host's rows are split by the adaptive skew join.
 
 Edge cases: null text stays null and an empty one empty, and both count as pages; null hosts form
 one host; blank lines are kept; a text of boilerplate alone becomes empty, its row stays; repeated
-rows count as pages each; an empty table gives an empty result; other columns pass unchanged.
+rows count as pages each; an empty table gives an empty result; other columns pass unchanged,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -55,17 +56,29 @@ def boilerplate(df: DataFrame, text: str = "text", host: str = "source", ratio:
     return found.groupBy("_site_host").agg(F.collect_set("_site_line").alias("_site_lines"))
 
 
-def drop_lines(df: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
-    """df with boilerplate lines dropped from text, + n_lines and n_dropped."""
+def _cleaned(df: DataFrame, text: str, host: str, ratio: float, least: int) -> DataFrame:
+    """_row (the columns of df as one struct, where no name can clash), _text, n_lines, n_dropped."""
     bad = saved(boilerplate(df, text, host, ratio, least), "line-boilerplate")
-    out = df.drop("n_lines", "n_dropped").withColumn("_site_host", _host(host)).join(bad, "_site_host", "left")
-    out = out.withColumn("_site_split", F.split(text, "\n", -1))
+    out = df.select(F.struct("*").alias("_row"), F.col(text).alias("_text"), _host(host).alias("_site_host")).join(bad, "_site_host", "left")
+    out = out.withColumn("_site_split", F.split("_text", "\n", -1))
     kept = F.when(F.col("_site_lines").isNull(), F.col("_site_split")).otherwise(F.filter("_site_split", lambda x: ~(x.rlike(WORD) & F.array_contains("_site_lines", _hash(x)))))
     out = out.withColumn("_site_kept", kept)
     out = out.withColumn("n_lines", F.coalesce(F.size("_site_split"), F.lit(0)).cast("long"))
     out = out.withColumn("n_dropped", F.coalesce(F.size("_site_split") - F.size("_site_kept"), F.lit(0)).cast("long"))
     same = F.col("n_dropped") == 0
-    return out.withColumn(text, F.when(same, F.col(text)).otherwise(F.array_join("_site_kept", "\n"))).select(*[c for c in df.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    return out.select("_row", F.when(same, F.col("_text")).otherwise(F.array_join("_site_kept", "\n")).alias("_text"), "n_lines", "n_dropped")
+
+
+def drop_lines(df: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+    """df with boilerplate lines dropped from text, + n_lines and n_dropped (columns of these names
+    give way)."""
+    own = [F.col("_text").alias(c) if c == text else F.col(f"_row.`{c}`") for c in df.columns if c not in ("n_lines", "n_dropped")]
+    return _cleaned(df, text, host, ratio, least).select(*own, "n_lines", "n_dropped")
+
+
+def cleaned(df: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+    """df with boilerplate lines dropped from text; all other columns, whatever their names, pass unchanged."""
+    return _cleaned(df, text, host, ratio, least).select(*[F.col("_text").alias(c) if c == text else F.col(f"_row.`{c}`") for c in df.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -314,9 +314,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
         judged = rows.join(heads, "component").withColumn("kept", order == F.col("head"))
         # rows that go, and rows of which one of several equal ones stays
         marked = saved(judged.where("not kept or copies > 1").select(*[F.col(c).alias(f"_near_{c}") for c in _KEY], F.col("kept").alias("_near_kept")), "near-marked")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.select(*columns, *_key(docs, "_key_"))
+    # the row travels as one struct, where no name of its columns can clash
+    keyed = docs.select(F.struct("*").alias("_row"), *_key(docs, "_key_"))
     same = F.col("_key_id").eqNullSafe(F.col("_near_id")) & (F.col("_key_text_hash") == F.col("_near_text_hash")) & (F.col("_key_rest_hash") == F.col("_near_rest_hash"))
-    single = keyed.join(marked, same, "left_anti").select(*columns)
+    single = keyed.join(marked, same, "left_anti").select("_row")
     several = keyed.join(marked.where("_near_kept"), same, "left_semi").dropDuplicates([f"_key_{c}" for c in _KEY])
-    return single.union(several.select(*columns))
+    return single.union(several.select("_row")).select("_row.*")
