@@ -15,7 +15,7 @@ tasks. One row for each source also passes through single-task windows: sources
 some millions.
 
 Edge cases: null text has size 0, null source is a source of its own (last in order), repeated
-rows are drawn alike (a tie at the cut shares the words left), null and repeated doc_ids are dealt
+rows are drawn alike (of a tie at the cut the first rows give one word more, until the target is met), null and repeated doc_ids are dealt
 like any other, an empty table gives an empty result, and other columns pass unchanged.
 """
 
@@ -141,8 +141,9 @@ def _permuted(draws: DataFrame, seed: int) -> DataFrame:
 
 def plan(docs: DataFrame, keep: Scratch, shards: int | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame, int]:
     """(sources, draws, number of shards). sources: key, source_size, target, blocks; draws: key,
-    block and an array of (pass, draw, shard, cut, cut_words). cut is the order value at which a
-    block that is not taken whole ends, cut_words the words taken of the document there."""
+    block and an array of (pass, draw, shard, cut, cut_words, more). cut is the order value at which a
+    block that is not taken whole ends, cut_words the words taken of each document there, more how
+    many of them give one word beyond."""
     key, size = _key(F.col("source")), n_words(F.col("text"))
     sized = docs.select("source", key.alias("key"), size.alias("size"), F.col("doc_id"))
     sized = keep(sized.select("source", "key", "size", _luck(F.col("doc_id"), F.col("size"), F.col("key")).alias("luck"), _order(F.col("doc_id"), F.col("size")).alias("at")), "sizes")
@@ -171,9 +172,9 @@ def plan(docs: DataFrame, keep: Scratch, shards: int | None = None, seed: int =
     inside = sized.join(part, ["key", "block"]).groupBy("key", "block", "pass", "limit", "at").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     running = Window.partitionBy("key", "block", "pass").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("before", F.coalesce(F.sum("size").over(running), F.lit(0)))
-    cut = inside.where("before < limit and before + size >= limit").select("key", "block", "pass", F.col("at").alias("cut"), F.floor((F.col("limit") - F.col("before")) / F.col("n")).alias("cut_words"))
+    cut = inside.where("before < limit and before + size >= limit").select("key", "block", "pass", F.col("at").alias("cut"), F.floor((F.col("limit") - F.col("before")) / F.col("n")).alias("cut_words"), F.expr("(limit - before) % n").alias("more"))
     draws = draws.join(cut, ["key", "block", "pass"], "left")
-    draws = draws.groupBy("key", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "draw", "shard", "cut", "cut_words"))).alias("draws"))
+    draws = draws.groupBy("key", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "draw", "shard", "cut", "cut_words", "more"))).alias("draws"))
     return goal, saved(draws, "mix-draws"), shards
 
 
@@ -188,8 +189,15 @@ def _drawn(docs: DataFrame, shards: int | None, seed: int) -> tuple[DataFrame, i
     out = out.join(goal, "_mix_key", "left").withColumn("_mix_at", _order(F.col("doc_id"), F.col("_mix_size")))
     out = out.withColumn("_mix_block", _block(_luck(F.col("doc_id"), F.col("_mix_size"), F.col("_mix_key")), F.col("_mix_blocks")))
     out = out.join(draws, ["_mix_key", "_mix_block"], "left")
-    taken = "transform(coalesce(_mix_draws, array()), d -> struct(d.pass as pass, d.shard as shard, case when d.cut is null or _mix_at < d.cut then _mix_size when _mix_at = d.cut then d.cut_words else 0L end as words))"
-    out = out.withColumn("_mix_draws", F.filter(F.expr(taken), lambda d: d["words"] > 0)).drop("_mix_key", "_mix_block", "_mix_at", "_mix_blocks")
+    # equal rows at a cut are told apart by number; all others need none
+    tied = F.exists(F.coalesce("_mix_draws", F.array()), lambda d: F.coalesce((d["cut"] == F.col("_mix_at")) & (d["more"] > 0), F.lit(False)))
+    nth = F.row_number().over(Window.partitionBy("_mix_key", "_mix_block", "_mix_at").orderBy(F.lit(0)))
+    if draws.where(F.exists("_mix_draws", lambda d: d["more"] > 0)).isEmpty():
+        out = out.withColumn("_mix_nth", F.lit(0))
+    else:
+        out = out.where(~tied).withColumn("_mix_nth", F.lit(0)).unionByName(out.where(tied).withColumn("_mix_nth", nth))
+    taken = "transform(coalesce(_mix_draws, array()), d -> struct(d.pass as pass, d.shard as shard, case when d.cut is null or _mix_at < d.cut then _mix_size when _mix_at = d.cut then d.cut_words + if(_mix_nth between 1 and d.more, 1, 0) else 0L end as words))"
+    out = out.withColumn("_mix_draws", F.filter(F.expr(taken), lambda d: d["words"] > 0)).drop("_mix_key", "_mix_block", "_mix_at", "_mix_blocks", "_mix_nth")
     return out, n
 
 
@@ -202,13 +210,19 @@ def with_draws(docs: DataFrame, shards: int | None = None, seed: int = SEED) ->
 def mix(docs: DataFrame, shards: int | None = None, seed: int = SEED) -> DataFrame:
     """The mixed corpus: the columns of docs, once for each time taken (a cut document keeps its
     first words), with _mix_pass and _mix_shard, shuffled inside each shard."""
-    rows, shards = _drawn(docs, shards, seed)
+    return mixed_rows(docs, shards, seed).select("_row.*", "_mix_pass", "_mix_shard")
+
+
+def mixed_rows(docs: DataFrame, shards: int | None = None, seed: int = SEED) -> DataFrame:
+    """The mixed corpus with the columns of docs as one struct, _row, where no name of theirs can
+    clash, beside _mix_pass and _mix_shard."""
+    rows, shards = _drawn(docs.select(F.struct("*").alias("_row"), "doc_id", "source", "text"), shards, seed)
     rows = rows.withColumn("_mix_draw", F.explode("_mix_draws"))
-    pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    pieces = F.regexp_extract_all("_row.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     first = F.array_join(F.slice(pieces, 1, F.col("_mix_draw.words").cast("int")), "")
-    rows = rows.withColumn("text", F.when(F.col("_mix_draw.words") < F.col("_mix_size"), first).otherwise(F.col("text")))
-    rows = rows.select(*docs.columns, F.col("_mix_draw.pass").alias("_mix_pass"), F.col("_mix_draw.shard").alias("_mix_shard"))
-    return rows.repartition(shards, "_mix_shard").sortWithinPartitions("_mix_shard", F.xxhash64("doc_id", "_mix_pass", F.lit(seed + 2)))
+    text = F.when(F.col("_mix_draw.words") < F.col("_mix_size"), first).otherwise(F.col("_row.text"))
+    rows = rows.select(F.col("_row").withField("text", text).alias("_row"), F.col("_mix_draw.pass").alias("_mix_pass"), F.col("_mix_draw.shard").alias("_mix_shard"))
+    return rows.repartition(shards, "_mix_shard").sortWithinPartitions("_mix_shard", F.xxhash64("_row.doc_id", "_mix_pass", F.lit(seed + 2)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -234,3 +234,43 @@ def test_pipeline(spark, docs, empty):
                 assert at.columns == plain.columns
         assert set(at.columns) == {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}
         assert (at.count() > 0) == (start is plain)
+
+
+CLASHES = ("n_lines", "n_dropped", "_text", "_lang_pred", "_lang_rejected", "_near_id", "_key_id", "_mix_key", "_mix_draws", "_mix_pass", "_site_host", "_row", "rejected", "score")
+
+
+def test_pipeline_keeps_clashing_columns(docs):
+    """Columns of any name come through every stage as they went in."""
+    at = docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(f"own {c}").alias(c) for c in CLASHES])
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        at = stage(docs.sparkSession, at, "")
+        assert at.columns == ["doc_id", "text", "lang", "source", "n_chars", *CLASHES]
+        rows = at.collect()
+        assert rows and {tuple(r[c] for c in CLASHES) for r in rows} == {tuple(f"own {c}" for c in CLASHES)}
+
+
+def test_a_language_of_one_text_is_learned(spark):
+    """However often a text is repeated, and whatever the ids, its language gets a dictionary."""
+    czech = "žluťoučký kůň úpěl ďábelské ódy a všichni ho poslouchali až do večera"
+    english = [(i, f"the cat number {i} sat on the mat and it was of a good kind {i * 7919}", "en") for i in range(400)]
+    for same in range(12):
+        rows = english + [(100_000 + same, czech, "cs")] * 4000
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        model = language_id.fit(docs)
+        held = docs.where("lang = 'cs'").select(language_id.held_out(F.col("doc_id"))).first()[0]
+        assert len(model["en"]) > 1000 and (held or len(model["cs"]) > 50)
+        if not held:
+            got = language_id.predict(docs.where("lang = 'cs'").limit(3), model).collect()
+            assert {(r["lang_pred"], r["rejected"]) for r in got} == {("cs", False)}
+
+
+def test_mixing_meets_targets_on_equal_rows(spark):
+    """3,001 equal rows of one source: the words that the cut leaves are dealt one by one."""
+    rows = [(7, "one two three four five", "b")] * 3001 + [(100 + i, "word " * (i % 9), "a") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.with_draws(docs).selectExpr("source", "_mix_size as size", "_mix_target as target", "aggregate(_mix_draws, 0L, (a, d) -> a + d.words) as taken").collect()
+    assert len(got) == len(rows) and all(r["taken"] <= 2 * r["size"] for r in got)
+    for source in "ab":
+        mine = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 1
+    assert mixing.mix(docs).where("source = 'b'").selectExpr("sum(size(split(text, ' '))) as n").first()["n"] == sum(r["taken"] for r in got if r["source"] == "b")
