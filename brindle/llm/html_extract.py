@@ -1,12 +1,13 @@
 """HTML extraction: flat text blocks, told apart by a decision tree.
 
 A page is cut into flat blocks at block-level tags. Each block has its number of words and its link
-density (the share of words inside links), those of the block before and of the block after it, and
-three marks: it is a heading; it is loose (stands in no paragraph, list item, cell or the like); it
-stands in an element that HTML sets beside the text (nav, aside, footer, form, menu, dialog, a
-header outside of the article) or in one whose class, id or role says reader comments, side bar,
-or notice. A decision tree (Gini, grown on the small labelled table below) says which blocks
-are main text. It may not ask whether a page has an article element.
+density (the share of words inside links), those of the block before and of the block after it
+among blocks that don't stand beside the text (so that a menu doesn't speak against the paragraph
+after it), and marks: it is a heading; it is loose (stands in no paragraph, list item, cell or the
+like), and so are its neighbours; it stands beside the text, in an element that HTML has for that
+(nav, aside, footer, form, menu, dialog, a header outside of the article) or in one whose class, id
+or role says advert, reader comments, side bar, or notice; it stands in an article or main element.
+A decision tree (Gini, grown on the small labelled table below) says which blocks are main text.
 
 Scripts, styles, forms' controls, comments and markup never make blocks. Character references are
 decoded, white space inside a block (line breaks included) is one space.
@@ -44,7 +45,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEXT_TAGS = HEADINGS | frozenset("p li td th dd dt blockquote pre figcaption caption legend address summary".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Names (in class, id or role) of what HTML has no element for.
-BESIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|replies|respond|side-?bar|cookies?|consent|notices?|newsletter|share|related)(?:$|[\s_-])", re.I)
+BESIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|replies|respond|side-?bar|cookies?|consent|notices?|newsletter|share|related|ads?|advert\w*|promo\w*|banners?|sponsor\w*)(?:$|[\s_-])", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 _MARK = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -59,6 +60,7 @@ class Block(NamedTuple):
     heading: int
     loose: int
     beside: int
+    content: int
 
 
 def blocks(page: str) -> list[Block]:
@@ -77,7 +79,7 @@ def blocks(page: str) -> list[Block]:
             if text:
                 words = text.count(" ") + 1
                 linked = sum(len(c.split()) for c, in_link in chunks if in_link)
-                out.append(Block(text, words, min(1.0, linked / words), heading, 1 - text_tag, stack[-1][1] if stack else 0))
+                out.append(Block(text, words, min(1.0, linked / words), heading, 1 - text_tag, *(stack[-1][1:3] if stack else (0, 0))))
             chunks.clear()
 
     def add(raw: str) -> None:
@@ -139,21 +141,26 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-COLUMNS = ("words", "density", "words before", "density before", "words after", "density after", "heading", "loose", "beside")
+COLUMNS = ("words", "density", "words before", "density before", "words after", "density after", "heading", "loose", "beside", "content", "loose before", "loose after")
 
 
 def feature_table(found: list[Block]) -> np.ndarray:
-    """One row of COLUMNS per block; before the first and after the last block stands nothing."""
-    own = np.array([(b.words, b.density) for b in found], dtype=float).reshape(len(found), 2)
-    before, after = np.zeros_like(own), np.zeros_like(own)
-    before[1:], after[:-1] = own[:-1], own[1:]
-    marks = np.array([(b.heading, b.loose, b.beside) for b in found], dtype=float).reshape(len(found), 3)
-    return np.concatenate([own, before, after, marks], axis=1)
-
-
-#: The labelled table: COLUMNS, then 1 for main text; blocks read off real pages and judged by hand.
-#: Most stand in pages without telling elements, so that words and links must decide.
-LABELLED = np.array(
+    """One row of COLUMNS per block; before the first and after the last block stands nothing.
+    Neighbours are the nearest blocks that don't stand beside the text."""
+    own = np.array([(b.words, b.density, b.heading, b.loose, b.beside, b.content) for b in found], dtype=float).reshape(len(found), 6)
+    text = np.flatnonzero(own[:, 4] == 0)
+    at = np.arange(len(found))
+    # a row of zeros stands for nothing
+    rows = np.concatenate([own[text], np.zeros((1, 6))])
+    last, first = np.searchsorted(text, at) - 1, np.searchsorted(text, at, side="right")
+    before, after = rows[np.where(last < 0, len(text), last)], rows[first]
+    return np.concatenate([own[:, :2], before[:, :2], after[:, :2], own[:, 2:], before[:, 3:4], after[:, 3:4]], axis=1)
+
+
+#: The labelled table: blocks read off real pages and judged by hand. First those outside of article
+#: and main elements, mostly on pages without telling ones, so that words and links must decide:
+#: COLUMNS up to beside, then 1 for main text.
+_PLAIN = np.array(
     [
         # headings: after an advert, after a menu, between paragraphs
         (9, 0, 8, 0, 18, 0, 1, 0, 0, 1), (5, 0, 4, 0, 5, 0, 1, 0, 0, 1), (1, 0, 13, 0, 104, 0, 1, 0, 0, 1), (6, 0, 1, 1, 40, 0, 1, 0, 0, 1), (12, 0, 2, 1, 9, 0, 1, 0, 0, 1),
@@ -187,6 +194,38 @@ LABELLED = np.array(
 )
 
 
+#: Of the blocks above, loose ones on pages that are all divisions, text and menus: their neighbours
+#: are loose too.
+_DIVISIONS = (_PLAIN[:, 7] == 1) & (_PLAIN[:, 4] > 0) & ((_PLAIN[:, 9] == 1) | (_PLAIN[:, 1] > 0.5))
+
+#: Blocks of which the last three columns matter too: all COLUMNS, then 1 for main text.
+_MARKED = np.array(
+    [
+        # adverts and lines ahead of an article, whose menu stands beside the text
+        (8, 0, 0, 0, 9, 0, 0, 1, 0, 0, 0, 0, 0), (12, 0, 0, 0, 12, 0, 0, 1, 0, 0, 0, 0, 0), (4, 0, 0, 0, 6, 0, 0, 1, 0, 0, 0, 0, 0), (5, 0, 0, 0, 1, 0, 0, 1, 0, 0, 0, 0, 0), (18, 0, 0, 0, 70, 0, 0, 1, 0, 0, 0, 0, 0),
+        # menus of divisions, from the first entry to the last before a heading or text
+        (1, 0, 0, 0, 2, 1, 0, 1, 0, 0, 0, 1, 0), (1, 1, 0, 0, 1, 1, 0, 1, 0, 0, 0, 1, 0), (2, 1, 1, 0, 2, 1, 0, 1, 0, 0, 1, 1, 0), (2, 1, 2, 1, 2, 1, 0, 1, 0, 0, 1, 1, 0), (2, 1, 2, 1, 6, 0, 0, 1, 0, 0, 1, 0, 0), (3, 1, 2, 1, 40, 0, 0, 1, 0, 0, 1, 1, 0), (1, 1, 3, 1, 0, 0, 0, 1, 0, 0, 1, 0, 0), (4, 1, 60, 0, 3, 1, 0, 1, 0, 0, 1, 1, 0),
+        # the article's headings
+        (9, 0, 0, 0, 30, 0, 1, 0, 0, 1, 0, 0, 1), (3, 0, 50, 0, 60, 0, 1, 0, 0, 1, 0, 0, 1), (6, 0, 8, 0, 2, 0, 1, 0, 0, 1, 1, 0, 1), (2, 0, 0, 0, 0, 0, 1, 0, 0, 1, 0, 0, 1), (5, 1, 0, 0, 40, 0, 1, 0, 0, 1, 0, 0, 1), (4, 0, 3, 1, 9, 0, 1, 0, 0, 1, 0, 1, 1),
+        # its paragraphs, short first and last ones, a lone one, ones next to adverts
+        (9, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 0, 1), (1, 0, 9, 0, 0, 0, 0, 0, 0, 1, 0, 0, 1), (2, 0, 0, 0, 0, 0, 0, 0, 0, 1, 0, 0, 1), (26, 0, 22, 0, 22, 0, 0, 0, 0, 1, 0, 0, 1), (97, 0, 9, 0, 92, 0, 0, 0, 0, 1, 0, 0, 1), (3, 0, 3, 0, 3, 0, 0, 0, 0, 1, 0, 0, 1),
+        (208, 0, 12, 0, 1, 0, 0, 0, 0, 1, 0, 0, 1), (45, 0.2, 80, 0, 70, 0.1, 0, 0, 0, 1, 0, 0, 1), (6, 0, 8, 0, 20, 0, 0, 0, 0, 1, 1, 0, 1), (12, 0.5, 5, 0, 6, 0, 0, 0, 0, 1, 0, 1, 1),
+        # its links: items of a list, a paragraph that is one link
+        (2, 1, 30, 0, 3, 1, 0, 0, 0, 1, 0, 0, 1), (3, 1, 2, 1, 1, 1, 0, 0, 0, 1, 0, 0, 1), (1, 1, 3, 1, 0, 0, 0, 0, 0, 1, 0, 0, 1), (5, 1, 40, 0, 60, 0, 0, 0, 0, 1, 0, 0, 1), (6, 1, 0, 0, 20, 0, 0, 0, 0, 1, 0, 0, 1), (4, 1, 0, 0, 5, 1, 0, 0, 0, 1, 0, 0, 1), (7, 0.9, 5, 1, 4, 1, 0, 0, 0, 1, 0, 0, 1), (1, 1, 0, 0, 0, 0, 0, 0, 0, 1, 0, 0, 1),
+        # divisions as its paragraphs: their neighbours are loose, or there are none
+        (4, 0, 6, 0, 5, 0, 0, 1, 0, 1, 1, 1, 1), (3, 0, 0, 0, 8, 0, 0, 1, 0, 1, 0, 1, 1), (2, 0, 5, 0, 0, 0, 0, 1, 0, 1, 1, 0, 1), (9, 0, 4, 0, 11, 0, 0, 1, 0, 1, 0, 1, 1), (60, 0, 45, 0, 70, 0, 0, 1, 0, 1, 1, 1, 1), (15, 0, 0, 0, 0, 0, 0, 1, 0, 1, 0, 0, 1), (3, 0, 0, 0, 0, 0, 0, 1, 0, 1, 0, 0, 1), (5, 1, 7, 0, 6, 0, 0, 1, 0, 1, 1, 1, 1), (40, 0, 30, 0, 0, 0, 0, 1, 0, 1, 1, 0, 1), (11, 0, 6, 0, 3, 0, 0, 1, 0, 1, 1, 0, 1),
+        # adverts of no name among its paragraphs
+        (8, 0, 40, 0, 50, 0, 0, 1, 0, 1, 0, 0, 0), (1, 0, 6, 0, 1, 0, 0, 1, 0, 1, 0, 0, 0), (3, 0, 40, 0, 50, 0, 0, 1, 0, 1, 0, 0, 0), (5, 0, 3, 0, 60, 0, 0, 1, 0, 1, 0, 0, 0), (12, 0, 30, 0, 0, 0, 0, 1, 0, 1, 0, 0, 0), (6, 0.9, 25, 0, 30, 0, 0, 1, 0, 1, 0, 0, 0), (4, 0, 9, 0, 80, 0, 0, 1, 0, 1, 0, 0, 0), (14, 0, 5, 0, 2, 0, 0, 1, 0, 1, 0, 0, 0),
+        # what stands beside the text inside of an article: its share links, its comments
+        (3, 1, 40, 0, 0, 0, 0, 0, 1, 1, 0, 0, 0), (22, 0, 60, 0, 0, 0, 0, 0, 1, 1, 0, 0, 0), (9, 0, 12, 0, 30, 0, 0, 1, 1, 1, 0, 0, 0), (2, 0, 8, 0, 9, 0, 1, 0, 1, 1, 0, 0, 0), (6, 0, 0, 0, 14, 0, 0, 0, 1, 1, 0, 0, 0),
+    ],
+    dtype=float,
+)
+
+#: Both together: COLUMNS, then 1 for main text.
+LABELLED = np.concatenate([np.concatenate([_PLAIN[:, :9], np.zeros((len(_PLAIN), 1)), np.stack([_DIVISIONS & (_PLAIN[:, 2] > 0), _DIVISIONS], axis=1), _PLAIN[:, 9:]], axis=1), _MARKED])
+
+
 def grow(rows: np.ndarray, depth: int = 12) -> tuple:
     """A tree (column, threshold, low branch, high branch) with leaves (verdict,), by Gini impurity."""
     label = rows[:, -1]
