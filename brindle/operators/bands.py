@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.operators.skew import grid, slices
+
 #: Rows of a side that meet in one join group.
 HOT = 4096
 
@@ -19,16 +21,10 @@ HOT = 4096
 def _sliced(probes: DataFrame, bins: DataFrame, keys: list[str], hot: int) -> tuple[DataFrame, DataFrame]:
     """Both sides + _left and _right: a row keeps one slice of its own side and takes all of the other's."""
     counts = lambda df, name: df.groupBy(*keys, "_bin").agg(F.count("*").alias(name))
-    ceil = lambda c: F.expr(f"cast(ceil({c} / {float(hot)}D) as int)")
     full = counts(probes, "_l").where(F.col("_l") > hot).join(counts(bins, "_r").where(F.col("_r") > hot), [*keys, "_bin"])
-    full = full.select(*keys, "_bin", ceil("_l").alias("_ls"), ceil("_r").alias("_rs"))
-
-    def cut(df: DataFrame, own: str, of: str, others: str, other: str) -> DataFrame:
-        out = df.join(full, [*keys, "_bin"], "left").na.fill(1, ["_ls", "_rs"])
-        out = out.withColumn(own, F.expr(f"cast(pmod(xxhash64(_row), {of}) as int)"))
-        return out.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(others) - 1))).drop("_ls", "_rs")
-
-    return cut(probes, "_left", "_ls", "_rs", "_right"), cut(bins, "_right", "_rs", "_ls", "_left")
+    full = full.select(*keys, "_bin", slices("_l", hot).alias("_ls"), slices("_r", hot).alias("_rs"))
+    luck = F.xxhash64("_row")
+    return grid(probes.withColumn("_luck", luck), bins.withColumn("_luck", luck), [*keys, "_bin"], full)
 
 
 def _pairs(left: DataFrame, right: DataFrame, keys: list[str], x: str, y: str, width: float | int, reach: tuple[int, ...], names: tuple[str, str], hot: int) -> DataFrame:

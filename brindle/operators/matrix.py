@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import hash64
 from brindle.functions.shipping import ship
+from brindle.operators.skew import grid, heavy_keys, slices
 
 #: Fixed value: the seed of the right factor differs from the left one's by this.
 RIGHT_SEED = 0x9E3779B9
@@ -64,27 +65,96 @@ def checksum_by_margins(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, "k").agg(F.sum(F.col("x") * F.col("y")).alias("checksum"))
 
 
+def multiply_heavy(a: DataFrame, b: DataFrame, share: float = 0.01, hot: int = 50_000) -> DataFrame:
+    """The same product where some k hold many cells: a sketch of either side finds them in one
+    pass, their cells are cut into slices of ``hot`` that meet in join groups of their own, and all
+    other k take the plain join. The result is the same whatever the sketch finds."""
+    of = lambda df, name: heavy_keys(df, "k", share).withColumnRenamed("n", name)
+    full = of(a, "_l").join(of(b, "_r"), "k", "full").select("k", slices("coalesce(_l, 0)", hot).alias("_ls"), slices("coalesce(_r, 0)", hot).alias("_rs"))
+    left, right = grid(a.select("i", "k", "v", F.xxhash64("i").alias("_luck")), b.select("k", "j", F.col("v").alias("_w"), F.xxhash64("j").alias("_luck")), ["k"], full)
+    return left.join(right, ["k", "_left", "_right"]).groupBy("i", "j").agg(F.sum(F.col("v") * F.col("_w")).alias("v"))
+
+
+#: Cells that a worker packs at a time.
+PACKED = 1 << 16
+
+
+def packed(cells: DataFrame, row: str, col: str, size: int) -> DataFrame:
+    """(row block, column block, at, v): cells packed by block, in parts that add up; at and v are
+    bytes of 32-bit places in the block and of doubles. Nothing is shuffled."""
+    ship(cells.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out() -> pa.RecordBatch:
+            r, c, v = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3))
+            order = np.lexsort((c // size, r // size))
+            r, c, v = r[order], c[order], v[order]
+            blocks = np.stack([r // size, c // size])
+            edges = np.flatnonzero(np.concatenate([[True], (blocks[:, 1:] != blocks[:, :-1]).any(axis=0)]))
+            at = (r % size * size + c % size).astype(np.int32)
+            ends = [*edges[1:].tolist(), len(r)]
+            parts = list(zip(edges.tolist(), ends, strict=True))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(blocks[0, edges]), pa.array(blocks[1, edges]), pa.array([at[x:y].tobytes() for x, y in parts], pa.binary()), pa.array([v[x:y].tobytes() for x, y in parts], pa.binary())],
+                names=[f"b{row}", f"b{col}", "at", "v"],
+            )
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+            if sum(x.num_rows for x in held) >= PACKED:
+                yield out()
+                held = []
+        if held:
+            yield out()
+
+    slim = cells.select(F.col(row).cast("long"), F.col(col).cast("long"), F.col("v").cast("double"))
+    return slim.mapInArrow(run, f"b{row} long, b{col} long, at binary, v binary")
+
+
 def multiply_blocks(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
-    """The same product for dense operands: cells are gathered in blocks of size by size, blocks
-    meet on the shared block index and are multiplied by numpy; results are added up by cell."""
+    """The same product for dense operands: blocks of size by size travel packed, once, to the task
+    that owns a result block; there the panels along k come in order and are multiplied and added
+    up in place, so nothing of the result is shuffled. Numbers are 0 or more; a task holds three
+    blocks, and each block of a is sent once for each column of blocks of b, and the other way."""
+    validate(size, size, size)
     ship(a.sparkSession)
-
-    def block(df: DataFrame, row: str, col: str, out: str) -> DataFrame:
-        cell = F.struct((F.col(row) % size).cast("int").alias("r"), (F.col(col) % size).cast("int").alias("c"), F.col("v").cast("double").alias("v"))
-        return df.groupBy(F.expr(f"{row} div {size}").alias(f"b{row}"), F.expr(f"{col} div {size}").alias(f"b{col}")).agg(F.collect_list(cell).alias(out))
-
-    def dense(cells) -> np.ndarray:
-        out = np.zeros((size, size))
-        for c in cells:
-            out[c["r"], c["c"]] += c["v"]
-        return out
-
-    def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            for row in part.itertuples():
-                c = dense(row.x) @ dense(row.y)
-                i, j = np.nonzero(c)
-                yield pd.DataFrame({"i": row.bi * size + i, "j": row.bj * size + j, "v": c[i, j]})
-
-    pairs = block(a, "i", "k", "x").join(block(b, "k", "j", "y"), "bk").select("bi", "bj", "x", "y")
-    return pairs.mapInPandas(product, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    across = lambda df, c: (df.agg(F.max(c)).first()[0] or 0) // size
+    rows, cols = across(a, "i"), across(b, "j")
+    left = packed(a, "i", "k", size).withColumn("bj", F.explode(F.sequence(F.lit(0), F.lit(cols)))).withColumn("side", F.lit(0))
+    right = packed(b, "k", "j", size).withColumn("bi", F.explode(F.sequence(F.lit(0), F.lit(rows)))).withColumn("side", F.lit(1))
+    order = ["bi", "bj", "bk", "side"]
+    panels = left.select(*order, "at", "v").unionByName(right.select(*order, "at", "v")).repartition("bi", "bj").sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, panel = None, None
+        sides, result = np.zeros((2, size * size)), np.zeros((size, size))
+
+        def add() -> None:
+            np.add(result, sides[0].reshape(size, size) @ sides[1].reshape(size, size), out=result)
+            sides[:] = 0
+
+        def out() -> pa.RecordBatch:
+            i, j = np.nonzero(result)
+            cells = [pa.array(key[0] * size + i), pa.array(key[1] * size + j), pa.array(result[i, j])]
+            result[:] = 0
+            return pa.RecordBatch.from_arrays(cells, names=["i", "j", "v"])
+
+        for batch in batches:
+            for bi, bj, bk, side, at, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (bi, bj, bk) != panel:
+                    if panel is not None:
+                        add()
+                    panel = (bi, bj, bk)
+                if (bi, bj) != key:
+                    if key is not None:
+                        yield out()
+                    key = (bi, bj)
+                np.add.at(sides[side], np.frombuffer(at, np.int32), np.frombuffer(v))
+        if key is not None:
+            add()
+            yield out()
+
+    return panels.mapInArrow(run, "i long, j long, v double")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 # these modules register their queries as they are imported
-from brindle.plans import allocation_queries, bailout_queries, graph_queries, heat_queries, matrix_queries, ordering_queries, pair_queries, sugar_queries, text_queries  # noqa: F401
+from brindle.plans import allocation_queries, bailout_queries, graph_queries, heat_queries, matrix_queries, ordering_queries, pair_queries, streaming_queries, sugar_queries, text_queries  # noqa: F401
 from brindle.plans.registry import ORACLES, QUERIES, Query
 
 

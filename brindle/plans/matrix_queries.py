@@ -72,6 +72,20 @@ DENSE_SQL = f"""WITH a AS (SELECT i, k, {_payload('i', 'k', SEED)} AS v FROM ({L
 SELECT i, j, sum(a.v * b.v)::BIGINT AS v FROM a JOIN b USING (k) GROUP BY i, j"""
 
 
+#: Few k, each with a large share of the cells: orders by return flag, and return flag by month.
+H_A_SQL = "SELECT l_orderkey AS i, ascii(l_returnflag)::BIGINT AS k, sum(l_quantity::BIGINT)::BIGINT AS v FROM lineitem GROUP BY 1, 2"
+H_B_SQL = "SELECT ascii(l_returnflag)::BIGINT AS k, month(l_shipdate)::BIGINT AS j, count(*) AS v FROM lineitem GROUP BY 1, 2"
+
+
+@register("dgemm_heavy", f"WITH a AS ({H_A_SQL}), b AS ({H_B_SQL}) SELECT i, j, sum(a.v * b.v)::BIGINT AS v FROM a JOIN b USING (k) GROUP BY i, j")
+def dgemm_heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    k = F.ascii("l_returnflag").cast("long").alias("k")
+    a = lines.groupBy(F.col("l_orderkey").alias("i"), k).agg(F.sum(F.col("l_quantity").cast("long")).alias("v"))
+    b = lines.groupBy(k, F.month("l_shipdate").cast("long").alias("j")).agg(F.count("*").alias("v"))
+    return matrix.multiply_heavy(a, b)
+
+
 @register("dgemm_hash", DENSE_SQL)
 def dgemm_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.multiply(*dense(spark, sf_dir))

@@ -29,13 +29,14 @@ def done(spark: SparkSession, path: str, run: str, batch: int) -> bool:
     return fs.exists(at)
 
 
-def append_once(df: DataFrame, path: str, run: str, batch: int) -> bool:
-    """Appends df as the rows of (run, batch), unless they are there; tells whether they were written."""
+def append_once(df: DataFrame, path: str, run: str, batch: int, form: str = "parquet", **options) -> bool:
+    """Appends df as the rows of (run, batch), unless they are there; tells whether they were written.
+    form and options are a writer's format and what it takes."""
     spark = df.sparkSession
     if done(spark, path, run, batch):
         return False
     folder = f"rows/{quote(run, safe='')}-{int(batch):012d}-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{folder}")
+    df.write.format(form).options(**options).save(f"{path}/{folder}")
     return _name(spark, path, run, batch, folder)
 
 
@@ -64,7 +65,7 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return [f"{path}/{lines[k]}" for k in sorted(lines)]
 
 
-def read(spark: SparkSession, path: str, schema) -> DataFrame:
+def read(spark: SparkSession, path: str, schema, form: str = "parquet", **options) -> DataFrame:
     """The rows of all named batches."""
     found = folders(spark, path)
-    return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).format(form).options(**options).load(found) if found else spark.createDataFrame([], schema)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.sources import ledger
+
 #: Columns of a batch file; the last is optional.
 BATCH = ("motif", "vertices", "edge_prob", "seed", "input", "debug", "runs")
 #: Columns of a result table.
@@ -77,6 +79,16 @@ def read_results(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.read.csv(path, header=True, schema=like.schema)
 
 
+def append_results(df: DataFrame, path: str, run: str, batch: int) -> bool:
+    """Appends rows to a result table of CSV files, once for each (run, batch) however often it is
+    run; tells whether they were written."""
+    return ledger.append_once(df, path, run, batch, "csv", header=True)
+
+
+def results_so_far(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    return ledger.read(spark, path, like.schema, "csv", header=True)
+
+
 def write_snapshot(agents: DataFrame, cells: DataFrame, prefix: str, step: int) -> None:
     """``<prefix>_<step>_GRID`` and ``_AGENT`` tables."""
     at = f"{prefix}_{step:06d}"
