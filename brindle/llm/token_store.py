@@ -12,9 +12,13 @@ names those of the attempts that counted, so a task can be lost and run again. A
 rows share spreads over tasks by a hash of the text, and a task writes a further shard as soon as
 one is full.
 
-Reading asks the index: keys are dealt to the shards that may hold them (by the shards' first and
-last keys, a row for each shard on the driver), each shard's hash gives the documents of its keys,
-and neighbouring documents are read in one run.
+Reading many keys deals them to the shards that may hold them (a join by bins that a bounded number
+of marks among the shards' first keys make), reads each shard's index once, asks its hash for the
+documents, and reads neighbouring documents in one run. A single lookup reads only the words that
+the hash leads to: some 100 bytes beside the header, whatever the shard's size.
+
+The keys are stored as well, so that a store can list what it holds (``stored_keys``); a lookup
+never reads them, the fingerprint tells an unknown key from a known one but for one in 2^32.
 
 Edge cases: null text is encoded as empty, so only the end id is stored; null keys come first
 and are found by key None; rows with one key are stored side by side (in order of a hash of the
@@ -32,19 +36,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.functions.scratch import shared_dir
+from brindle.functions.scratch import Scratch, shared_dir
 from brindle.functions.shipping import ship
 from brindle.llm import perfect_hash
 from brindle.llm.common import saved, sliced, table
 from brindle.llm.encoding import encoder
+from brindle.operators.ordering import numbered
 
 MARK = b"BRTOKEN1"
 SHARD_BYTES = 16 << 20
 #: Ids and documents beyond which a task begins a further shard.
 FULL_IDS, FULL_DOCS = 16 << 20, 1 << 19
+#: Marks among the shards' first keys by which keys are dealt to shards.
+MARKS = 4096
 #: Ids that one read takes at most.
 READ_IDS = 1 << 20
 
@@ -77,22 +84,39 @@ def pack_shard(keys: np.ndarray, valid: np.ndarray, ids: list[bytes], wide: bool
     return MARK + len(head).to_bytes(8, "little") + head, [memoryview(np.ascontiguousarray(x)).cast("B") for x in parts.values() if len(x)]
 
 
+class _Remote:
+    """A section whose numbers are read one by one, as they are asked for."""
+
+    def __init__(self, shard: Shard, name: str):
+        self.shard, self.name = shard, name
+
+    def __getitem__(self, at) -> np.ndarray:
+        kind = np.dtype(self.shard.sections[self.name][0])
+        found = [self.shard._section(self.name, i, i + 1)[0] for i in np.atleast_1d(at).tolist()]
+        return np.array(found, kind) if np.ndim(at) else found[0]
+
+
 class Shard:
-    """A shard file, open for reading; the index is read at once, ids as they are asked for."""
+    """A shard file, open for reading, ids as they are asked for. For many keys the index is read at
+    once; for a few (``whole`` false) only the words that their hash leads to."""
 
-    def __init__(self, uri: str):
+    def __init__(self, uri: str, whole: bool = True):
         files, path = _files(uri)
-        self.file = files.open_input_file(path)
-        if self.file.read_at(8, 0) != MARK:
+        self.file, self.n_read = files.open_input_file(path), 0
+        if self._bytes(8, 0) != MARK:
             raise ValueError(f"{uri} is no token shard")
-        n = int.from_bytes(self.file.read_at(8, 8), "little")
-        self.sections, self.base = json.loads(self.file.read_at(n, 16)), 16 + n
-        self.index = {k: self._section(k) for k in self.sections if k != "ids"}
+        n = int.from_bytes(self._bytes(8, 8), "little")
+        self.sections, self.base = json.loads(self._bytes(n, 16)), 16 + n
+        self.index = {k: self._section(k) if whole or k == "sizes" else _Remote(self, k) for k in self.sections if k != "ids"}
+
+    def _bytes(self, n: int, at: int) -> bytes:
+        self.n_read += n
+        return self.file.read_at(n, at)
 
     def _section(self, name: str, low: int = 0, high: int | None = None) -> np.ndarray:
         kind, n, offset = self.sections[name]
         kind, high = np.dtype(kind), n if high is None else high
-        return np.frombuffer(self.file.read_at((high - low) * kind.itemsize, self.base + offset + low * kind.itemsize), dtype=kind)
+        return np.frombuffer(self._bytes((high - low) * kind.itemsize, self.base + offset + low * kind.itemsize), dtype=kind)
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key, -1 for unknown keys."""
@@ -204,8 +228,9 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
     order = [F.asc_nulls_first("doc_id"), F.asc("_h")]
     ordered = rows.repartitionByRange(int(n), *order).sortWithinPartitions(*order).select("doc_id", "text")
     manifest = saved(ordered.mapInArrow(shards, _MANIFEST), "token-manifest")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
-    return saved(manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), "token-shards")
+    with Scratch(spark, "token-bases") as keep:
+        based = numbered(manifest, ["shard"], keep, "_nth", {"base": "n_ids"})
+        return saved(based.drop("_nth").withColumn("base", F.col("base").cast("long")), "token-shards")
 
 
 def stored_keys(manifest: DataFrame) -> DataFrame:
@@ -224,21 +249,23 @@ def stored_keys(manifest: DataFrame) -> DataFrame:
 def read(manifest: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document stored under the doc_ids of keys (all
     that are stored, by default), each found through its shard's index; unknown keys give no row."""
-    bounds = manifest.select("shard", "first_key", "last_key", "n_null").orderBy("shard").toArrow()
-    keyed = bounds.filter(pa.compute.is_valid(bounds["first_key"]))
-    first, last, shard = (keyed[c].to_numpy() for c in ("first_key", "last_key", "shard"))
-    nulls = bounds.filter(pa.compute.greater(bounds["n_null"], 0))["shard"].to_numpy()
+    # some of the shards' first keys mark out bins; keys meet the shards that reach into their bin
+    keyed = manifest.where("first_key is not null")
+    every = max(1, -(-keyed.count() // MARKS))
+    drawn = keyed.where(F.pmod(F.xxhash64("shard"), F.lit(every)) == 0).select("first_key").distinct().limit(4 * MARKS)
+    marks = np.unique(drawn.toArrow().column(0).to_numpy().astype(np.int64))
+
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.searchsorted(marks, b.column(0).to_numpy(), side="right")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at)], names=["doc_id", "bin"])
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            known = pa.compute.drop_null(b.column(0)).to_numpy(zero_copy_only=False)
-            low, high = np.searchsorted(last, known), np.searchsorted(first, known, side="right")
-            n = np.maximum(high - low, 0)
-            which = np.repeat(np.arange(len(known)), n)
-            at = low[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            yield pa.RecordBatch.from_arrays([pa.array(known[which], pa.int64()), pa.array(shard[at], pa.int64())], names=["doc_id", "shard"])
-            if b.num_rows > len(known):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(nulls), pa.int64()), pa.array(nulls, pa.int64())], names=["doc_id", "shard"])
+            low, high = (np.searchsorted(marks, b.column(i).to_numpy(), side="right") for i in (1, 2))
+            which = np.repeat(np.arange(b.num_rows), high - low + 1)
+            bin_ = low[which] + np.arange(len(which)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1)
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(which)) for c in b.columns), pa.array(bin_)], names=["shard", "first_key", "last_key", "bin"])
 
     def documents(asked: pa.Table) -> pa.Table:
         found, base = Shard(asked["uri"][0].as_py()), asked["base"][0].as_py()
@@ -255,14 +282,21 @@ def read(manifest: DataFrame, keys: DataFrame | None = None) -> DataFrame:
 
     ship(manifest.sparkSession)
     keys = stored_keys(manifest) if keys is None else keys.select(F.col("doc_id").cast("long").alias("doc_id"))
-    dealt = keys.distinct().mapInArrow(deal, "doc_id long, shard long").distinct()
+    keys = keys.distinct()
+    known = keys.where("doc_id is not null").mapInArrow(bins, "doc_id long, bin long")
+    shards = keyed.select("shard", "first_key", "last_key").mapInArrow(reach, "shard long, first_key long, last_key long, bin long")
+    dealt = known.join(shards, (known["bin"] == shards["bin"]) & known["doc_id"].between(shards["first_key"], shards["last_key"])).select("doc_id", "shard")
+    # the null key is in every shard that has rows without a key
+    nulls = manifest.where("n_null > 0").select("shard", F.pmod("shard", F.lit(1)).alias("none")).join(keys.where("doc_id is null").select(F.coalesce("doc_id", F.lit(0)).alias("none")), "none", "left_semi")
+    dealt = dealt.unionByName(nulls.select(F.lit(None).cast("long").alias("doc_id"), "shard"))
     return dealt.join(manifest.select("shard", "uri", "base"), "shard").groupBy("shard").applyInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(manifest: DataFrame, key: int | None) -> list[np.ndarray]:
-    """The ids of the documents with a key: one manifest row or two, one index, one read each."""
+    """The ids of the documents with a key: one manifest row or two, a few words of each shard's index,
+    and one read of ids each. Without a key, the marks of all rows are read."""
     where = F.col("n_null") > 0 if key is None else (F.lit(key) <= F.col("last_key")) & (F.lit(key) >= F.col("first_key"))
-    return [x for r in manifest.where(where).orderBy("shard").toLocalIterator() for x in Shard(r["uri"]).get(key)]
+    return [x for r in manifest.where(where).orderBy("shard").toLocalIterator() for x in Shard(r["uri"], whole=key is None).get(key)]
 
 
 def tokenizer_path(name: str) -> str:

@@ -12,6 +12,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from brindle.llm import html_extract, language_id, line_dedup, media, mixing, near_copies, packing, quality_classifier, simhash, token_store
@@ -410,3 +411,34 @@ def test_pipeline_against_plain_stages(spark, documents):
     # packing: all ids of all that was mixed
     pieces = corpus_pipeline.pack_sequences(spark, spark.createDataFrame(mixed), SF).collect()
     assert sum(r["length"] for r in pieces) == sum(len(ids_of("word_bpe_49k.json", r["text"], 1)) for r in mixed)
+
+
+def test_a_lookup_reads_little(spark):
+    """Some words of the index, whatever the shard's size; unknown keys are told apart."""
+    docs = spark.range(20_000).selectExpr("id * 3 as doc_id", "concat('word ', id) as text").coalesce(1)
+    manifest = token_store.write(docs, token_store.tokenizer_path("byte_bpe_50k.json"), 2)
+    row = manifest.orderBy(F.desc("n_docs")).first()
+    ids_of_all = {r["doc_id"]: r["n_tokens"] for r in token_store.read(manifest).collect()}
+    for key in (row["first_key"], row["first_key"] + 300, row["last_key"], row["first_key"] + 1):
+        shard = token_store.Shard(row["uri"], whole=False)
+        head = shard.n_read
+        found = shard.get(key)
+        assert (len(found) == 1 and len(found[0]) == ids_of_all[key]) if key % 3 == 0 else found == []
+        assert shard.n_read - head - sum(x.nbytes for x in found) < 200 and head < 4096 and row["n_docs"] > 1000
+        assert [x.tolist() for x in token_store.lookup(manifest, key)] == [x.tolist() for x in found]
+
+
+def test_keys_meet_shards_through_marks(spark, monkeypatch):
+    """Few marks for many shards; repeated, unknown and null keys."""
+    monkeypatch.setattr(token_store, "FULL_DOCS", 7)
+    monkeypatch.setattr(token_store, "MARKS", 3)
+    rows = [(i // 2 if i % 11 else None, f"text {i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = token_store.write(docs, token_store.tokenizer_path("byte_bpe_50k.json"), 2)
+    assert manifest.count() > 50
+    asked = spark.createDataFrame([(k,) for k in [*range(-5, 150), None, None, 3, 3]], "doc_id long")
+    got = [r["doc_id"] for r in token_store.read(manifest, asked).collect()]
+    want = [k for k, _ in rows if k is None or k < 150]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    plan = token_store.read(manifest, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "SinglePartition" not in plan
