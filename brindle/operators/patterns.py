@@ -42,6 +42,7 @@ class Adjacency:
     light: DataFrame
     heavy: DataFrame
     heavy_from: int
+    vertices: int
 
 
 def adjacency(edges: DataFrame, keep: Scratch, light: int = LIGHT, block: int = BLOCK) -> Adjacency:
@@ -49,12 +50,12 @@ def adjacency(edges: DataFrame, keep: Scratch, light: int = LIGHT, block: int =
     degrees = edges.groupBy("src").agg(F.count("*").alias("degree"))
     ranked = numbered(degrees, ["degree", "src"], keep, "number")
     names = keep(ranked.select("number", F.col("src").alias("vertex"), "degree"), "names")
-    heavy_from = names.where(F.col("degree") <= light).count()
+    heavy_from, vertices = names.agg(F.count_if(F.col("degree") <= light), F.count("*")).first()
     of = lambda old, new: names.select(F.col("vertex").alias(old), F.col("number").alias(new))
     arcs = keep(edges.select("src", "dst").join(of("src", "u"), "src").join(of("dst", "v"), "dst").select("u", "v"), "arcs")
     lists = arcs.where(F.col("u") < heavy_from).groupBy("u").agg(F.sort_array(F.collect_list("v")).alias("list"))
     blocks = arcs.where(F.col("u") >= heavy_from).groupBy("u", F.expr(f"v div {block}").alias("block")).agg(F.sort_array(F.collect_list("v")).alias("list"))
-    return Adjacency(names, arcs, keep(lists, "light"), keep(blocks, "heavy"), heavy_from)
+    return Adjacency(names, arcs, keep(lists, "light"), keep(blocks, "heavy"), heavy_from, vertices)
 
 
 def _beside(m: Motif, matched: frozenset, v: int) -> list[int]:
@@ -89,6 +90,8 @@ def _grown(rows: DataFrame, g: Adjacency, m: Motif, matched: frozenset, v: int,
     low, high = F.col("_at0") < g.heavy_from, F.col(f"_at{len(near) - 1}") < g.heavy_from
     first = narrowed(rows.where(low if len(near) == 1 else high).join(lists(g.light, 0, "_found"), "_at0"))
     out = [intersected(first, g.light)]
+    if g.heavy_from == g.vertices:
+        return out[0]
     out.append(intersected(narrowed(rows.where(~low).join(lists(g.heavy, 0, "_found", "block"), "_at0")), g.heavy, "block"))
     if len(near) > 1:
         # a light proposer among heavy ones: its few candidates are looked up as edges
