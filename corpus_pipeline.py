@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.functions.scratch import delete, shared_dir, written
 from brindle.llm import language_id, line_dedup, mixing, packing, simhash
-from brindle.llm.common import saved
 from brindle.llm.token_store import tokenizer_path
 
 
@@ -61,10 +61,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written, and read by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; what a stage returns is written, and read by the next, after which
+    the table before it goes."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = saved(docs, f"pipeline-{i}")
+            path = shared_dir(spark, f"pipeline-{i}")
+            docs = written(docs, path)
+            if before:
+                delete(spark, before)
+            before = path
     return docs
