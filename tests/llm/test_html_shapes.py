@@ -1,48 +1,12 @@
-"""Main text of pages of several shapes, and of all given pages."""
+"""Main text of all given pages."""
 
 from __future__ import annotations
 
 import html
 import re
 
-import pytest
-
 from brindle.llm import html_extract
 
-NAV = '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>'
-SHAPES = [
-    ('<article><p>A first paragraph of nine words stands here alone.</p><p>Second.</p></article>',"A first paragraph of nine words stands here alone.\nSecond."),
-    ('<article><p>Hi all.</p></article>',"Hi all."),
-    ('<article><h1>Sources</h1><p>Read these pages, all of them.</p><ul><li><a href="x">First page</a></li><li><a href="y">Second</a></li><li><a href="z">Third one here</a></li></ul><p>That is all there is to say about it.</p></article>',"Sources\nRead these pages, all of them.\nFirst page\nSecond\nThird one here\nThat is all there is to say about it."),
-    ('<article><p>Some words stand first in here.</p><p><a href="x">The whole report</a></p><p>Some words stand last in here.</p></article>',"Some words stand first in here.\nThe whole report\nSome words stand last in here."),
-    ('<article><div>Short one.</div><div>Another short one.</div><div>End.</div></article>',"Short one.\nAnother short one.\nEnd."),
-    ('<div class="promo">Buy the best kettle in town today and save a lot of money.</div><article><h1>Title</h1><p>Text of the page.</p></article>',"Title\nText of the page."),
-    ('<article><h1>Title</h1><p>Text of the page.</p><div class="banner">Buy the best kettle in town today and save.</div><p>More text of the page.</p></article>',"Title\nText of the page.\nMore text of the page."),
-    ('<article><h1>Title</h1><p>Text of the page stands here.</p><div>Buy a kettle now.</div><p>More text of the page.</p></article>',"Title\nText of the page stands here.\nMore text of the page."),
-    ('<div>Nine words of an advert that has no name.</div><article><h1>Title</h1><p>Text.</p></article><footer>c</footer>',"Title\nText."),
-    ('<main><h1>Title</h1><div>One.</div><div>Two words.</div></main><aside>Side words</aside>',"Title\nOne.\nTwo words."),
-]
-
-
-@pytest.fixture(scope="module")
-def tree():
-    return html_extract.grow(html_extract.LABELLED)
-
-
-@pytest.mark.parametrize(("page", "want"), SHAPES)
-def test_shapes_behind_a_menu(tree, page, want):
-    assert html_extract.extract(NAV + page, tree) == want
-    assert html_extract.extract(f"<html><body><header><h1>Site</h1></header>{NAV}{page}<footer>c</footer>", tree) == want
-
-
-def test_the_tree_asks_for_words_and_links(tree):
-    """With the numbers blinded, text of pages without telling elements is no longer told apart."""
-    found = html_extract.blocks("<div>Home</div>" + "".join(f'<div><a href="x">Link {i}</a></div>' for i in range(4)) + "<h1>A title of some words</h1>" + "<div>" + "many words of text " * 12 + "</div>")
-    rows = html_extract.feature_table(found)
-    assert html_extract.judge(tree, rows).tolist() == [False] * 5 + [True, True]
-    rows[:, :6] = 0
-    assert html_extract.judge(tree, rows).tolist() != [False] * 5 + [True, True]
-
 
 def test_all_pages(spark):
     """On the given pages the main text is what the article element holds."""
