@@ -256,26 +256,23 @@ def _possible() -> Column:
 _OTHER = {"node": "node2", "n": "n2", "at": "at2", "label": "label2"}
 
 
-def _open(index: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """index with the labels of components, without shingles that stand in one component only."""
-    if labels is None:
-        return index.withColumn("label", F.col("node"))
-    labelled = index.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _open(index: DataFrame, labels: DataFrame) -> DataFrame:
+    """index with the labels of components, without shingles that stand in one component only; as
+    components only grow together, these need not be looked at again."""
+    labelled = index.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = labelled.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("s")
     return labelled.join(several, "s", "left_semi")
 
 
-def _to_centres(index: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+def _to_centres(rows: DataFrame, turn: int) -> DataFrame:
     """(u, v): each node with CENTRES nodes of other components drawn for each of its shingles."""
-    rows = _open(index, labels)
     drawn = [F.struct(F.xxhash64("node", F.lit(turn), F.lit(k)).alias("luck"), *[F.col(a).alias(b) for a, b in _OTHER.items()]) for k in range(CENTRES // 2)]
     centres = rows.groupBy("s").agg(F.explode(F.array(*[f(x) for x in drawn for f in (F.min, F.max)])).alias("c")).select("s", *[f"c.{b}" for b in _OTHER.values()])
     return rows.join(centres, "s").where((F.col("label") != F.col("label2")) & _possible()).select(*_pairs("node", "node2"))
 
 
-def _apart(index: DataFrame, labels: DataFrame) -> DataFrame:
+def _apart(rows: DataFrame) -> DataFrame:
     """(u, v): nodes of different components that share a shingle."""
-    rows = _open(index, labels)
     other = rows.withColumnsRenamed(_OTHER)
     return rows.join(other, "s").where((F.col("label") < F.col("label2")) & _possible()).select(*_pairs("node", "node2"))
 
@@ -288,11 +285,13 @@ def near_copies(docs: DataFrame, keep: Scratch) -> DataFrame:
     # texts with equal sets are one node, told by one of its rows
     nodes = keep(rows.groupBy("node").agg(F.min(F.struct("id", "text_hash", "n", "fp", "bits")).alias("row")), "nodes")
     indexes = _indexes(rows, keep)
-    tried = found = labels = None
+    # what may still join components: at first all shared shingles, each node a component of its own
+    rest = [x.withColumn("label", F.col("node")) for x in indexes]
+    tried = found = None
     turn, draw, last = 0, True, False
     while not last:
         last = not draw
-        pairs = reduce(DataFrame.union, [_to_centres(x, labels, turn) if draw else _apart(x, labels) for x in indexes])
+        pairs = reduce(DataFrame.union, [_to_centres(x, turn) if draw else _apart(x) for x in rest])
         pairs = pairs.union(_by_fingerprint(nodes, keep)) if tried is None else pairs.join(tried, ["u", "v"], "left_anti")
         pairs = keep(pairs.distinct(), "pairs")
         tried = pairs if tried is None else tried.union(pairs)
@@ -301,6 +300,8 @@ def near_copies(docs: DataFrame, keep: Scratch) -> DataFrame:
         labels = components(found, keep)
         turn += 1
         draw = turn < TURNS and YIELD * more.count() > pairs.count()
+        if not last:
+            rest = [keep(_open(x, labels), "open") for x in rest]
     return rows.select(*_KEY, "node").join(labels, "node", "left").select(*_KEY, F.coalesce("label", "node").alias("component"))
 
 
