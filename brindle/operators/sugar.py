@@ -34,6 +34,12 @@ def regrow(cells: DataFrame, growth: int = 1) -> DataFrame:
     return cells.withColumn("sugar", F.least("capacity", F.col("sugar") + growth))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df, whose join deals both sides by key. The planner takes the cells in reach, many for each
+    agent, to be as small as the agents, and would send them whole through the driver."""
+    return df.hint("merge")
+
+
 def targets(agents: DataFrame, cells: DataFrame) -> DataFrame:
     """(id, row, col) of the cell each agent aims at: a join on the cells in reach, and a maximum
     per agent that is taken partly before the shuffle."""
@@ -45,7 +51,7 @@ def targets(agents: DataFrame, cells: DataFrame) -> DataFrame:
 
     rays = [ray(*d) for d in DIRECTIONS]
     reach = agents.select("id", F.inline(F.concat(own, *rays)))
-    seen = reach.join(cells.select("row", "col", "sugar"), ["row", "col"])
+    seen = reach.join(dealt(cells.select("row", "col", "sugar")), ["row", "col"])
     best = F.max(F.struct("sugar", (-F.col("far")).alias("near"), (-F.col("way")).alias("order"), "row", "col")).alias("best")
     return seen.groupBy("id").agg(best).select("id", "best.row", "best.col")
 
@@ -62,19 +68,19 @@ def occupants(agents: DataFrame) -> DataFrame:
 
 def move(agents: DataFrame, cells: DataFrame, aims: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Winners move to their cells and harvest them: (agents, cells)."""
-    won = winners(aims).join(cells.select("row", "col", "sugar"), ["row", "col"]).select("id", F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("sugar").alias("got"))
-    moved = agents.join(won, "id", "left")
+    won = winners(aims).join(dealt(cells.select("row", "col", "sugar")), ["row", "col"]).select("id", F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("sugar").alias("got"))
+    moved = agents.join(dealt(won), "id", "left")
     moved = moved.withColumn("row", F.coalesce("to_row", "row")).withColumn("col", F.coalesce("to_col", "col")).withColumn("wealth", F.col("wealth") + F.coalesce("got", F.lit(0)))
     taken = won.select(F.col("to_row").alias("row"), F.col("to_col").alias("col"), F.lit(True).alias("taken"))
-    emptied = cells.join(taken, ["row", "col"], "left").withColumn("sugar", F.when(F.col("taken"), F.lit(0)).otherwise(F.col("sugar"))).drop("taken")
+    emptied = cells.join(dealt(taken), ["row", "col"], "left").withColumn("sugar", F.when(F.col("taken"), F.lit(0)).otherwise(F.col("sugar"))).drop("taken")
     return moved.drop("to_row", "to_col", "got"), emptied
 
 
 def harvest(agents: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Each cell's occupant takes the sugar left in it: (agents, cells)."""
-    here = occupants(agents).join(cells.where("sugar > 0").select("row", "col", F.col("sugar").alias("got")), ["row", "col"])
-    fed = agents.join(here.select("id", "got"), "id", "left").withColumn("wealth", F.col("wealth") + F.coalesce("got", F.lit(0))).drop("got")
-    left = cells.join(here.select("row", "col", "got"), ["row", "col"], "left").withColumn("sugar", F.when(F.col("got").isNotNull(), F.lit(0)).otherwise(F.col("sugar"))).drop("got")
+    here = occupants(agents).join(dealt(cells.where("sugar > 0").select("row", "col", F.col("sugar").alias("got"))), ["row", "col"])
+    fed = agents.join(dealt(here.select("id", "got")), "id", "left").withColumn("wealth", F.col("wealth") + F.coalesce("got", F.lit(0))).drop("got")
+    left = cells.join(dealt(here.select("row", "col", "got")), ["row", "col"], "left").withColumn("sugar", F.when(F.col("got").isNotNull(), F.lit(0)).otherwise(F.col("sugar"))).drop("got")
     return fed, left
 
 

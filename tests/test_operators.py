@@ -196,3 +196,13 @@ def test_degree_stream(spark, tmp_path):
     q = degree_stream(spark, str(tmp_path / "in"), 1).writeStream.format("memory").queryName("degrees").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert {r["vertex"]: r["degree"] for r in spark.table("degrees").collect()} == {1: 1, 2: 2, 3: 2, 4: 1}
+
+
+def test_agents_and_cells_meet_without_a_broadcast(spark, tmp_path):
+    # the planner's guess for the agents' reach is the agents' own size, so it was sent through the driver
+    spark.range(200).selectExpr("id", "id div 10 as row", "id % 10 as col", "5L as wealth", "1 as metabolism", "6 as vision").write.parquet(f"{tmp_path}/agents")
+    spark.range(400).selectExpr("id div 20 as row", "id % 20 as col", "4 as capacity", "4 as sugar").write.parquet(f"{tmp_path}/cells")
+    agents, cells = spark.read.parquet(f"{tmp_path}/agents"), spark.read.parquet(f"{tmp_path}/cells")
+    for df in (sugar.targets(agents, cells), *sugar.step(agents, cells, first=True)):
+        df.collect()
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
