@@ -8,7 +8,9 @@ vertices are allowed. Counting goes by what a pattern allows:
   neighbours; tailed triangles from the degrees at the corners of triangles, diamonds from the
   number of triangles on each edge;
 * squares and five-cycles from their highest vertex, through two-paths of lower vertices, of which
-  there are no more than the lower ends' degrees add up to;
+  there are no more than the lower ends' degrees add up to; five-cycles are pairs of such paths whose
+  ends are an edge, less the pairs that share a vertex, which triangles and degrees tell; houses are
+  the triangles on the edges of squares, less those that diamonds account for;
 * any other pattern one vertex at a time from intersected neighbour lists, parts of it that aren't
   connected by products of counts (``patterns``).
 
@@ -19,11 +21,12 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.scratch import Scratch, shared_dir, written
 from brindle.operators import patterns
+from brindle.operators.ordering import numbered
 from brindle.operators.motifs import MOTIFS, Motif, motif, pattern
 
 __all__ = ["MOTIFS", "Motif", "motif", "pattern"]
@@ -136,15 +139,63 @@ def _square(edges: DataFrame, keep: Scratch) -> DataFrame:
     return _total(across, "cast(n as decimal(19,0)) * (n - 1) / 2")
 
 
-def _five_cycle(edges: DataFrame, keep: Scratch) -> DataFrame:
-    paths = keep(_two_paths(edges), "two-paths")
-    step = edges.select(F.col("src").alias("b"), F.col("dst").alias("c"))
-    three = paths.select("top", "a", "b").join(step, "b").where("c <> a")
-    other = paths.select("top", F.col("a").alias("e"), F.col("b").alias("c"))
-    return three.join(other, ["top", "c"]).where("a < e and e <> b").agg(F.count("*").alias("instances"))
+def _arcs(edges: DataFrame, keep: Scratch) -> DataFrame:
+    """(u, v) both ways, of vertices numbered by (degree, id); two numbers share a BIGINT (``_key``),
+    so the cast stops at 2^31 vertices."""
+    numbers = numbered(degrees(edges), ["degree", "src"], keep, "number").select("src", F.col("number").cast("int"))
+    numbers = keep(numbers, "numbers")
+    at = lambda end, out: numbers.select(F.col("src").alias(end), F.col("number").alias(out))
+    return keep(edges.select("src", "dst").join(at("src", "u"), "src").join(at("dst", "v"), "dst").select("u", "v"), "arcs")
+
+
+def _key(high: str, low: str) -> Column:
+    return F.shiftleft(F.col(high).cast("long"), 32).bitwiseOR(F.col(low).cast("long"))
 
 
-_COUNTED = {"path4": _path4, "tailed_triangle": _tailed, "diamond": _diamond, "square": _square, "5cycle": _five_cycle}
+def _corners(arcs: DataFrame, keep: Scratch) -> DataFrame:
+    """x < y < z of every triangle of numbered vertices."""
+    up = arcs.where("u < v")
+    wedges = up.select(F.col("u").alias("x"), F.col("v").alias("y")).join(up.select(F.col("u").alias("x"), F.col("v").alias("z")), "x").where("y < z")
+    return keep(wedges.withColumn("_e", _key("y", "z")).join(up.select(_key("u", "v").alias("_e")), "_e", "left_semi").select("x", "y", "z"), "triangles")
+
+
+def _five_cycle(edges: DataFrame, keep: Scratch) -> DataFrame:
+    """Edges b < c whose ends the highest vertex reaches by two-paths top - a - b and top - e - c, less
+    the pairs of paths that share a vertex (a = e, a = c or e = b): for each triangle the neighbours
+    above its top and the degrees of its other corners, less three."""
+    arcs = _arcs(edges, keep)
+    up = arcs.where("u < v")
+    paths = up.select(F.col("u").alias("a"), F.col("v").alias("top")).join(arcs.select(F.col("u").alias("a"), F.col("v").alias("b")), "a").where("b < top")
+    paths = keep(paths.groupBy(_key("top", "b").alias("ends")).agg(F.count("*").alias("n")), "two-paths")
+    first = paths.select(F.shiftright("ends", 32).cast("int").alias("top"), F.expr("cast(ends & 2147483647 as int)").alias("b"), F.col("n").alias("_n"))
+    met = first.join(up.select(F.col("u").alias("b"), F.col("v").alias("c")), "b").where("c < top").select(_key("top", "c").alias("ends"), "_n").join(paths, "ends")
+    corner = F.explode(F.array(*[F.struct(F.col(v).alias("u"), F.lit(v == "z").alias("highest")) for v in "xyz"])).alias("e")
+    corners = _corners(arcs, keep).select(corner).groupBy("e.u", "e.highest").agg(F.count("*").alias("n"))
+    around = arcs.groupBy("u").agg(F.count("*").alias("degree"), F.count_if(F.col("v") > F.col("u")).alias("above"))
+    shared = corners.join(around, "u").select((-F.col("n") * F.when(F.col("highest"), F.col("above") - 3).otherwise(F.col("degree"))).alias("n"))
+    return _total(met.select((F.col("_n") * F.col("n")).alias("n")).unionByName(shared), "n")
+
+
+def _house(edges: DataFrame, keep: Scratch) -> DataFrame:
+    """Triangles on the edges of squares. A two-path top - a - b is half of n - 1 squares, where n
+    paths join its ends; the apex is a corner of the square where that has a chord, four times for
+    each diamond."""
+    arcs = _arcs(edges, keep)
+    sides = F.explode(F.array(*[_key(a, b) for a, b in ("xy", "xz", "yz")])).alias("e")
+    on_edge = keep(_corners(arcs, keep).select(sides).groupBy("e").agg(F.count("*").alias("t")), "sides")
+    weighed = arcs.where("u < v").withColumn("e", _key("u", "v")).join(on_edge, "e", "left").select("u", "v", F.coalesce("t", F.lit(0)).alias("t"))
+    weighed = keep(weighed, "weighed")
+    both = weighed.unionByName(weighed.select(F.col("v").alias("u"), F.col("u").alias("v"), "t"))
+    down = weighed.select(F.col("u").alias("a"), F.col("v").alias("top"), F.col("t").alias("_t"))
+    paths = down.join(both.select(F.col("u").alias("a"), F.col("v").alias("b"), "t"), "a").where("b < top")
+    ends = paths.groupBy(_key("top", "b").alias("ends")).agg(F.count("*").alias("n"), F.sum(F.col("_t") + F.col("t")).alias("t"))
+    chords = on_edge.select((-2 * F.col("t") * (F.col("t") - 1)).alias("n"))
+    return _total(ends.select(((F.col("n") - 1) * F.col("t")).alias("n")).unionByName(chords), "n")
+
+
+#: Counted over numbered vertices.
+_NUMBERED = {motif("5cycle"): _five_cycle, pattern("house", "01 12 23 30 04 14"): _house}
+_COUNTED = {"path4": _path4, "tailed_triangle": _tailed, "diamond": _diamond, "square": _square}
 
 
 def _by_parts(edges: DataFrame, m: Motif, keep: Scratch) -> DataFrame:
@@ -173,7 +224,9 @@ def count_pattern(edges: DataFrame, m: Motif) -> DataFrame:
     else:
         # the graph with degrees, two-paths and neighbour lists are tables while the count is taken
         with Scratch(edges.sparkSession, "motif") as keep:
-            if m.name in _COUNTED and m == motif(m.name):
+            if m in _NUMBERED:
+                found = _NUMBERED[m](edges, keep)
+            elif m.name in _COUNTED and m == motif(m.name):
                 found = _COUNTED[m.name](keep(ranked(edges), "ranked"), keep)
             elif m.is_clique:
                 found = cliques(keep(ranked(edges), "ranked"), m.size).agg(F.count("*").alias("instances"))
