@@ -65,10 +65,25 @@ def checksum_by_margins(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, "k").agg(F.sum(F.col("x") * F.col("y")).alias("checksum"))
 
 
-def multiply_heavy(a: DataFrame, b: DataFrame, share: float = 0.01, hot: int = 50_000) -> DataFrame:
-    """The same product where some k hold many cells: a sketch of either side finds them in one
-    pass, their cells are cut into slices of ``hot`` that meet in join groups of their own, and all
-    other k take the plain join. The result is the same whatever the sketch finds."""
+#: Cells that a factor may have to be sent whole to each task.
+SMALL = 1 << 16
+
+
+def multiply_small(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The same product with a right factor of few cells: it goes to each task, and a's cells
+    are dealt by row, once, so that a row's products are added up where they are made."""
+    right = F.broadcast(b.select("k", "j", F.col("v").alias("_w")))
+    met = a.join(F.broadcast(b.select("k").distinct()), "k", "left_semi").repartition("i").join(right, "k")
+    return met.groupBy("i", "j").agg(F.sum(F.col("v") * F.col("_w")).alias("v"))
+
+
+def multiply_heavy(a: DataFrame, b: DataFrame, share: float = 0.01, hot: int = 50_000, small: int = 0) -> DataFrame:
+    """The same product where some k hold many cells. A right factor of ``small`` cells or fewer goes to
+    all tasks. Else a sketch of either side finds these k in one pass, their cells are cut into slices of
+    ``hot`` that meet in join groups of their own, and all other k take the plain join. The result
+    is the same whatever the sketch finds."""
+    if small and b.limit(small + 1).count() <= small:
+        return multiply_small(a, b)
     of = lambda df, name: heavy_keys(df, "k", share).withColumnRenamed("n", name)
     full = of(a, "_l").join(of(b, "_r"), "k", "full").select("k", slices("coalesce(_l, 0)", hot).alias("_ls"), slices("coalesce(_r, 0)", hot).alias("_rs"))
     left, right = grid(a.select("i", "k", "v", F.xxhash64("i").alias("_luck")), b.select("k", "j", F.col("v").alias("_w"), F.xxhash64("j").alias("_luck")), ["k"], full)

@@ -83,7 +83,7 @@ def dgemm_heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.ascii("l_returnflag").cast("long").alias("k")
     a = lines.groupBy(F.col("l_orderkey").alias("i"), k).agg(F.sum(F.col("l_quantity").cast("long")).alias("v"))
     b = lines.groupBy(k, F.month("l_shipdate").cast("long").alias("j")).agg(F.count("*").alias("v"))
-    return matrix.multiply_heavy(a, b)
+    return matrix.multiply_heavy(a, b, small=matrix.SMALL)
 
 
 @register("dgemm_hash", DENSE_SQL)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -93,3 +94,14 @@ def test_product_with_a_heavy_key(spark):
     x, y = skew.grid(left.withColumn("_luck", F.xxhash64("i")), right.withColumn("_luck", F.xxhash64("j")), ["k"], full)
     groups = x.groupBy("k", "_left", "_right").count().where("k = 0").collect()
     assert len(groups) == 24 and max(r["count"] for r in groups) < 2 * 50 and y.where("k = 0").count() == 150 * 8
+
+
+def test_product_with_a_small_factor_deals_cells_and_not_products(spark):
+    """Twelve products of each cell were dealt by place; now the cells are, by row, if the right factor is small."""
+    a = [((i, k), i + k) for i in range(300) for k in range(3)]
+    b = [((k, j), k * j + 1) for k in range(1, 4) for j in range(12)]
+    left, right = as_table(spark, a, "i long, k long, v long"), as_table(spark, b, "k long, j long, v long")
+    for small, dealt in ((36, False), (35, True)):
+        got = matrix.multiply_heavy(left, right, share=0.05, hot=50, small=small)
+        assert {(r["i"], r["j"]): r["v"] for r in got.collect()} == plain(a, b)
+        assert bool(re.search(r"hashpartitioning\(i#\d+L, j#\d+L", got._jdf.queryExecution().executedPlan().toString())) == dealt
