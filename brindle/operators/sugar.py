@@ -16,6 +16,8 @@ from brindle.operators.iterate import cut
 
 #: (number, row step, column step); the number breaks ties. 0 is the agent's own cell.
 DIRECTIONS = ((1, -1, 0), (2, 1, 0), (3, 0, 1), (4, 0, -1))
+#: Cells and cells in reach for each part of a join: some 10 MB to sort.
+ROWS = 100_000
 
 
 def capacity(row: Column, col: Column, height: Column, width: Column, low: int = 1, high: int = 4) -> Column:
@@ -34,15 +36,18 @@ def regrow(cells: DataFrame, growth: int = 1) -> DataFrame:
     return cells.withColumn("sugar", F.least("capacity", F.col("sugar") + growth))
 
 
-def dealt(df: DataFrame) -> DataFrame:
-    """df, whose join deals both sides by key. The planner takes the cells in reach, many for each
-    agent, to be as small as the agents, and would send them whole through the driver."""
-    return df.hint("merge")
+def parts_for(agents: DataFrame, cells: DataFrame) -> int:
+    """Into how many parts the joins deal their rows: ROWS of cells and cells in reach for each. The
+    planner merges parts by their compressed size, to few that each sort far more than they shuffle."""
+    seen = agents.agg(F.sum(1 + len(DIRECTIONS) * F.col("vision").cast("long"))).first()[0] or 0
+    return max(agents.sparkSession.sparkContext.defaultParallelism, -(-(seen + cells.count()) // ROWS))
 
 
-def targets(agents: DataFrame, cells: DataFrame) -> DataFrame:
+def targets(agents: DataFrame, cells: DataFrame, parts: int | None = None) -> DataFrame:
     """(id, row, col) of the cell each agent aims at: a join on the cells in reach, and a maximum
-    per agent that is taken partly before the shuffle."""
+    per agent. The join deals both sides: the planner takes the cells in reach, many for each agent,
+    to be as small as the agents, and would send them whole through the driver."""
+    parts = parts or parts_for(agents, cells)
     own = F.array(F.struct(F.lit(0).alias("way"), F.lit(0).alias("far"), F.col("row"), F.col("col")))
 
     def ray(way: int, down: int, right: int) -> Column:
@@ -51,9 +56,10 @@ def targets(agents: DataFrame, cells: DataFrame) -> DataFrame:
 
     rays = [ray(*d) for d in DIRECTIONS]
     reach = agents.select("id", F.inline(F.concat(own, *rays)))
-    seen = reach.join(dealt(cells.select("row", "col", "sugar")), ["row", "col"])
+    grid = cells.select("row", "col", "sugar").repartition(parts, "row", "col").hint("merge")
+    seen = reach.repartition(parts, "row", "col").join(grid, ["row", "col"])
     best = F.max(F.struct("sugar", (-F.col("far")).alias("near"), (-F.col("way")).alias("order"), "row", "col")).alias("best")
-    return seen.groupBy("id").agg(best).select("id", "best.row", "best.col")
+    return seen.repartition(parts, "id").groupBy("id").agg(best).select("id", "best.row", "best.col")
 
 
 def winners(aims: DataFrame) -> DataFrame:
@@ -66,22 +72,32 @@ def occupants(agents: DataFrame) -> DataFrame:
     return agents.groupBy("row", "col").agg(F.max("id").alias("id"))
 
 
-def move(agents: DataFrame, cells: DataFrame, aims: DataFrame) -> tuple[DataFrame, DataFrame]:
+def given(cells: DataFrame, takers: DataFrame, parts: int) -> DataFrame:
+    """cells with ``id``: null, or the agent that takes a cell's sugar; takers are dealt by cell."""
+    return cells.repartition(parts, "row", "col").join(takers.hint("merge"), ["row", "col"], "left")
+
+
+def without_taken(held: DataFrame) -> DataFrame:
+    return held.withColumn("sugar", F.when(F.col("id").isNotNull(), F.lit(0)).otherwise(F.col("sugar"))).drop("id")
+
+
+def move(agents: DataFrame, cells: DataFrame, aims: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Winners move to their cells and harvest them: (agents, cells)."""
-    won = winners(aims).join(dealt(cells.select("row", "col", "sugar")), ["row", "col"]).select("id", F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("sugar").alias("got"))
-    moved = agents.join(dealt(won), "id", "left")
+    parts = parts or parts_for(agents, cells)
+    held = given(cells, winners(aims.repartition(parts, "row", "col")), parts)
+    won = held.where("id is not null").select("id", F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("sugar").alias("got"))
+    moved = agents.repartition(parts, "id").join(won.repartition(parts, "id").hint("merge"), "id", "left")
     moved = moved.withColumn("row", F.coalesce("to_row", "row")).withColumn("col", F.coalesce("to_col", "col")).withColumn("wealth", F.col("wealth") + F.coalesce("got", F.lit(0)))
-    taken = won.select(F.col("to_row").alias("row"), F.col("to_col").alias("col"), F.lit(True).alias("taken"))
-    emptied = cells.join(dealt(taken), ["row", "col"], "left").withColumn("sugar", F.when(F.col("taken"), F.lit(0)).otherwise(F.col("sugar"))).drop("taken")
-    return moved.drop("to_row", "to_col", "got"), emptied
+    return moved.drop("to_row", "to_col", "got"), without_taken(held)
 
 
-def harvest(agents: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+def harvest(agents: DataFrame, cells: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Each cell's occupant takes the sugar left in it: (agents, cells)."""
-    here = occupants(agents).join(dealt(cells.where("sugar > 0").select("row", "col", F.col("sugar").alias("got"))), ["row", "col"])
-    fed = agents.join(dealt(here.select("id", "got")), "id", "left").withColumn("wealth", F.col("wealth") + F.coalesce("got", F.lit(0))).drop("got")
-    left = cells.join(dealt(here.select("row", "col", "got")), ["row", "col"], "left").withColumn("sugar", F.when(F.col("got").isNotNull(), F.lit(0)).otherwise(F.col("sugar"))).drop("got")
-    return fed, left
+    parts = parts or parts_for(agents, cells)
+    held = given(cells, occupants(agents.repartition(parts, "row", "col")), parts).withColumn("id", F.when(F.col("sugar") > 0, F.col("id")))
+    here = held.where("id is not null").select("id", F.col("sugar").alias("got"))
+    fed = agents.repartition(parts, "id").join(here.repartition(parts, "id").hint("merge"), "id", "left").withColumn("wealth", F.col("wealth") + F.coalesce("got", F.lit(0))).drop("got")
+    return fed, without_taken(held)
 
 
 def live(agents: DataFrame) -> DataFrame:
@@ -89,17 +105,21 @@ def live(agents: DataFrame) -> DataFrame:
 
 
 def step(agents: DataFrame, cells: DataFrame, first: bool = False, growth: int = 1) -> tuple[DataFrame, DataFrame]:
+    parts = parts_for(agents, cells)
     if not first:
         cells = regrow(cells, growth)
-    agents, cells = harvest(*move(agents, cells, targets(agents, cells)))
+    agents, cells = harvest(*move(agents, cells, targets(agents, cells, parts), parts), parts)
     return live(agents), cells
 
 
 def run(agents: DataFrame, cells: DataFrame, steps: int, growth: int = 1) -> tuple[DataFrame, DataFrame]:
-    """All steps; each one's tables are cut from their lineage."""
+    """All steps; each one's tables are cut from their lineage, and so are its aims, which both need."""
     for t in range(steps):
-        agents, cells = step(agents, cells, t == 0, growth)
-        agents, cells = cut(agents), cut(cells)
+        parts = parts_for(agents, cells)
+        if t:
+            cells = regrow(cells, growth)
+        agents, cells = harvest(*move(agents, cells, cut(targets(agents, cells, parts)), parts), parts)
+        agents, cells = cut(live(agents)), cut(cells)
     return agents, cells
 
 

@@ -47,6 +47,13 @@ def agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agents after the first step's moves."""
+    a, c = agents(spark, sf_dir), cells(spark, sf_dir)
+    parts = sugar.parts_for(a, c)
+    return sugar.move(a, c, sugar.targets(a, c, parts), parts)[0]
+
+
 @register("sugar_capacity", _CAPACITY)
 def sugar_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(spark, sf_dir).select("row", "col", "capacity")
@@ -69,14 +76,12 @@ def sugar_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("sugar_moves", f"{_STEP} SELECT id, row, col, wealth FROM m0")
 def sugar_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, c = agents(spark, sf_dir), cells(spark, sf_dir)
-    return sugar.move(a, c, sugar.targets(a, c))[0].select("id", "row", "col", "wealth")
+    return moved(spark, sf_dir).select("id", "row", "col", "wealth")
 
 
 @register("sugar_occupants", f"{_STEP} SELECT row, col, max(id) AS id FROM m0 GROUP BY row, col")
 def sugar_occupants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, c = agents(spark, sf_dir), cells(spark, sf_dir)
-    return sugar.occupants(sugar.move(a, c, sugar.targets(a, c))[0])
+    return sugar.occupants(moved(spark, sf_dir))
 
 
 @register("sugar_regrow", f"{_STEPS} SELECT row, col, capacity, sugar FROM g1")

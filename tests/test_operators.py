@@ -206,3 +206,15 @@ def test_agents_and_cells_meet_without_a_broadcast(spark, tmp_path):
     for df in (sugar.targets(agents, cells), *sugar.step(agents, cells, first=True)):
         df.collect()
         assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_agents_and_cells_are_dealt_into_parts_by_their_number(spark, monkeypatch):
+    # the planner merged the parts to one for each core, and their sorts ran out of heap
+    agents = spark.range(200).selectExpr("id", "id div 10 as row", "id % 10 as col", "5L as wealth", "1 as metabolism", "6 as vision")
+    cells = spark.range(400).selectExpr("id div 20 as row", "id % 20 as col", "4 as capacity", "4 as sugar")
+    want = [sorted(df.collect()) for df in (sugar.targets(agents, cells), *sugar.step(agents, cells))]
+    monkeypatch.setattr(sugar, "ROWS", 200)
+    assert sugar.parts_for(agents, cells) == 27
+    got = (sugar.targets(agents, cells), *sugar.step(agents, cells))
+    assert [df.rdd.getNumPartitions() for df in got] == [27, 27, 27]
+    assert [sorted(df.collect()) for df in got] == want
