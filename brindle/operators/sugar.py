@@ -44,9 +44,11 @@ def parts_for(agents: DataFrame, cells: DataFrame) -> int:
 
 
 def targets(agents: DataFrame, cells: DataFrame, parts: int | None = None) -> DataFrame:
-    """(id, row, col) of the cell each agent aims at: a join on the cells in reach, and a maximum
-    per agent. The join deals both sides: the planner takes the cells in reach, many for each agent,
-    to be as small as the agents, and would send them whole through the driver."""
+    """(id, row, col, sugar, here): the cell each agent aims at, its sugar, and that of the agent's own
+    cell: a join on the cells in reach, and a maximum per agent. The join deals both sides: the planner
+    takes the cells in reach, many for each agent, to be as small as the agents, and would send them
+    whole through the driver. Agents are dealt before they look around: they often come in one file
+    split, whose task would sort the cells in reach of all."""
     parts = parts or parts_for(agents, cells)
     own = F.array(F.struct(F.lit(0).alias("way"), F.lit(0).alias("far"), F.col("row"), F.col("col")))
 
@@ -55,11 +57,12 @@ def targets(agents: DataFrame, cells: DataFrame, parts: int | None = None) -> Da
         return F.transform(F.sequence(F.lit(1), F.col("vision")), cell)
 
     rays = [ray(*d) for d in DIRECTIONS]
-    reach = agents.select("id", F.inline(F.concat(own, *rays)))
+    reach = agents.repartition(parts, "id").select("id", F.inline(F.concat(own, *rays)))
     grid = cells.select("row", "col", "sugar").repartition(parts, "row", "col").hint("merge")
     seen = reach.repartition(parts, "row", "col").join(grid, ["row", "col"])
     best = F.max(F.struct("sugar", (-F.col("far")).alias("near"), (-F.col("way")).alias("order"), "row", "col")).alias("best")
-    return seen.repartition(parts, "id").groupBy("id").agg(best).select("id", "best.row", "best.col")
+    here = F.max(F.when(F.col("way") == 0, F.col("sugar"))).alias("here")
+    return seen.repartition(parts, "id").groupBy("id").agg(best, here).select("id", "best.row", "best.col", "best.sugar", "here")
 
 
 def winners(aims: DataFrame) -> DataFrame:
@@ -72,32 +75,32 @@ def occupants(agents: DataFrame) -> DataFrame:
     return agents.groupBy("row", "col").agg(F.max("id").alias("id"))
 
 
-def given(cells: DataFrame, takers: DataFrame, parts: int) -> DataFrame:
-    """cells with ``id``: null, or the agent that takes a cell's sugar; takers are dealt by cell."""
-    return cells.repartition(parts, "row", "col").join(takers.hint("merge"), ["row", "col"], "left")
+def move(agents: DataFrame, aims: DataFrame, parts: int) -> DataFrame:
+    """agents + won and here: winners move to their cells and harvest them; here is the sugar that
+    the others stand on. Aims are read twice and should be cut."""
+    first = winners(aims.repartition(parts, "row", "col")).select("id", F.lit(True).alias("won")).repartition(parts, "id").hint("merge")
+    aims = aims.select("id", F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("sugar").alias("got"), "here").repartition(parts, "id").hint("merge")
+    moved = agents.repartition(parts, "id").join(aims, "id", "left").join(first, "id", "left").withColumn("won", F.coalesce("won", F.lit(False)))
+    moved = moved.withColumn("row", F.when(F.col("won"), F.col("to_row")).otherwise(F.col("row"))).withColumn("col", F.when(F.col("won"), F.col("to_col")).otherwise(F.col("col")))
+    return moved.withColumn("wealth", F.col("wealth") + F.when(F.col("won"), F.coalesce("got", F.lit(0))).otherwise(0)).drop("to_row", "to_col", "got")
 
 
-def without_taken(held: DataFrame) -> DataFrame:
-    return held.withColumn("sugar", F.when(F.col("id").isNotNull(), F.lit(0)).otherwise(F.col("sugar"))).drop("id")
+def held(moved: DataFrame, parts: int) -> DataFrame:
+    """(row, col, id, won, got): each cell with agents, its occupant, whether one has moved there and
+    harvested it, and what sugar is left for the occupant, which those who stay there know."""
+    stays = F.max(F.when(~F.col("won"), F.col("here")))
+    cell = moved.repartition(parts, "row", "col").groupBy("row", "col").agg(F.max("id").alias("id"), F.max("won").alias("won"), stays.alias("here"))
+    return cell.select("row", "col", "id", "won", F.when(~F.col("won") & (F.col("here") > 0), F.col("here")).otherwise(0).alias("got"))
 
 
-def move(agents: DataFrame, cells: DataFrame, aims: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Winners move to their cells and harvest them: (agents, cells)."""
-    parts = parts or parts_for(agents, cells)
-    held = given(cells, winners(aims.repartition(parts, "row", "col")), parts)
-    won = held.where("id is not null").select("id", F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("sugar").alias("got"))
-    moved = agents.repartition(parts, "id").join(won.repartition(parts, "id").hint("merge"), "id", "left")
-    moved = moved.withColumn("row", F.coalesce("to_row", "row")).withColumn("col", F.coalesce("to_col", "col")).withColumn("wealth", F.col("wealth") + F.coalesce("got", F.lit(0)))
-    return moved.drop("to_row", "to_col", "got"), without_taken(held)
-
-
-def harvest(agents: DataFrame, cells: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+def harvest(moved: DataFrame, cells: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
     """Each cell's occupant takes the sugar left in it: (agents, cells)."""
-    parts = parts or parts_for(agents, cells)
-    held = given(cells, occupants(agents.repartition(parts, "row", "col")), parts).withColumn("id", F.when(F.col("sugar") > 0, F.col("id")))
-    here = held.where("id is not null").select("id", F.col("sugar").alias("got"))
-    fed = agents.repartition(parts, "id").join(here.repartition(parts, "id").hint("merge"), "id", "left").withColumn("wealth", F.col("wealth") + F.coalesce("got", F.lit(0))).drop("got")
-    return fed, without_taken(held)
+    taken = held(moved, parts)
+    here = taken.where("got > 0").select("id", "got").repartition(parts, "id").hint("merge")
+    fed = moved.drop("won", "here").join(here, "id", "left").withColumn("wealth", F.col("wealth") + F.coalesce("got", F.lit(0))).drop("got")
+    left = cells.repartition(parts, "row", "col").join(taken.select("row", "col", "won").hint("merge"), ["row", "col"], "left")
+    empty = F.col("won") | (F.col("won").isNotNull() & (F.col("sugar") > 0))
+    return fed, left.withColumn("sugar", F.when(empty, F.lit(0)).otherwise(F.col("sugar"))).drop("won")
 
 
 def live(agents: DataFrame) -> DataFrame:
@@ -105,21 +108,18 @@ def live(agents: DataFrame) -> DataFrame:
 
 
 def step(agents: DataFrame, cells: DataFrame, first: bool = False, growth: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(agents, cells) after a step; the aims, which both need, are cut from their lineage."""
     parts = parts_for(agents, cells)
     if not first:
         cells = regrow(cells, growth)
-    agents, cells = harvest(*move(agents, cells, targets(agents, cells, parts), parts), parts)
+    agents, cells = harvest(move(agents, cut(targets(agents, cells, parts)), parts), cells, parts)
     return live(agents), cells
 
 
 def run(agents: DataFrame, cells: DataFrame, steps: int, growth: int = 1) -> tuple[DataFrame, DataFrame]:
-    """All steps; each one's tables are cut from their lineage, and so are its aims, which both need."""
+    """All steps; each one's tables are cut from their lineage."""
     for t in range(steps):
-        parts = parts_for(agents, cells)
-        if t:
-            cells = regrow(cells, growth)
-        agents, cells = harvest(*move(agents, cells, cut(targets(agents, cells, parts)), parts), parts)
-        agents, cells = cut(live(agents)), cut(cells)
+        agents, cells = map(cut, step(agents, cells, t == 0, growth))
     return agents, cells
 
 

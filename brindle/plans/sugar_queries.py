@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.operators import sugar
+from brindle.operators.iterate import cut
 from brindle.plans.registry import register
 
 WIDTH, STEPS = 100, 3
@@ -51,7 +52,7 @@ def moved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agents after the first step's moves."""
     a, c = agents(spark, sf_dir), cells(spark, sf_dir)
     parts = sugar.parts_for(a, c)
-    return sugar.move(a, c, sugar.targets(a, c, parts), parts)[0]
+    return sugar.move(a, cut(sugar.targets(a, c, parts)), parts)
 
 
 @register("sugar_capacity", _CAPACITY)
@@ -66,7 +67,7 @@ def sugar_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("sugar_targets", f"{_STEP} SELECT id, row, col FROM s0")
 def sugar_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sugar.targets(agents(spark, sf_dir), cells(spark, sf_dir))
+    return sugar.targets(agents(spark, sf_dir), cells(spark, sf_dir)).select("id", "row", "col")
 
 
 @register("sugar_conflicts", f"{_STEP} SELECT row, col, id FROM w0")

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -218,3 +219,28 @@ def test_agents_and_cells_are_dealt_into_parts_by_their_number(spark, monkeypatc
     got = (sugar.targets(agents, cells), *sugar.step(agents, cells))
     assert [df.rdd.getNumPartitions() for df in got] == [27, 27, 27]
     assert [sorted(df.collect()) for df in got] == want
+
+
+def test_agents_are_dealt_before_they_look_around(spark, tmp_path):
+    # agents come in one file split, and one task sorted the cells in reach of all of them
+    spark.range(200).selectExpr("id", "id div 10 as row", "id % 10 as col", "5L as wealth", "1 as metabolism", "6 as vision").coalesce(1).write.parquet(f"{tmp_path}/agents")
+    spark.range(400).selectExpr("id div 20 as row", "id % 20 as col", "4 as capacity", "4 as sugar").write.parquet(f"{tmp_path}/cells")
+    agents, cells = spark.read.parquet(f"{tmp_path}/agents"), spark.read.parquet(f"{tmp_path}/cells")
+    plan = sugar.targets(agents, cells)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [id" in plan[plan.index("Generate inline") :].partition("/agents")[0]
+    # what agents do after they have looked needs no cells
+    plan = sugar.step(agents, cells, first=True)[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "capacity" not in plan and f"{tmp_path}/cells" not in plan
+
+
+def test_agents_off_the_grid_and_in_one_cell_against_sql(spark):
+    agents = [(1, 0, 0, 9, 1, 2), (2, 0, 0, 9, 1, 1), (3, 0, 0, 9, 2, 1), (4, 9, 9, 9, 1, 3), (5, 0, 3, 9, 1, 2), (6, 1, 1, 9, 1, 1), (7, -1, 1, 9, 1, 1)]
+    cells = [(0, 0, 4, 4), (0, 1, 3, 0), (0, 3, 2, 2), (1, 0, 1, 0), (1, 1, 2, 0), (2, 1, 1, 1)]
+    a = spark.createDataFrame(agents, "id long, row long, col long, wealth long, metabolism int, vision int")
+    c = spark.createDataFrame(cells, "row long, col long, capacity int, sugar int")
+    rows = lambda x, names: f"SELECT * FROM (VALUES {', '.join(map(str, x))}) t({names})"
+    ctes = sugar.oracle_steps(rows(agents, '"id", "row", "col", wealth, metabolism, vision'), rows(cells, '"row", "col", capacity, sugar'), 2)
+    got_a, got_c = sugar.run(a, c, 2)
+    want = lambda q: sorted(duckdb.sql(f"WITH {ctes} {q}").fetchall())
+    assert sorted(map(tuple, got_a.select("id", "row", "col", "wealth").collect())) == want("SELECT id, row, col, wealth FROM a2")
+    assert sorted(map(tuple, got_c.select("row", "col", "sugar").collect())) == want("SELECT row, col, sugar FROM c2")
