@@ -7,8 +7,9 @@ shingles stand in one global order (rare before common, then by hash); of a set
 n - ceil(SIMILAR n) + 1 are its prefix, and two sets that similar share a shingle of their prefixes,
 the first one so early in both that enough shingles follow. The order comes from a bounded sample
 of texts, but any order finds every pair: the sample only keeps common passages out of the prefixes.
-The index of shared shingles is written in buckets by shingle, so it is shuffled once for all joins;
-what of it the sample calls hot stands in a plain table, where joins may split a shingle's rows.
+The index of shared shingles is written in buckets by shingle, so it is shuffled once for what follows;
+what of it the sample calls hot stands in a plain table, where joins may split a shingle's rows. Near
+copies share many shingles, so of those that the same texts have only the first goes on.
 
 Candidates are checked twice: a bitmap of some two bits for each shingle holds the parity of the
 shingles that fall on each bit, so two bitmaps differ in no more bits than the sets do in shingles,
@@ -232,7 +233,8 @@ def _by_fingerprint(nodes: DataFrame, keep: Scratch) -> DataFrame:
 
 def _indexes(rows: DataFrame, keep: Scratch) -> list[DataFrame]:
     """(s, node, n, at): the prefix shingles that several nodes have, and their places; first the
-    cold ones, in buckets by s, then the hot ones."""
+    cold ones, then the hot ones. Of shingles that the same nodes have, the first in the order stands
+    for all."""
     spark = rows.sparkSession
     index = rows.where("prefix is not null").select("node", "n", "cold", F.posexplode("prefix").alias("at", "s")).withColumn("s32", F.expr("cast(shiftright(s, 32) as int)"))
     # which shingles stand in several prefixes, told by halves of the hashes to move less; two that
@@ -244,7 +246,17 @@ def _indexes(rows: DataFrame, keep: Scratch) -> list[DataFrame]:
     index = index.join(shared, "s32", "left_semi").select("s", "node", "n", "at", (F.col("at") >= F.col("cold")).alias("hot"))
     cold = index.where("not hot").drop("hot").repartition(n, "s").dropDuplicates(["s", "node"])
     hot = index.where("hot").drop("hot").dropDuplicates(["s", "node"])
-    return [keep.bucketed(cold, "cold", "s", n), keep(hot, "hot")]
+    return [keep(_firsts(keep.bucketed(cold, "cold", "s", n)), "cold-firsts"), keep(_firsts(keep(hot, "hot")), "hot-firsts")]
+
+
+def _firsts(index: DataFrame) -> DataFrame:
+    """index without shingles that one node has, or just the nodes that have an earlier one. No pair is
+    lost: the first shingle that two sets share is the first of those that the same nodes have."""
+    members = [F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("hashes"), F.min(F.struct("node", "at")).alias("low")]
+    several = index.groupBy("s").agg(*members).where("c > 1")
+    # one order holds for all texts, so any one node's places tell which comes first
+    first = several.groupBy("c", "hashes", "low.node").agg(F.min(F.struct("low.at", "s")).alias("first")).select("first.s")
+    return index.join(first, "s", "left_semi")
 
 
 def _possible() -> Column:
@@ -293,8 +305,8 @@ def near_copies(docs: DataFrame, keep: Scratch) -> DataFrame:
     while not last:
         last = not draw
         pairs = reduce(DataFrame.union, [_to_centres(x, labels, turn) if draw else _apart(x, labels) for x in indexes])
-        pairs = pairs.union(_by_fingerprint(nodes, keep)) if tried is None else pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = keep(pairs.distinct(), "pairs")
+        pairs = pairs.union(_by_fingerprint(nodes, keep)).distinct() if tried is None else pairs.distinct().join(tried, ["u", "v"], "left_anti")
+        pairs = keep(pairs, "pairs")
         tried = pairs if tried is None else tried.union(pairs)
         more = _checked(pairs, texts, nodes, keep)
         found = more if found is None else found.union(more)

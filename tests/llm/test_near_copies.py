@@ -60,3 +60,10 @@ def test_bitmaps_rule_out_no_similar_pair():
             assert may or not near_copies.similar(a, b)
             ruled_out += not may
     assert ruled_out > 100
+
+
+def test_one_shingle_stands_for_all_that_the_same_texts_have(spark):
+    # near copies share many shingles; each of them made every pair of theirs anew, and was shuffled every turn
+    rows = [(s, n, 100, s % 7 + n) for s in range(7, 14) for n in (1, 2, 3)] + [(20, 1, 100, 50), (20, 2, 100, 51), (21, 1, 100, 40), (21, 2, 100, 41), (30, 1, 100, 60)]
+    got = near_copies._firsts(spark.createDataFrame(rows, "s long, node long, n long, at long"))
+    assert {(r["s"], r["node"], r["at"]) for r in got.collect()} == {(7, 1, 1), (7, 2, 2), (7, 3, 3), (21, 1, 40), (21, 2, 41)}
