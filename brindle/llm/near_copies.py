@@ -5,8 +5,10 @@ shingles within three bits. Texts that similar often lie further apart (at 0.8 a
 64), where no fingerprint search finds them all, so an exact join finds the rest, by prefixes. All
 shingles stand in one global order (rare before common, then by hash); of a set of n, the first
 n - ceil(SIMILAR n) + 1 are its prefix, and two sets that similar share a shingle of their prefixes,
-the first one so early in both that enough shingles follow. The order comes from a bounded sample
-of texts, but any order finds every pair: the sample only keeps common passages out of the prefixes.
+the first one so early in both that enough shingles follow. The order comes from a sample of texts,
+but any order finds every pair: the sample only keeps common passages out of the prefixes. It follows
+the input, so that a passage it misses stands in so many texts, not in such a share of them, whose
+pairs would grow with the square of the input.
 The index of shared shingles is written in buckets by shingle, so it is shuffled once for what follows;
 what of it the sample calls hot stands in a plain table, where joins may split a shingle's rows. Near
 copies share many shingles, so of those that the same texts have only the first goes on.
@@ -14,7 +16,9 @@ copies share many shingles, so of those that the same texts have only the first
 Candidates are checked twice: a bitmap of some two bits for each shingle holds the parity of the
 shingles that fall on each bit, so two bitmaps differ in no more bits than the sets do in shingles,
 which rules out most pairs and never a similar one (the longer bitmap of a pair is folded to the
-shorter one's size); the rest are checked on the texts' whole sets. So that a large group
+shorter one's size); the rest are checked on the texts' whole sets. Texts are dealt for that, and rows
+for the last join with what goes, only where a bitmap of the keys looked for lets them through, so
+the others are never shuffled. So that a large group
 of near copies costs rows by its size, each text is first compared with CENTRES centres for each
 shared shingle and with its neighbours by fingerprint; what that links is one component. Centres
 are drawn again among components that share shingles while that finds links, and only texts that are
@@ -29,7 +33,7 @@ empty table gives an empty one; other columns pass unchanged, whatever their nam
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -44,15 +48,17 @@ from brindle.functions.shipping import ship
 from brindle.llm.common import saved, sliced
 from brindle.llm.components import components
 from brindle.llm.simhash import links, lowered, majority
+from brindle.llm.sketches import bitmap as key_bitmap
+from brindle.llm.sketches import has
 
 SHINGLE = 5
 #: Similarity in hundredths.
 SIMILAR = 80
-#: Texts that the order is learned from, how many of them make a shingle common, and how many
-#: common shingles are held at most.
-SAMPLE, COMMON, HELD = 4096, 4, 65_536
-#: Sampled texts that make a shingle hot: one in 64.
-HOT = SAMPLE // 64
+#: Texts that the order is learned from at least, else one in ONE_IN, how many of them make a shingle
+#: common, and how many common shingles are held at most.
+SAMPLE, ONE_IN, COMMON, HELD = 4096, 16, 4, 65_536
+#: One sampled text in so many makes a shingle hot.
+HOT = 64
 #: Prefix shingles that a bucket of the index should take in at most.
 BUCKET = 4_000_000
 #: Nodes whose prefixes a task remembers to have given, so that not each of many copies gives them.
@@ -119,9 +125,10 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= SIMILAR * (len(a) + len(b) - both)
 
 
-def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Common shingles of a sample of texts, sorted, and their counts."""
-    n = max(1, rows.count() // SAMPLE)
+def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Common shingles of a sample of texts, sorted, their counts, and the count of a hot one."""
+    all_ = rows.count()
+    n = max(1, min(ONE_IN, all_ // SAMPLE))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
@@ -133,7 +140,7 @@ def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     found = counts.orderBy(F.desc("c"), "s").limit(HELD).toArrow()
     s, c = (found.column(k).to_numpy() for k in ("s", "c"))
     order = np.argsort(s.view(np.uint64))
-    return s.view(np.uint64)[order], c[order]
+    return s.view(np.uint64)[order], c[order], max(SAMPLE, all_ // n) // HOT
 
 
 _KEY = ["id", "text_hash", "rest_hash"]
@@ -147,6 +154,21 @@ def _key(docs: DataFrame, prefix: str = "") -> list:
     return [c.alias(prefix + n) for c, n in zip((F.col("doc_id").cast("long"), F.xxhash64("text"), rest), _KEY, strict=True)]
 
 
+def _may_be_among(keys: DataFrame, columns: list[str]) -> Callable[[list[str]], Column]:
+    """Of columns like these of keys, whether the row may be among keys: true for all that are, by a
+    bitmap of bounded size, and for few others. Tells before a join what need not be shuffled."""
+    spark = keys.sparkSession
+    ship(spark)
+    held = spark.sparkContext.broadcast(key_bitmap(keys.select(F.xxhash64(*columns).alias("k")), "k"))
+
+    @F.pandas_udf("boolean")
+    def among(k: pd.Series) -> pd.Series:
+        bits = held.value
+        return pd.Series(np.zeros(len(k), bool) if bits is None else has(bits, k.to_numpy().view(np.uint64)))
+
+    return lambda names: among(F.xxhash64(*names))
+
+
 def prefixes(rows: DataFrame) -> DataFrame:
     """The key of each row, node (a hash of the set of shingles), n (its size), fp (its SimHash),
     bits (its parities), prefix and cold, how many of the prefix come before its hot shingles. Of
@@ -158,7 +180,7 @@ def prefixes(rows: DataFrame) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        common, counts = held.value
+        common, counts, hot = held.value
         seen = set()
         for b in sliced(batches):
             nodes, sizes, prints, bits, colds, firsts = [], [], [], [], [], []
@@ -180,7 +202,7 @@ def prefixes(rows: DataFrame) -> DataFrame:
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                     often = np.where(common[at] == s, counts[at], 0)
                 order = np.argsort(often, kind="stable")[: prefix_size(len(s))]
-                colds.append(int(np.searchsorted(often[order], HOT)))
+                colds.append(int(np.searchsorted(often[order], hot)))
                 firsts.append(s[order].view(np.int64))
             made = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(bits, pa.binary()), pa.array(colds, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *made], names=[*_KEY, "node", "n", "fp", "bits", "cold", "prefix"])
@@ -211,7 +233,8 @@ def _checked(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, keep: Scratch
     asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     # each node has one row that stands for it, found by its id and text; equal rows by the text's hash
     wanted = keep(nodes.join(asked, "node", "left_semi").select("node", F.col("row.id").alias("d"), F.col("row.text_hash").alias("h")), "wanted")
-    found = texts.join(wanted, F.col("id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("text_hash")))
+    may = _may_be_among(wanted, ["d", "h"])
+    found = texts.where(may(["id", "text_hash"])).join(wanted, F.col("id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("text_hash")))
     whole = keep(found.select("node", "text").dropDuplicates(["node"]).mapInPandas(sets, "node long, shingles binary"), "sets")
     x = whole.select(F.col("node").alias("u"), F.col("shingles").alias("x"))
     y = whole.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
@@ -329,6 +352,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     # the row travels as one struct, where no name of its columns can clash
     keyed = docs.select(F.struct("*").alias("_row"), *_key(docs, "_key_"))
     same = F.col("_key_id").eqNullSafe(F.col("_near_id")) & (F.col("_key_text_hash") == F.col("_near_text_hash")) & (F.col("_key_rest_hash") == F.col("_near_rest_hash"))
-    single = keyed.join(marked, same, "left_anti").select("_row")
-    several = keyed.join(marked.where("_near_kept"), same, "left_semi").dropDuplicates([f"_key_{c}" for c in _KEY])
+    may = _may_be_among(marked, [f"_near_{c}" for c in _KEY])([f"_key_{c}" for c in _KEY])
+    asked = keyed.where(may)
+    single = keyed.where(~may).select("_row").union(asked.join(marked, same, "left_anti").select("_row"))
+    several = asked.join(marked.where("_near_kept"), same, "left_semi").dropDuplicates([f"_key_{c}" for c in _KEY])
     return single.union(several.select("_row")).select("_row.*")
