@@ -33,7 +33,7 @@ empty table gives an empty one; other columns pass unchanged, whatever their nam
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -48,8 +48,7 @@ from brindle.functions.shipping import ship
 from brindle.llm.common import saved, sliced
 from brindle.llm.components import components
 from brindle.llm.simhash import links, lowered, majority
-from brindle.llm.sketches import bitmap as key_bitmap
-from brindle.llm.sketches import has
+from brindle.llm.sketches import thinned
 
 SHINGLE = 5
 #: Similarity in hundredths.
@@ -154,21 +153,6 @@ def _key(docs: DataFrame, prefix: str = "") -> list:
     return [c.alias(prefix + n) for c, n in zip((F.col("doc_id").cast("long"), F.xxhash64("text"), rest), _KEY, strict=True)]
 
 
-def _may_be_among(keys: DataFrame, columns: list[str]) -> Callable[[list[str]], Column]:
-    """Of columns like these of keys, whether the row may be among keys: true for all that are, by a
-    bitmap of bounded size, and for few others. Tells before a join what need not be shuffled."""
-    spark = keys.sparkSession
-    ship(spark)
-    held = spark.sparkContext.broadcast(key_bitmap(keys.select(F.xxhash64(*columns).alias("k")), "k"))
-
-    @F.pandas_udf("boolean")
-    def among(k: pd.Series) -> pd.Series:
-        bits = held.value
-        return pd.Series(np.zeros(len(k), bool) if bits is None else has(bits, k.to_numpy().view(np.uint64)))
-
-    return lambda names: among(F.xxhash64(*names))
-
-
 def prefixes(rows: DataFrame) -> DataFrame:
     """The key of each row, node (a hash of the set of shingles), n (its size), fp (its SimHash),
     bits (its parities), prefix and cold, how many of the prefix come before its hot shingles. Of
@@ -233,8 +217,8 @@ def _checked(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, keep: Scratch
     asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     # each node has one row that stands for it, found by its id and text; equal rows by the text's hash
     wanted = keep(nodes.join(asked, "node", "left_semi").select("node", F.col("row.id").alias("d"), F.col("row.text_hash").alias("h")), "wanted")
-    may = _may_be_among(wanted, ["d", "h"])
-    found = texts.where(may(["id", "text_hash"])).join(wanted, F.col("id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("text_hash")))
+    asked, _ = thinned(texts, ["id", "text_hash"], wanted, ["d", "h"])
+    found = asked.join(wanted, F.col("id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("text_hash")))
     whole = keep(found.select("node", "text").dropDuplicates(["node"]).mapInPandas(sets, "node long, shingles binary"), "sets")
     x = whole.select(F.col("node").alias("u"), F.col("shingles").alias("x"))
     y = whole.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
@@ -352,8 +336,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     # the row travels as one struct, where no name of its columns can clash
     keyed = docs.select(F.struct("*").alias("_row"), *_key(docs, "_key_"))
     same = F.col("_key_id").eqNullSafe(F.col("_near_id")) & (F.col("_key_text_hash") == F.col("_near_text_hash")) & (F.col("_key_rest_hash") == F.col("_near_rest_hash"))
-    may = _may_be_among(marked, [f"_near_{c}" for c in _KEY])([f"_key_{c}" for c in _KEY])
-    asked = keyed.where(may)
-    single = keyed.where(~may).select("_row").union(asked.join(marked, same, "left_anti").select("_row"))
+    asked, others = thinned(keyed, [f"_key_{c}" for c in _KEY], marked, [f"_near_{c}" for c in _KEY])
+    single = others.select("_row").union(asked.join(marked, same, "left_anti").select("_row"))
     several = asked.join(marked.where("_near_kept"), same, "left_semi").dropDuplicates([f"_key_{c}" for c in _KEY])
     return single.union(several.select("_row")).select("_row.*")

@@ -6,7 +6,7 @@ whatever the input's size, so on very large sets they only thin out less.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bits of a bitmap at most (16 MB) and bits for each key.
@@ -51,3 +51,20 @@ def has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether each key may be in the bitmap's set."""
     at = keys >> np.uint64(64 - (len(bits).bit_length() + 5))
     return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def thinned(rows: DataFrame, columns: list[str], keys: DataFrame, like: list[str]) -> tuple[DataFrame, DataFrame]:
+    """rows whose columns may equal those named like of keys (all that do, few others), and the rest.
+    The words of a bitmap are broadcast, 2^21 at most, so that wide rows needn't be shuffled to find
+    the few that a join is about; all in built-in functions, nulls equal nulls."""
+    b = size_for(keys.count())
+
+    def place(names: list[str]) -> tuple[Column, Column]:
+        at = F.shiftrightunsigned(F.xxhash64(*names), 64 - b)
+        return F.shiftright(at, 6), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+
+    word, bit = place(like)
+    words = F.broadcast(keys.select(word.alias("_bitmap_word"), bit.alias("_bitmap_bit")).groupBy("_bitmap_word").agg(F.bit_or("_bitmap_bit").alias("_bitmap_bits")))
+    word, bit = place(columns)
+    same = (word == F.col("_bitmap_word")) & (bit.bitwiseAND(F.col("_bitmap_bits")) != 0)
+    return rows.join(words, same, "left_semi"), rows.join(words, same, "left_anti")

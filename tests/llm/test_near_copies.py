@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from brindle.llm import near_copies, simhash
+from brindle.llm import near_copies, simhash, sketches
 
 
 def _set(text: str) -> set:
@@ -105,7 +105,8 @@ def test_texts_that_are_nobodys_copies_are_not_shuffled(spark, monkeypatch):
 def test_a_bitmap_of_keys_holds_no_row_back(spark):
     rows = spark.range(5000).selectExpr("if(id % 11 = 0, null, id) as id", "id * 7 as h")
     keys = rows.where("id is null or id % 50 = 3").selectExpr("id as d", "h as e")
-    through = rows.where(near_copies._may_be_among(keys, ["d", "e"])(["id", "h"]))
+    through, rest = sketches.thinned(rows, ["id", "h"], keys, ["d", "e"])
     assert keys.count() == through.where("id is null or id % 50 = 3").count()
-    assert through.count() < keys.count() + 1000
-    assert rows.where(near_copies._may_be_among(keys.limit(0), ["d", "e"])(["id", "h"])).isEmpty()
+    assert through.count() < keys.count() + 1000 and through.count() + rest.count() == 5000
+    through, rest = sketches.thinned(rows, ["id", "h"], keys.limit(0), ["d", "e"])
+    assert through.isEmpty() and rest.count() == 5000
